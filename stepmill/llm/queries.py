@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stepmill.llm import components, encoding, leaks, overlap, pieces, runs
+from stepmill.llm import components, encoding, leaks, overlap, packing, pieces, runs
 from stepmill.session import table
 
 
@@ -42,6 +42,14 @@ def p5_pieces(spark, d):
     return pieces.split_observations(table(spark, d, "steps"), table(spark, d, "budget_results"))
 
 
+def p6_found(spark, d):
+    return packing.pack_documents(table(spark, d, "documents")).filter("pieces > 1 AND piece = 0").select("doc_id")
+
+
+def p6_containers(spark, d):
+    return packing.pack_documents(table(spark, d, "documents"))
+
+
 def p7_found(spark, d):
     return leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "heldout_items")).filter("distance = 0").select("doc_id", "item_id")
 
@@ -59,7 +67,7 @@ def p8_restored(spark, d):
     return encoding.find_garbled(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_report, p3_found, p3_collapsed, p5_found, p5_pieces, p7_found, p7_near, p8_found, p8_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_report, p3_found, p3_collapsed, p5_found, p5_pieces, p6_found, p6_containers, p7_found, p7_near, p8_found, p8_restored)}
 
 SQL = {
     "p5_found": """
