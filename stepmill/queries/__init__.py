@@ -1,6 +1,6 @@
 """Registered queries of the core and their SQL."""
 
-from stepmill.queries import skew
+from stepmill.queries import core, skew
 
-QUERIES = {**skew.QUERIES}
-SQL = {**skew.SQL}
+QUERIES = {**skew.QUERIES, **core.QUERIES}
+SQL = {**skew.SQL, **core.SQL}
