@@ -53,13 +53,13 @@ PENALTIES = [
     (0.5, re.compile("[ŸŽžŠšþð]")),
     # scripts that only wrong readings bring forth, ideographs and kana inside Latin or Cyrillic words
     (2.0, re.compile("[ƀ-˅ˈ-ˏ˞-ΐϏ-ϿԀ-ݿހ-ῼⰀ-⿿㄀-ㇿ㌀-䶿ꀀ-힯豈-ﷺ︰-﻾｡-ﾟ\U00010000-\U0001f2ff\U00020000-\U0010ffff]")),
-    (3.0, re.compile(rf"(?<=[{LATIN}{CYRILLIC}])[぀-ヿ㐀-鿿｡-ﾟ]|[぀-ヿ㐀-鿿｡-ﾟ](?=[a-zà-ÿа-я])")),
+    (3.0, re.compile(rf"(?<=[{LATIN}{CYRILLIC}])[぀-ヿ㐀-鿿｡-ﾟ]|[぀-ヿ㐀-鿿｡-ﾟ](?=[{LATIN}{CYRILLIC}])")),
 ]
 _BEYOND = re.compile(r"[^\x00-\x7f]")
 _ESCAPED = re.compile(r"&#?[0-9A-Za-z]{2,8};|\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}|%[89A-Fa-f][0-9A-Fa-f]")
 _QUOTED = re.compile(r"(?<!`)`[^`\n]{1,80}`(?!`)")
 _LOST_NBSP = re.compile("Ã (?=[\\s.,;:!?)]|[a-z])|â‰ ")
-_LOST_SHY = re.compile(rf"Ã(?=[{LOWER}])|(?<=[{LOWER}])Ã(?=[\s.,;:!?)]|$)")
+_LOST_SHY = re.compile(rf"Ã(?=[{LOWER}])|(?<=[{LOWER}])Ã(?=[ \t.,;:!?)]|$)")
 MARGIN = 1.0
 
 
@@ -117,7 +117,7 @@ def _utf8(text: str, read: str) -> str:
             return m.group()
 
     out = UTF[read].sub(one, text)
-    if read in WESTERN and out != text:
+    if read in WESTERN and out != text and not UTF[read].search(out):
         # after no-break spaces became blanks and soft hyphens were lost, two letters remain without their tail
         out = _LOST_NBSP.sub(lambda m: bytes([*(enc[ord(c)] for c in m.group()[:-1]), 0xA0]).decode("utf-8", "replace"), out)
         out = _LOST_SHY.sub("í", out)
