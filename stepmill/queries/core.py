@@ -172,7 +172,7 @@ def q_f1_quality_issues(spark, d):
     return t.select("traj_id", issues.alias("issues"))
 
 
-@query(rf"""SELECT task_id, array_to_string(list_sort({PATHS}), ',') AS headers,
+@query(rf"""SELECT task_id, CASE WHEN patch IS NOT NULL THEN array_to_string(list_sort({PATHS}), ',') END AS headers,
  array_to_string(list_sort(list_distinct(list_filter([regexp_replace(split_part(x, chr(9), 1), '^b/', '') for x in regexp_extract_all(patch, '(?m)^\+\+\+ (.+)$', 1)], lambda p: p <> '/dev/null'))), ',') AS targets,
  len(list_filter(string_split(patch, chr(10)), lambda l: starts_with(l, '+') AND NOT starts_with(l, '+++ '))) AS added, len(list_filter(string_split(patch, chr(10)), lambda l: starts_with(l, '-') AND NOT starts_with(l, '--- '))) AS removed,
  lower(trim(coalesce(patch, ''))) NOT IN ({EMPTY}) AS has_patch FROM tasks""")
