@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from stepmill.session import cut
 
-RATIO, WORDS, SHORT, SHARED = 0.85, 5, 16, 4
+RATIO, WORDS, SHORT, SHARED = 0.85, 5, 16, 8
 
 
 def split_class(split: Column) -> Column:
@@ -82,12 +82,45 @@ def _required(words: Column, width: int, r: float) -> Column:
     return F.greatest(F.lit(1), F.ceil(n * r / 2 - gaps * (width - 1) - 1e-9).cast("int"))
 
 
-def _shingles(classes: DataFrame, width: int) -> DataFrame:
-    w = F.split("text", " ")
-    last = F.size(w) - width
-    grams = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.struct(F.xxhash64(F.array_join(F.slice(w, i + 1, width), " ")).alias("g"), i.cast("int").alias("p")))
-    g = classes.select("class", "words", "is_eval", "is_train", F.explode(grams).alias("s")).select("class", "words", "is_eval", "is_train", "s.g", "s.p")
-    return g.groupBy("class", "g").agg(F.first("words").alias("words"), F.first("is_eval").alias("is_eval"), F.first("is_train").alias("is_train"), F.min("p").alias("p"), F.max("p").alias("p_last"))
+def _shingles(classes: DataFrame, width: int, r: float) -> DataFrame:
+    """One row per class and distinct shingle: class, words, is_eval, is_train, g, p, need.
+
+    p is the position, NULL where the shingle is repeated; need is the number of shingles that any partner shares, less
+    the repetitions. The texts are spread by class first, so that neither the distinct shingles nor their number needs
+    another shuffle.
+    """
+    # the words' hashes are bound to a lambda variable, so that they are taken once a text and not once a shingle
+    hashes = F.transform(F.split("text", " "), lambda x: F.xxhash64(x))
+    take = lambda h, i: F.xxhash64(*(F.coalesce(F.get(h, i + k), F.lit(0)) for k in range(width)))
+    grams = F.flatten(F.transform(F.array(hashes), lambda h: F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - width, F.lit(0))), lambda i: F.struct(take(h, i).alias("g"), i.alias("p")))))
+    g = classes.repartition("class").select("class", "words", "is_eval", "is_train", F.explode(grams).alias("s"))
+    g = g.groupBy("class", "words", "is_eval", "is_train", F.col("s.g").alias("g")).agg(F.min("s.p").alias("p"), F.max("s.p").alias("last"))
+    total = F.greatest(F.col("words") - (width - 1), F.lit(1))
+    distinct = F.count(F.lit(1)).over(Window.partitionBy("class"))
+    need = F.greatest(F.lit(1), _required(F.col("words"), width, r) - (total - distinct).cast("int"))
+    return g.select("class", "words", "is_eval", "is_train", "g", F.when(F.col("p") == F.col("last"), F.col("p")).alias("p"), need.alias("need"))
+
+
+def prefixes(classes: DataFrame, width: int, r: float, shared: int) -> DataFrame:
+    """The rarest shingles of each class that a partner of ratio >= r must hit at least `times` times."""
+    grams = _shingles(classes, width, r)
+    freq = grams.groupBy("g").agg(F.count(F.lit(1)).alias("df"), F.bool_or("is_eval").alias("e"), F.bool_or("is_train").alias("t")).filter("e AND t AND df > 1").select("g", "df")
+    per = Window.partitionBy("class")
+    # shingles of one side only come first in the order and cannot link, so the rest needs its own number only
+    linked = grams.join(freq, "g").withColumn("n", F.count(F.lit(1)).over(per)).filter("n >= need")
+    linked = linked.withColumn("rank", F.row_number().over(per.orderBy("df", "g"))).withColumn("times", F.least("need", F.lit(shared)))
+    return linked.filter(F.col("rank") <= F.col("n") - F.col("need") + F.col("times")).select("class", "words", "is_eval", "is_train", "g", "p", "times")
+
+
+def candidates(prefix: DataFrame, r: float) -> DataFrame:
+    """(eval_class, train_class) that share enough prefix shingles, by length and position."""
+    e, t = prefix.filter("is_eval").alias("e"), prefix.filter("is_train").alias("t")
+    n = F.col("e.words") + F.col("t.words")
+    close = F.least("e.words", "t.words") * 2 >= n * F.lit(r)
+    rest = F.least(F.col("e.p"), F.col("t.p")) + F.least(F.col("e.words") - F.col("e.p"), F.col("t.words") - F.col("t.p"))
+    near = F.coalesce(rest * 2 >= n * F.lit(r), F.lit(True))
+    hits = e.join(t, (F.col("e.g") == F.col("t.g")) & (F.col("e.class") != F.col("t.class")) & close & near)
+    return hits.groupBy(F.col("e.class").alias("eval_class"), F.col("t.class").alias("train_class")).agg(F.count(F.lit(1)).alias("hits"), F.min(F.least("e.times", "t.times")).alias("times")).filter("hits >= times").select("eval_class", "train_class")
 
 
 def near_pairs(classes: DataFrame, r: float = RATIO, width: int = WORDS, shared: int = SHARED) -> DataFrame:
@@ -97,30 +130,10 @@ def near_pairs(classes: DataFrame, r: float = RATIO, width: int = WORDS, shared:
     `width` words. Counts run over all classes; a shingle of one side only cannot link and is not moved again, but keeps
     its place in front of the order.
     """
-    found = None
     # the two kinds overlap, so that a short and a slightly longer text meet in one of them
-    for w, part in ((1, classes.filter(F.col("words") <= SHORT)), (width, classes.filter(F.col("words") >= F.lit(int(SHORT * r / (2 - r)))))):
-        grams = cut(_shingles(part, w))
-        freq = grams.groupBy("g").agg(F.count(F.lit(1)).alias("df"), F.bool_or("is_eval").alias("e"), F.bool_or("is_train").alias("t")).filter("e AND t AND df > 1").select("g", "df")
-        linked = grams.join(freq, "g")
-        per = Window.partitionBy("class")
-        need = _required(F.col("words"), w, r)
-        # repeated shingles count once, so the requirement shrinks by the repetitions
-        total = F.greatest(F.col("words") - (w - 1), F.lit(1))
-        sizes = grams.groupBy("class").agg(F.count(F.lit(1)).alias("distinct"))
-        linked = linked.join(sizes, "class").withColumn("need", F.greatest(F.lit(1), need - (total - F.col("distinct")).cast("int")))
-        linked = linked.withColumn("n", F.count(F.lit(1)).over(per)).filter("n >= need")
-        linked = linked.withColumn("rank", F.row_number().over(per.orderBy("df", "g"))).withColumn("times", F.least("need", F.lit(shared)))
-        prefix = cut(linked.filter(F.col("rank") <= F.col("n") - F.col("need") + F.col("times")).select("class", "words", "is_eval", "is_train", "g", "p", "p_last", "times"))
-        e, t = prefix.filter("is_eval").alias("e"), prefix.filter("is_train").alias("t")
-        n = F.col("e.words") + F.col("t.words")
-        close = F.least("e.words", "t.words") * 2 >= n * F.lit(r)
-        once = (F.col("e.p") == F.col("e.p_last")) & (F.col("t.p") == F.col("t.p_last"))
-        rest = F.least(F.col("e.p"), F.col("t.p")) + F.least(F.col("e.words") - F.col("e.p"), F.col("t.words") - F.col("t.p"))
-        hits = e.join(t, (F.col("e.g") == F.col("t.g")) & (F.col("e.class") != F.col("t.class")) & close & (~once | (rest * 2 >= n * F.lit(r))))
-        pairs = hits.groupBy(F.col("e.class").alias("eval_class"), F.col("t.class").alias("train_class")).agg(F.count(F.lit(1)).alias("hits"), F.min(F.least("e.times", "t.times")).alias("times")).filter("hits >= times").select("eval_class", "train_class")
-        found = pairs if found is None else found.unionByName(pairs)
-    pairs = found.distinct()
+    parts = ((1, classes.filter(F.col("words") <= SHORT)), (width, classes.filter(F.col("words") >= F.lit(int(SHORT * r / (2 - r))))))
+    short, long = (candidates(cut(prefixes(part, w, r, shared)), r) for w, part in parts)
+    pairs = short.unionByName(long).distinct()
     text = classes.select("class", "text")
     pairs = pairs.join(text.withColumnsRenamed({"class": "eval_class", "text": "a"}), "eval_class").join(text.withColumnsRenamed({"class": "train_class", "text": "b"}), "train_class")
     return pairs.withColumn("ratio", _verify(r - 1e-9)("a", "b")).filter(F.col("ratio") >= r - 1e-9).select("eval_class", "train_class", "ratio")
@@ -134,8 +147,8 @@ def overlap_links(trajectories: DataFrame, r: float = RATIO) -> tuple[DataFrame,
     Repeated rows and ties do no harm; texts are whole; columns of other names are ignored.
     """
     t = trajectories.filter("traj_id IS NOT NULL").select("traj_id", "repo", split_class(F.col("split")).alias("split"), F.lower(F.trim("instance_id")).alias("iid"), normal_words(F.col("problem_statement")).alias("statement"), F.when(F.size("steps") > 0, steps_words(F.col("steps"))).alias("steps")).filter("split IS NOT NULL")
-    digest = lambda c: F.md5(F.col(c).cast("binary"))
-    kinds = (("instance_id", F.when(F.col("iid") != "", F.md5(F.col("iid").cast("binary"))), F.lit(None).cast("string")), ("problem_statement", digest("statement"), F.col("statement")), ("steps", digest("steps"), F.col("steps")))
+    digest = lambda c: F.unhex(F.md5(F.col(c).cast("binary")))
+    kinds = (("instance_id", F.when(F.col("iid") != "", digest("iid")), F.lit(None).cast("string")), ("problem_statement", digest("statement"), F.col("statement")), ("steps", digest("steps"), F.col("steps")))
     t = t.select("traj_id", "repo", "split", (F.col("split") == "train").alias("is_train"), F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), c.alias("class"), x.alias("text")) for k, c, x in kinds))).alias("k"))
     t = cut(t.select("traj_id", "repo", "split", "is_train", "k.kind", "k.class", "k.text").filter("class IS NOT NULL"))
     classes = t.groupBy("kind", "class").agg(F.first("text").alias("text"), F.bool_or("is_train").alias("is_train"), F.bool_or(~F.col("is_train")).alias("is_eval"))
