@@ -1,6 +1,6 @@
 """Registered queries of the core and their SQL."""
 
-from stepmill.queries import core, skew
+from stepmill.queries import core, more, skew
 
-QUERIES = {**skew.QUERIES, **core.QUERIES}
-SQL = {**skew.SQL, **core.SQL}
+QUERIES = {**skew.QUERIES, **core.QUERIES, **more.QUERIES}
+SQL = {**skew.SQL, **core.SQL, **more.SQL}

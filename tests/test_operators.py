@@ -141,3 +141,26 @@ def test_compare(spark):
     issues = spark.createDataFrame([(1, "r", ["parser", "docs"])], "id long, repo string, t array<string>")
     ranked = compare.rank_files(issues, files, "id", F.col("t"), top=2).orderBy("rank").collect()
     assert [(r["path"], r["score"]) for r in ranked] == [("tests/test_parser.py", 13), ("src/parser.py", 12)]
+
+
+def test_records_and_files(spark):
+    from stepmill.functions import actions
+    from stepmill.operators import files, records
+
+    f = spark.createDataFrame([("r", "b.py", "one\ntwo\nx = two\n"), ("r", "a.py", "nothing"), ("r", "a.py", "nothing")], "repo string, path string, content string")
+    assert [tuple(r) for r in files.list_files(f, "repo", 1).collect()] == [("r", "a.py\n... 1 more files")]
+    assert {(r["path"], r["line"]) for r in files.search_code(f, F.lit("two")).collect()} == {("b.py", 2), ("b.py", 3)}
+    assert files.search_code(f, F.lit("")).count() == 0
+    assert f.filter("path = 'b.py'").select(files.read_lines(F.col("content"), F.lit(2), F.lit(9))).first()[0] == "two\nx = two\n"
+    plan = files.navigation_plan(spark.createDataFrame([(1, "d/x.py", 1, 9), (1, "d/x.py", 50, 60), (1, "top.py", 1, 2)], "k long, path string, start int, end int"), "k").orderBy("step_index").collect()
+    assert [(r["tool"], r["path"]) for r in plan] == [("list_files", "d"), ("read_file", "d/x.py"), ("read_file", "d/x.py"), ("list_files", "."), ("read_file", "top.py"), ("apply_patch", None)]
+    t = spark.createDataFrame([('["a", " ", "b"]',), ("t::x",), (None,), ('{"a": 1}',)], "v string")
+    assert [r[0] for r in t.select(actions.test_ids(F.col("v"))).collect()] == [["a", "b"], ["t::x"], [], []]
+    s = spark.createDataFrame([('```\n{"a": 1}\n```',), ('{"a": 1} tail',), ("[1]",), ('no {bad} {"b": 2} x',)], "v string")
+    assert [r[0] for r in s.select(actions.strict_object(F.col("v"))).collect()] == ['{"a": 1}', None, None, None]
+    assert [r[0] for r in s.select(actions.any_object(F.col("v"))).collect()] == ['{"a":1}', '{"a":1}', None, '{"b":2}']
+    r = spark.createDataFrame([("Thought: t\nAction: write_file({\"path\": \"a\"})",), ('{"tool": "grep", "arguments": {"query": "q"}}',)], "v string").select(actions.parse_react(F.col("v")).alias("p")).collect()
+    assert (r[0]["p"]["tool"], r[0]["p"]["invalid_action"], r[1]["p"]["tool"], r[1]["p"]["invalid_action"]) == ("write_file", False, "search_code", True)
+    g = spark.createDataFrame([(1, True), (1, False), (2, None), (2, False)], "k int, bad boolean")
+    assert {r["k"] for r in records.all_or_nothing(g, "k", F.col("bad")).collect()} == {2}
+    assert "max_results" in actions.tool_schemas()
