@@ -14,12 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's spark.checkpoint.dir; where it is unset (tests, one machine), set a folder of our own."""
-    if spark.conf.get("spark.checkpoint.dir", None):
-        return
+    """Use the cluster's spark.checkpoint.dir; only where it is unset (tests, one machine), set a folder of our own."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
+    if not sc._jsc.sc().getCheckpointDir().isEmpty():
+        return
+    if shared := spark.conf.get("spark.checkpoint.dir", None):
+        sc.setCheckpointDir(shared)
+    elif sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="stepmill-checkpoint-"))
+    else:  # the warehouse is a folder that all executors share
+        sc.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -93,7 +93,7 @@ def test_streams(spark, tmp_path):
     q = replay_stream(spark.readStream.schema(schema).parquet(src)).writeStream.format("memory").queryName("replay2").outputMode("update").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert ("VERIFY", 3) in {(r["phase"], r["seen"]) for r in spark.table("replay2").collect()}
-    steps = spark.createDataFrame([(1, 0, "read_file", True, 0), (1, 0, "read_file", True, 0), (1, 1, "read_file", False, 60), (1, 2, "ls", None, 1)], "rollout_id long, step_index long, executed_tool string, tool_success boolean, s long").select("rollout_id", "step_index", "executed_tool", "tool_success", F.timestamp_seconds("s").alias("recorded_at"))
+    steps = spark.createDataFrame([(1, 0, "read_file", True, 0), (1, 0, "read_file", True, 0), (1, 1, "read_file", False, 60)], "rollout_id long, step_index long, executed_tool string, tool_success boolean, s long").select("rollout_id", "step_index", "executed_tool", "tool_success", F.timestamp_seconds(F.col("s") + 1_000_000_000).alias("recorded_at"))
     src = str(tmp_path / "src2")
     steps.coalesce(1).write.parquet(src)
     q = tool_counts(spark.readStream.schema(steps.schema).parquet(src)).writeStream.format("memory").queryName("counts").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp3")).trigger(availableNow=True).start()
