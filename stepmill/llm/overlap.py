@@ -28,12 +28,11 @@ def split_class(split: Column) -> Column:
 
 
 def normal_words(text: Column) -> Column:
-    """Words of a text joined by one blank: case, blanks, punctuation and markup (tags, entities, emphasis) aside; NULL if none."""
+    """Words of a text joined by one blank: case, blanks, punctuation and markup (tags, entities, emphasis) aside; '' if none."""
     t = F.regexp_replace(F.lower(text), r"</?[a-z][^<>\n]*>|&(?:[a-z]{2,8}|#\d{1,6});", " ")
     t = F.regexp_replace(t, r"[^\p{L}\p{M}\p{N}_]+", " ")
     t = F.trim(F.regexp_replace(t, r"(?<![\p{L}\p{N}])_+|_+(?![\p{L}\p{N}_])", " "))
-    t = F.regexp_replace(t, " +", " ")
-    return F.when(t != "", t)
+    return F.regexp_replace(t, " +", " ")
 
 
 def steps_words(steps: Column) -> Column:
@@ -146,10 +145,11 @@ def overlap_links(trajectories: DataFrame, r: float = RATIO) -> tuple[DataFrame,
     that groups of copies need not be expanded. NULL or blank values, empty steps and rows in no split have no class.
     Repeated rows and ties do no harm; texts are whole; columns of other names are ignored.
     """
-    t = trajectories.filter("traj_id IS NOT NULL").select("traj_id", "repo", split_class(F.col("split")).alias("split"), F.lower(F.trim("instance_id")).alias("iid"), normal_words(F.col("problem_statement")).alias("statement"), F.when(F.size("steps") > 0, steps_words(F.col("steps"))).alias("steps")).filter("split IS NOT NULL")
-    digest = lambda c: F.unhex(F.md5(F.col(c).cast("binary")))
-    kinds = (("instance_id", F.when(F.col("iid") != "", digest("iid")), F.lit(None).cast("string")), ("problem_statement", digest("statement"), F.col("statement")), ("steps", digest("steps"), F.col("steps")))
-    t = t.select("traj_id", "repo", "split", (F.col("split") == "train").alias("is_train"), F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), c.alias("class"), x.alias("text")) for k, c, x in kinds))).alias("k"))
+    # each text is bound to a lambda variable, so that it is made once, not once for its digest and once for itself
+    bind = lambda kind, c, keep: F.transform(F.array(c), lambda x: F.struct(F.lit(kind).alias("kind"), F.when(x != "", F.unhex(F.md5(x.cast("binary")))).alias("class"), (x if keep else F.lit(None).cast("string")).alias("text")))
+    kinds = F.concat(bind("instance_id", F.lower(F.trim("instance_id")), False), bind("problem_statement", normal_words(F.col("problem_statement")), True), bind("steps", F.when(F.size("steps") > 0, steps_words(F.col("steps"))), True))
+    t = trajectories.filter("traj_id IS NOT NULL").select("traj_id", "repo", split_class(F.col("split")).alias("split"), kinds.alias("kinds")).filter("split IS NOT NULL")
+    t = t.select("traj_id", "repo", "split", (F.col("split") == "train").alias("is_train"), F.explode("kinds").alias("k"))
     t = cut(t.select("traj_id", "repo", "split", "is_train", "k.kind", "k.class", "k.text").filter("class IS NOT NULL"))
     classes = t.groupBy("kind", "class").agg(F.first("text").alias("text"), F.bool_or("is_train").alias("is_train"), F.bool_or(~F.col("is_train")).alias("is_eval"))
     links = classes.filter("is_train AND is_eval").select("kind", F.col("class").alias("eval_class"), F.col("class").alias("train_class"), F.lit(1.0).alias("ratio"))
@@ -169,5 +169,12 @@ def overlap_pairs(trajectories: DataFrame, r: float = RATIO) -> DataFrame:
 
 
 def overlap_report(trajectories: DataFrame, r: float = RATIO) -> DataFrame:
-    """Per evaluation split and repo: records, records with an overlap, pairs (copies multiplied out by counting, not listed)."""
-    return overlap_pairs(trajectories, r).groupBy("split", "repo").agg(F.countDistinct("eval_id").alias("records"), F.countDistinct("train_id").alias("train_records"), F.count(F.lit(1)).alias("pairs"), *(F.count_if(F.array_contains("kinds", k)).alias(f"by_{k}") for k in ("instance_id", "problem_statement", "steps")))
+    """(kind, split, repo, records, pairs) per evaluation split and repo: records that overlap with train, and pairs.
+
+    Pairs are counted by multiplying the sizes of linked classes, so groups of copies are never expanded. NULL repo is one group.
+    """
+    members, links = overlap_links(trajectories, r)
+    e = members.filter("NOT is_train").groupBy("kind", F.col("class").alias("eval_class"), "split", "repo").agg(F.countDistinct("traj_id").alias("e_ids"))
+    t = members.filter("is_train").groupBy("kind", F.col("class").alias("train_class")).agg(F.countDistinct("traj_id").alias("t_ids"))
+    per_class = links.join(t, ["kind", "train_class"]).groupBy("kind", "eval_class").agg(F.sum("t_ids").alias("partners"))
+    return per_class.join(e, ["kind", "eval_class"]).groupBy("kind", "split", "repo").agg(F.sum("e_ids").alias("records"), F.sum(F.col("e_ids") * F.col("partners")).alias("pairs"))

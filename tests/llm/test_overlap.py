@@ -21,7 +21,7 @@ def test_split_spellings(spark, text, want):
 def test_normal_words(spark):
     rows = ["## A *bold*  _word_\r\n`x_y` <b>t</b> &amp; 3.5", None, "", " ... "]
     got = [r[0] for r in spark.createDataFrame([(r,) for r in rows], "s string").select(O.normal_words(F.col("s"))).collect()]
-    assert got == ["a bold word x_y t 3 5", None, None, None]
+    assert got == ["a bold word x_y t 3 5", None, "", ""]
 
 
 def edit(rng, words, share):
@@ -69,8 +69,8 @@ def test_instance_ids_nulls_and_copies(spark):
     rows = [(1, " Own__Name-1", "r", None, "train", None), (2, "own__name-1 ", "r", "", "valid", []), (3, None, "r", text, "train", None), (3, None, "r", text, "train", None), (4, "", "r", text.title() + "!", "TEST", None), (5, "", None, None, "test", None), (6, None, "r", text, None, None), (None, "own__name-1", "r", text, "test", None)]
     pairs = {(r["eval_id"], r["train_id"]): r["kinds"] for r in O.overlap_pairs(frame(spark, rows)).collect()}
     assert pairs == {(2, 1): ["instance_id"], (4, 3): ["problem_statement"]}
-    report = {r["split"]: r["pairs"] for r in O.overlap_report(frame(spark, rows)).collect()}
-    assert report == {"validation": 1, "test": 1}
+    report = {(r["kind"], r["split"]): (r["records"], r["pairs"]) for r in O.overlap_report(frame(spark, rows)).collect()}
+    assert report == {("instance_id", "validation"): (1, 1), ("problem_statement", "test"): (1, 1)}
 
 
 def test_empty(spark):
