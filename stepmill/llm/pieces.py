@@ -31,8 +31,10 @@ def _atoms(text: str, room: int) -> list[tuple[int, int, int]]:
             out.append((start, end, after))
             return
         if level == 0:
-            for i in range(start, end, room):
-                j = min(i + room, end)
+            # slices of equal length leave their neighbours room to join them
+            step = -(-(end - start) // -(-(end - start) // room))
+            for i in range(start, end, step):
+                j = min(i + step, end)
                 out.append((i, j, after if j == end else 0))
             return
         pattern = _SENTENCE if level == 2 else _BLANK
