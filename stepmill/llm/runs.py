@@ -136,8 +136,7 @@ def collapse_runs(steps: DataFrame, block: int = BLOCK) -> DataFrame:
         F.coalesce(F.col("ingested_at"), F.timestamp_micros(F.lit(-(2**62)))).alias("ingested_at"),
     )
     # one shuffle: deduplication, lag and running sum all keep to (rollout_id, block)
-    n = int(s.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    s = s.repartition(n, "rollout_id", "block")
+    s = s.repartition("rollout_id", "block")
     w = Window.partitionBy("rollout_id", "block").orderBy("step_index", F.desc("ingested_at"))
     s = s.withColumn("first_row", F.coalesce(F.lag("step_index").over(w) != F.col("step_index"), F.lit(True))).filter("first_row").drop("first_row", "ingested_at")
     w = Window.partitionBy("rollout_id", "block").orderBy("step_index")
