@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from stepmill.session import cut
 
-RATIO, WORDS, SHORT, SHARED = 0.85, 5, 16, 8
+RATIO, WORDS, SHORT, SHARED = 0.85, 5, 16, 0.4
 
 
 def split_class(split: Column) -> Column:
@@ -100,14 +100,18 @@ def _shingles(classes: DataFrame, width: int, r: float) -> DataFrame:
     return g.select("class", "words", "is_eval", "is_train", "g", F.when(F.col("p") == F.col("last"), F.col("p")).alias("p"), need.alias("need"))
 
 
-def prefixes(classes: DataFrame, width: int, r: float, shared: int) -> DataFrame:
-    """The rarest shingles of each class that a partner of ratio >= r must hit at least `times` times."""
+def prefixes(classes: DataFrame, width: int, r: float, shared: float) -> DataFrame:
+    """The rarest shingles of each class that a partner of ratio >= r must hit at least `times` times.
+
+    times is four, or the share `shared` of what must be shared if that is more: a longer prefix with more required hits
+    gives a few more hits to count, and far fewer pairs to verify among long texts with common phrases.
+    """
     grams = _shingles(classes, width, r)
     freq = grams.groupBy("g").agg(F.count(F.lit(1)).alias("df"), F.bool_or("is_eval").alias("e"), F.bool_or("is_train").alias("t")).filter("e AND t AND df > 1").select("g", "df")
     per = Window.partitionBy("class")
     # shingles of one side only come first in the order and cannot link, so the rest needs its own number only
     linked = grams.join(freq, "g").withColumn("n", F.count(F.lit(1)).over(per)).filter("n >= need")
-    linked = linked.withColumn("rank", F.row_number().over(per.orderBy("df", "g"))).withColumn("times", F.least("need", F.lit(shared)))
+    linked = linked.withColumn("rank", F.row_number().over(per.orderBy("df", "g"))).withColumn("times", F.least("need", F.greatest(F.lit(4), F.ceil(F.col("need") * shared).cast("int"))))
     return linked.filter(F.col("rank") <= F.col("n") - F.col("need") + F.col("times")).select("class", "words", "is_eval", "is_train", "g", "p", "times")
 
 
@@ -122,7 +126,7 @@ def candidates(prefix: DataFrame, r: float) -> DataFrame:
     return hits.groupBy(F.col("e.class").alias("eval_class"), F.col("t.class").alias("train_class")).agg(F.count(F.lit(1)).alias("hits"), F.min(F.least("e.times", "t.times")).alias("times")).filter("hits >= times").select("eval_class", "train_class")
 
 
-def near_pairs(classes: DataFrame, r: float = RATIO, width: int = WORDS, shared: int = SHARED) -> DataFrame:
+def near_pairs(classes: DataFrame, r: float = RATIO, width: int = WORDS, shared: float = SHARED) -> DataFrame:
     """(eval_class, train_class, ratio) of different classes with ratio >= r, of (class, text, words, is_eval, is_train).
 
     Classes of at most SHORT words are joined on single words, for which the bound is exact; longer ones on shingles of
