@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stepmill.functions.calls import call_status
 from stepmill.functions.dims import ROLLOUT_ENVIRONMENT, ROLLOUT_TIMEOUT
-from stepmill.functions.text import has_patch
+from stepmill.functions.text import call_arguments, has_patch, normal_name, tool_of
 
 
 def first_match(ladder: Sequence[tuple[Column, str]], otherwise: str | None = None) -> Column:
@@ -61,6 +62,24 @@ def action_failure(tool: Column, observation: Column, success: Column, truncated
     ])
 
 
+def arguments_status(df: DataFrame, action: str, proposed: str, status: str = "arguments_status") -> DataFrame:
+    """Adds what is wrong with the call itself, for action_failure: unknown_tool, invalid_json (an `invalid(` action), missing_argument or schema_error.
+
+    The proposed tool counts, aliases repaired; without one only an `invalid(` action has a status. Arguments that are no strict JSON object are a schema_error.
+    """
+    # columns of their own, so that they are made once a row; the action has to end with the parenthesis
+    d = df.withColumn("__tool", tool_of(F.col(proposed))).withColumn("__args", F.when(F.col(action).endswith(")"), call_arguments(F.col(action))))
+    # the parser of call_status takes text after the object; such text can close or go on in an array or in an object, never in both
+    whole = F.regexp_like("__args", F.lit(r"(?s)\A\s*\{.*\}\s*\z"))
+    for left, right in (("[", "]"), ('{"x":', "}")):
+        whole &= F.try_parse_json(F.concat(F.lit(left), "__args", F.lit(right))).isNotNull()
+    d = d.withColumn("__args", F.when(whole, F.col("__args"))).withColumn("__s", call_status(F.col("__tool"), F.col("__args")))
+    unknown = F.coalesce(normal_name(F.col(proposed)) != "", F.lit(False)) & F.col("__tool").isNull()
+    s = F.when(unknown, "unknown_tool").when(F.coalesce(F.col(action).startswith("invalid("), F.lit(False)), "invalid_json").when(F.col("__tool").isNull(), F.lit(None).cast("string"))
+    s = s.when(F.col("__s") == "missing_argument", "missing_argument").when(F.col("__s").isNotNull(), "schema_error")
+    return d.withColumn(status, s).drop("__tool", "__args", "__s")
+
+
 def rollout_failure(success: Column, flags: dict[str, Column], patch: Column, result: Column, diagnostics: Column) -> Column:
     """Reason of a failed rollout. flags: invalid, patch_failed, tool_failed (of the steps). Successful rollouts have NULL."""
     return F.when(F.coalesce(success, F.lit(False)), F.lit(None).cast("string")).otherwise(first_match([

@@ -311,6 +311,15 @@ def q_c4_action_failures(spark, d):
     return s.groupBy("executed_tool", f.alias("failure")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query()
+def q_c4_action_ladder(spark, d):
+    """All 13 classes, those of the call itself included; q_c4_action_failures leaves these out, as its SQL does."""
+    s = _steps(spark, d, "executed_tool", "model_proposed_tool", "action", "observation", "tool_success", "generation_truncated", "controller_intervened")
+    s = classify.arguments_status(s, "action", "model_proposed_tool")
+    f = classify.action_failure(F.col("executed_tool"), F.col("observation"), F.col("tool_success"), F.col("generation_truncated"), F.col("action").startswith("invalid("), F.col("controller_intervened"), F.col("arguments_status"))
+    return s.groupBy("executed_tool", f.alias("failure")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"""WITH {FACTS}, l AS (SELECT rollout_id, concat_ws(',', CASE WHEN invalid THEN 'invalid_action' END, CASE WHEN final_test = 'failed' THEN 'test_failed' END, CASE WHEN tool_failed THEN 'tool_error' END) AS labels FROM fc)
 SELECT rollout_id, labels, CASE WHEN contains(labels, 'test_failed') THEN 'test_failed' WHEN contains(labels, 'tool_error') THEN 'tool_error' WHEN contains(labels, 'invalid_action') THEN 'invalid_action' ELSE 'unknown' END AS first_label FROM l""")
 def q_c5_primary_secondary(spark, d):
