@@ -80,18 +80,24 @@ def arguments_status(df: DataFrame, action: str, proposed: str, status: str = "a
     return d.withColumn(status, s).drop("__tool", "__args", "__s")
 
 
-def rollout_failure(success: Column, flags: dict[str, Column], patch: Column, result: Column, diagnostics: Column) -> Column:
-    """Reason of a failed rollout. flags: invalid, patch_failed, tool_failed (of the steps). Successful rollouts have NULL."""
-    return F.when(F.coalesce(success, F.lit(False)), F.lit(None).cast("string")).otherwise(first_match([
+def rollout_failure(success: Column, flags: dict[str, Column], patch: Column, result: Column, diagnostics: Column, modified: Column | None = None) -> Column:
+    """Reason of a failed rollout. flags: invalid, patch_failed, tool_failed (of the steps). Successful rollouts have NULL.
+
+    The whole ladder takes the modified files and the flags late, environment (patterns in any observation), error_step and wrote too.
+    """
+    flag = lambda name: F.coalesce(flags[name], F.lit(False)) if name in flags else F.lit(False)
+    ladder = [
         (flags["invalid"], "invalid_action"),
-        (diagnostics.rlike(ROLLOUT_TIMEOUT), "timeout"),
-        (diagnostics.rlike(ROLLOUT_ENVIRONMENT), "environment_error"),
+        (flag("late") | F.coalesce(diagnostics.rlike(ROLLOUT_TIMEOUT), F.lit(False)), "timeout"),
+        (flag("environment") | flag("error_step") | F.coalesce(diagnostics.rlike(ROLLOUT_ENVIRONMENT), F.lit(False)), "environment_error"),
         (flags["patch_failed"], "patch_failed"),
         (flags["tool_failed"], "tool_error"),
         (~has_patch(patch), "no_patch"),
-        (result.isNull(), "environment_error"),
-        (~result["passed"], "test_failed"),
-    ], "patch_failed"))
+    ]
+    if modified is not None:
+        ladder.append((flag("wrote") & (F.coalesce(F.size(modified), F.lit(0)) <= 0), "patch_failed"))
+    ladder += [(result.isNull(), "environment_error"), (~result["passed"], "test_failed")]
+    return F.when(F.coalesce(success, F.lit(False)), F.lit(None).cast("string")).otherwise(first_match(ladder, "patch_failed"))
 
 
 def zero_filled(counts: DataFrame, column: str, labels: Sequence[str], by: list[str]) -> DataFrame:

@@ -261,9 +261,12 @@ FLAGS = f"""fl AS (SELECT rollout_id, bool_or(coalesce(invalid_action, false)) A
 
 
 def _facts(spark, d):
-    s = _steps(spark, d, "invalid_action", "tool_success", "executed_tool")
+    return _facts_of(_steps(spark, d, "invalid_action", "tool_success", "executed_tool"))
+
+
+def _facts_of(s, *more):
     failed = F.coalesce(~F.col("tool_success"), F.lit(False))
-    return s.groupBy("rollout_id").agg(F.bool_or(F.coalesce("invalid_action", F.lit(False))).alias("invalid"), F.bool_or(failed & (F.col("executed_tool") == "apply_patch")).alias("patch_failed"), F.bool_or(failed).alias("tool_failed"), F.count(F.lit(1)).alias("steps"), F.count_if(F.col("executed_tool").isNotNull()).alias("tool_calls"), F.count_if("invalid_action").alias("invalid_actions"), F.count_if(~F.col("tool_success")).alias("tool_failures"))
+    return s.groupBy("rollout_id").agg(F.bool_or(F.coalesce("invalid_action", F.lit(False))).alias("invalid"), F.bool_or(failed & (F.col("executed_tool") == "apply_patch")).alias("patch_failed"), F.bool_or(failed).alias("tool_failed"), F.count(F.lit(1)).alias("steps"), F.count_if(F.col("executed_tool").isNotNull()).alias("tool_calls"), F.count_if("invalid_action").alias("invalid_actions"), F.count_if(~F.col("tool_success")).alias("tool_failures"), *more)
 
 
 REASON = f"""CASE WHEN coalesce(success, false) THEN NULL WHEN invalid THEN 'invalid_action' WHEN regexp_matches(dg, '{ROLLOUT_TIMEOUT}') THEN 'timeout' WHEN regexp_matches(dg, '{ROLLOUT_ENVIRONMENT}') THEN 'environment_error'
@@ -278,9 +281,31 @@ def _classified(spark, d):
     return r.withColumn("reason", reason).withColumn("final_test", classify.test_state(F.col("test_result")))
 
 
+# The whole ladder of C1; FACTS above lacks the rung of writes that modified nothing and what only observations tell.
+WHOLE_FLAGS = f"""wf AS (SELECT rollout_id, bool_or(regexp_matches(coalesce(observation, ''), '{ROLLOUT_TIMEOUT}')) AS late, bool_or(regexp_matches(coalesce(observation, ''), '{ROLLOUT_ENVIRONMENT}')) AS environment,
+  bool_or(lower(trim(split_part(coalesce(action, ''), '(', 1))) = 'error') AS error_step, bool_or(coalesce(executed_tool = 'apply_patch', false) OR lower(trim(split_part(coalesce(action, ''), '(', 1))) IN ('write_file', 'apply_patch')) AS wrote FROM st GROUP BY 1)"""
+WHOLE_REASON = f"""CASE WHEN coalesce(success, false) THEN NULL WHEN invalid THEN 'invalid_action' WHEN late OR regexp_matches(dg, '{ROLLOUT_TIMEOUT}') THEN 'timeout' WHEN environment OR error_step OR regexp_matches(dg, '{ROLLOUT_ENVIRONMENT}') THEN 'environment_error'
+ WHEN patch_failed THEN 'patch_failed' WHEN tool_failed THEN 'tool_error' WHEN lower(trim(coalesce(patch, ''))) IN ({EMPTY}) THEN 'no_patch' WHEN wrote AND coalesce(len(modified_files), 0) = 0 THEN 'patch_failed' WHEN test_result IS NULL THEN 'environment_error' WHEN NOT test_result.passed THEN 'test_failed' ELSE 'patch_failed' END"""
+WHOLE_FACTS = FACTS.replace(f"{FLAGS},", f"{FLAGS}, {WHOLE_FLAGS},").replace(REASON, WHOLE_REASON).replace("LEFT JOIN fl USING (rollout_id)", "LEFT JOIN fl USING (rollout_id) LEFT JOIN wf USING (rollout_id)")
+
+
+def _classified_whole(spark, d):
+    # the patterns are sought before deliveries are merged, so that only flags are shuffled
+    name, o = text.action_name(F.col("action")), F.coalesce("observation", F.lit(""))
+    wrote = F.coalesce(F.col("executed_tool") == "apply_patch", F.lit(False)) | F.coalesce(name.isin("write_file", "apply_patch"), F.lit(False))
+    flags = {"late": o.rlike(ROLLOUT_TIMEOUT), "environment": o.rlike(ROLLOUT_ENVIRONMENT), "error_step": F.coalesce(name == "error", F.lit(False)), "wrote": wrote}
+    base = ("invalid", "patch_failed", "tool_failed")
+    s = latest_steps(table(spark, d, "steps").withColumns(flags), "invalid_action", "tool_success", "executed_tool", *flags)
+    facts = _facts_of(s, *(F.bool_or(k).alias(k) for k in flags))
+    r = _rollouts(spark, d, "instance_id", "arm", "repo", "success", "patch", "modified_files", "test_result", "host_test_result", "token_usage").join(facts, "rollout_id", "left")
+    dg = F.concat(F.coalesce("test_result.output", F.lit("")), F.lit(" "), F.coalesce("test_result.policy_error", F.lit("")))
+    reason = classify.rollout_failure(F.col("success"), {k: F.col(k) for k in (*base, *flags)}, F.col("patch"), F.col("test_result"), dg, F.col("modified_files"))
+    return r.withColumn("reason", reason).withColumn("final_test", classify.test_state(F.col("test_result")))
+
+
 @query(f"WITH {FACTS} SELECT rollout_id, steps, tool_calls, invalid_actions, tool_failures, final_test, reason FROM fc")
-def q_g2_rollout_facts(spark, d):
-    return _classified(spark, d).select("rollout_id", "steps", "tool_calls", "invalid_actions", "tool_failures", "final_test", "reason")
+def q_g2_rollout_facts(spark, d, classified=_classified):
+    return classified(spark, d).select("rollout_id", "steps", "tool_calls", "invalid_actions", "tool_failures", "final_test", "reason")
 
 
 REASONS = ["invalid_action", "timeout", "environment_error", "patch_failed", "tool_error", "no_patch", "test_failed"]
@@ -288,16 +313,16 @@ REASONS = ["invalid_action", "timeout", "environment_error", "patch_failed", "to
 
 @query(f"""WITH {FACTS}, c AS (SELECT arm, reason, count(*) AS n FROM fc WHERE reason IS NOT NULL GROUP BY 1, 2), d AS (SELECT arm, unnest({REASONS}) AS reason FROM (SELECT DISTINCT arm FROM fc WHERE reason IS NOT NULL))
 SELECT d.arm, d.reason, coalesce(n, 0) AS n FROM d LEFT JOIN c ON d.arm = c.arm AND d.reason = c.reason""")
-def q_g1_failure_taxonomy(spark, d):
-    counts = _classified(spark, d).filter("reason IS NOT NULL").groupBy("arm", "reason").agg(F.count(F.lit(1)).alias("n"))
+def q_g1_failure_taxonomy(spark, d, classified=_classified):
+    counts = classified(spark, d).filter("reason IS NOT NULL").groupBy("arm", "reason").agg(F.count(F.lit(1)).alias("n"))
     return classify.zero_filled(counts, "reason", REASONS, ["arm"])
 
 
 @query(f"""WITH {FACTS} SELECT arm, count(*) AS rollouts, count_if(success) AS successes, count_if(success) / count(*)::DOUBLE AS success_rate, sum(steps)::BIGINT AS steps, sum(tool_calls)::BIGINT AS tool_calls, sum(invalid_actions)::BIGINT AS invalid_actions,
  coalesce(sum(invalid_actions) / nullif(sum(steps), 0)::DOUBLE, 0) AS invalid_rate, count_if(final_test = 'passed') AS passed, count_if(final_test = 'missing') AS missing, sum(token_usage.total_tokens)::BIGINT AS total_tokens FROM fc GROUP BY 1""")
-def q_g3_arm_summary(spark, d):
+def q_g3_arm_summary(spark, d, classified=_classified):
     s = lambda c: F.sum(c)
-    return _classified(spark, d).groupBy("arm").agg(F.count(F.lit(1)).alias("rollouts"), F.count_if("success").alias("successes"), text.guarded_ratio(F.count_if("success"), F.count(F.lit(1))).alias("success_rate"), s("steps").alias("steps"), s("tool_calls").alias("tool_calls"), s("invalid_actions").alias("invalid_actions"), text.guarded_ratio(s("invalid_actions"), s("steps")).alias("invalid_rate"), F.count_if(F.col("final_test") == "passed").alias("passed"), F.count_if(F.col("final_test") == "missing").alias("missing"), s("token_usage.total_tokens").alias("total_tokens"))
+    return classified(spark, d).groupBy("arm").agg(F.count(F.lit(1)).alias("rollouts"), F.count_if("success").alias("successes"), text.guarded_ratio(F.count_if("success"), F.count(F.lit(1))).alias("success_rate"), s("steps").alias("steps"), s("tool_calls").alias("tool_calls"), s("invalid_actions").alias("invalid_actions"), text.guarded_ratio(s("invalid_actions"), s("steps")).alias("invalid_rate"), F.count_if(F.col("final_test") == "passed").alias("passed"), F.count_if(F.col("final_test") == "missing").alias("missing"), s("token_usage.total_tokens").alias("total_tokens"))
 
 
 @query(f"""WITH {ST}, c AS (SELECT executed_tool, lower(coalesce(observation, '')) AS o, NOT tool_success AS failed, generation_truncated AS tr, controller_intervened AS bl FROM st),
@@ -359,8 +384,8 @@ def q_g21_merge_counters(spark, d):
 
 
 @query(f"""WITH {FACTS}, c AS (SELECT reason, count_if(arm = 'sft') - count_if(arm = 'base') AS delta FROM fc WHERE reason IS NOT NULL GROUP BY 1) SELECT reason, delta FROM c ORDER BY abs(delta) DESC, reason DESC LIMIT 1""")
-def q_g20_top_delta(spark, d):
-    c = _classified(spark, d).filter("reason IS NOT NULL").groupBy("arm", "reason").agg(F.count(F.lit(1)).alias("n"))
+def q_g20_top_delta(spark, d, classified=_classified):
+    c = classified(spark, d).filter("reason IS NOT NULL").groupBy("arm", "reason").agg(F.count(F.lit(1)).alias("n"))
     return metrics.top_delta(c.filter("arm = 'base'"), c.filter("arm = 'sft'"), "reason", "n")
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from stepmill.functions import actions, calls, diff, text
 from stepmill.functions.dims import EMPTY_PATCHES, PLANNING_ENVIRONMENT, PLANNING_TIMEOUT, TOOLS
 from stepmill.operators import classify, compare, examples, files, metrics, records, sequence, splits
-from stepmill.queries.core import FACTS, FLAGS, RO, SPLIT_CASE, ST, TJ, _classified, _facts, _rollouts, _split_name, _steps
+from stepmill.queries import core
+from stepmill.queries.core import FACTS, FLAGS, RO, SPLIT_CASE, ST, TJ, WHOLE_FACTS, _classified, _classified_whole, _facts, _rollouts, _split_name, _steps
 from stepmill.session import table
 from stepmill.sources import readers
 
@@ -141,9 +144,9 @@ def q_g5_planning_aggregate(spark, d):
 
 @query(f"""WITH {FACTS} SELECT arm, repo, count(*) AS rollouts, count_if(success) AS successes, avg(steps) AS average_steps, sum(token_usage.prompt_tokens)::BIGINT AS prompt_tokens, sum(token_usage.completion_tokens)::BIGINT AS completion_tokens,
  count_if(success AND reason IS NULL AND steps <= 10) / nullif(count_if(steps <= 10), 0)::DOUBLE AS short_success_rate FROM fc GROUP BY 1, 2""")
-def q_g10_by_condition(spark, d):
+def q_g10_by_condition(spark, d, classified=_classified):
     short = F.col("steps") <= 10
-    return _classified(spark, d).groupBy("arm", "repo").agg(F.count(F.lit(1)).alias("rollouts"), F.count_if("success").alias("successes"), F.avg("steps").alias("average_steps"), F.sum("token_usage.prompt_tokens").alias("prompt_tokens"), F.sum("token_usage.completion_tokens").alias("completion_tokens"), F.try_divide(F.count_if(F.col("success") & F.col("reason").isNull() & short).cast("double"), F.count_if(short).cast("double")).alias("short_success_rate"))
+    return classified(spark, d).groupBy("arm", "repo").agg(F.count(F.lit(1)).alias("rollouts"), F.count_if("success").alias("successes"), F.avg("steps").alias("average_steps"), F.sum("token_usage.prompt_tokens").alias("prompt_tokens"), F.sum("token_usage.completion_tokens").alias("completion_tokens"), F.try_divide(F.count_if(F.col("success") & F.col("reason").isNull() & short).cast("double"), F.count_if(short).cast("double")).alias("short_success_rate"))
 
 
 @query("""SELECT truncated, count(*) AS rows, sum(removed_history_steps)::BIGINT AS removed, max(target_tokens) AS max_target, sum(original_tokens - final_tokens)::BIGINT AS saved, count_if(final_tokens <= 8192) / count(*)::DOUBLE AS within_budget FROM budget_results GROUP BY 1""")
@@ -259,5 +262,12 @@ def q_s21_row_checksums(spark, d):
 
 
 @query(f"""WITH {FACTS} SELECT final_test, reason, count(*) AS n FROM fc GROUP BY 1, 2""")
-def q_c6_final_tests(spark, d):
-    return _classified(spark, d).groupBy("final_test", "reason").agg(F.count(F.lit(1)).alias("n"))
+def q_c6_final_tests(spark, d, classified=_classified):
+    return classified(spark, d).groupBy("final_test", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+# The queries whose results depend on the reason, over the whole ladder of C1.
+for _name in ("q_g1_failure_taxonomy", "q_g2_rollout_facts", "q_g3_arm_summary", "q_g10_by_condition", "q_g20_top_delta", "q_c6_final_tests"):
+    _of, _sql = (core.QUERIES[_name], core.SQL[_name]) if _name in core.QUERIES else (QUERIES[_name], SQL[_name])
+    QUERIES[f"{_name}_whole"] = partial(_of, classified=_classified_whole)
+    SQL[f"{_name}_whole"] = _sql.replace(FACTS, WHOLE_FACTS)

@@ -36,3 +36,15 @@ def test_action_ladder(spark, tmp_path):
     for r in QUERIES["q_c4_action_ladder"](spark, str(tmp_path)).collect():
         n[r.failure] = n.get(r.failure, 0) + r.n
     assert n == {None: 3, "schema_error": 8, "missing_argument": 1, "unknown_tool": 2, "invalid_json": 2, "generation_truncated": 1}
+
+
+def test_rollout_failure_whole(spark, tmp_path):
+    r = lambda i, files, result=(None, False, "1 failed", None): (i, "i", "base", "r", False, "+x", files, result, None, None)
+    result = "struct<command: string, passed: boolean, output: string, policy_error: string>"
+    rollouts = spark.createDataFrame([r(1, []), r(2, ["a"]), r(3, None, None), r(4, ["a"]), r(5, ["a"]), r(6, ["a"]), r(7, [])], f"rollout_id long, instance_id string, arm string, repo string, success boolean, patch string, modified_files array<string>, test_result {result}, host_test_result {result}, token_usage struct<prompt_tokens: long, completion_tokens: long, total_tokens: long>")
+    say = {1: ("apply_patch", "patch({})", "ok"), 2: ("apply_patch", "apply_patch({})", "ok"), 3: (None, "write_file({})", None), 4: ("read_file", "read_file({})", "it Timed out"), 5: ("read_file", "read_file({})", "ImportError: x"), 6: (None, "error", "x"), 7: ("read_file", "read_file({})", "ok")}
+    steps = spark.createDataFrame([(i, 0, t, a, o, False, True) for i, (t, a, o) in say.items()], "rollout_id long, step_index int, executed_tool string, action string, observation string, invalid_action boolean, tool_success boolean")
+    for name, df in (("rollouts", rollouts), ("steps", steps)):
+        df.withColumn("ingested_at", F.timestamp_micros(F.lit(0))).write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = {x.rollout_id: x.reason for x in QUERIES["q_g2_rollout_facts_whole"](spark, str(tmp_path)).collect()}
+    assert got == {1: "patch_failed", 2: "test_failed", 3: "patch_failed", 4: "timeout", 5: "environment_error", 6: "environment_error", 7: "test_failed"}
