@@ -132,3 +132,26 @@ def patch_failed_text(tool: Column, observation: Column, success: Column) -> Col
 def guarded_ratio(n: Column, d: Column) -> Column:
     """n / d, 0.0 where d is 0 or NULL."""
     return F.coalesce(F.try_divide(n.cast("double"), d.cast("double")), F.lit(0.0))
+
+
+def shell_quote(c: Column) -> Column:
+    """The text as one word of a POSIX shell."""
+    return F.when(c.rlike(r"\A[A-Za-z0-9_@%+=:,./-]+\z"), c).otherwise(F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("'\"'\"'")), F.lit("'")))
+
+
+def test_command(repo: Column, ids: Column, files: Column | None = None) -> Column:
+    """Command that runs the tests of an array of ids: labels for django/django, else distinct files before the `::`, else all tests.
+
+    files: array of the paths in the repository; ids of other files are left out. Without it every path counts as existing.
+    """
+    ids = F.filter(F.coalesce(ids, F.array().cast("array<string>")), lambda x: strip(x) != "")
+    django = r"\A([A-Za-z_][A-Za-z0-9_]*) \(([^)]+)\)\z"
+    part = lambda x, i: F.regexp_extract(x, django, i)
+    labels = F.array_distinct(F.transform(F.filter(ids, lambda x: x.rlike(django)), lambda x: F.concat(part(x, 2), F.lit("."), part(x, 1))))
+    paths = F.filter(F.array_distinct(F.transform(ids, lambda x: F.substring_index(x, "::", 1))), lambda p: (p != "") if files is None else F.coalesce(F.array_contains(files, p), F.lit(False)))
+    command = lambda start, words: F.concat(F.lit(start), F.array_join(F.transform(words, shell_quote), " "))
+    return (
+        F.when((repo == "django/django") & (F.size(labels) > 0), command("python tests/runtests.py --verbosity 1 ", labels))
+        .when(F.size(paths) > 0, command("python -m pytest -q ", paths))
+        .otherwise("python -m pytest -q")
+    )

@@ -254,6 +254,12 @@ def q_v11_test_command(spark, d):
     return t.select("task_id", F.size("fail_to_pass").cast("long").alias("fail_ids"), F.size("pass_to_pass").cast("long").alias("pass_ids"), F.array_join(F.array_distinct(F.transform("fail_to_pass", lambda x: F.split_part(x, F.lit("::"), F.lit(1)))), " ").alias("first_file"))
 
 
+@query()
+def q_v11_derived_commands(spark, d):
+    """The command of every task. The tables hold no files of the repositories, so each path counts as existing."""
+    return table(spark, d, "tasks").select("task_id", text.test_command(F.col("repo"), F.col("fail_to_pass")).alias("command"))
+
+
 # ---- classification ------------------------------------------------------------------------------------------------
 
 FLAGS = f"""fl AS (SELECT rollout_id, bool_or(coalesce(invalid_action, false)) AS invalid, bool_or(coalesce(NOT tool_success, false) AND executed_tool = 'apply_patch') AS patch_failed, bool_or(coalesce(NOT tool_success, false)) AS tool_failed, count(*) AS steps,

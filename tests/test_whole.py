@@ -48,3 +48,24 @@ def test_rollout_failure_whole(spark, tmp_path):
         df.withColumn("ingested_at", F.timestamp_micros(F.lit(0))).write.parquet(str(tmp_path / f"{name}.parquet"))
     got = {x.rollout_id: x.reason for x in QUERIES["q_g2_rollout_facts_whole"](spark, str(tmp_path)).collect()}
     assert got == {1: "patch_failed", 2: "test_failed", 3: "patch_failed", 4: "timeout", 5: "environment_error", 6: "environment_error", 7: "test_failed"}
+
+
+def test_test_command(spark, tmp_path):
+    from stepmill.functions import text
+
+    cases = [
+        ("a/b", ["t/x.py::a", "t/y z.py::b", "t/x.py::c", " ", None, "::d"], "python -m pytest -q t/x.py 't/y z.py'"),
+        ("a/b", ["t/it's.py"], "python -m pytest -q 't/it'\"'\"'s.py'"),
+        ("a/b", [], "python -m pytest -q"),
+        ("a/b", None, "python -m pytest -q"),
+        (None, ["t.py::a"], "python -m pytest -q t.py"),
+        ("django/django", ["test_a (m.T)", "test_b (m.T)", "test_a (m.T)", "odd"], "python tests/runtests.py --verbosity 1 m.T.test_a m.T.test_b"),
+        ("django/django", ["t.py::a"], "python -m pytest -q t.py"),
+        ("a/b", ["test_a (m.T)"], "python -m pytest -q 'test_a (m.T)'"),
+    ]
+    df = spark.createDataFrame([(i, r, f) for i, (r, f, _) in enumerate(cases)], "task_id long, repo string, fail_to_pass array<string>")
+    df.write.parquet(str(tmp_path / "tasks.parquet"))
+    got = {x.task_id: x.command for x in QUERIES["q_v11_derived_commands"](spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(len(cases))] == [c for *_, c in cases]
+    known = df.select(text.test_command(F.col("repo"), F.col("fail_to_pass"), F.array(F.lit("t/y z.py"))).alias("c")).filter("task_id = 0").first()
+    assert known.c == "python -m pytest -q 't/y z.py'"
