@@ -168,6 +168,13 @@ def q_e9_search_code(spark, d):
     return files.search_code(f, F.lit("returns None")).select(F.col("repo").alias("doc_id"), F.col("line").cast("long").alias("line"), "text")
 
 
+@query("""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), u AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS line, unnest(l) AS text FROM d) SELECT doc_id, line, text FROM u WHERE contains(text, 'returns None')""")
+def q_e9_search_documents(spark, d):
+    """As q_e9_search_code, over documents of every kind."""
+    f = table(spark, d, "documents").select(F.col("doc_id").alias("repo"), F.lit("").alias("path"), F.col("text").alias("content"))
+    return files.search_code(f, F.lit("returns None")).select(F.col("repo").alias("doc_id"), F.col("line").cast("long").alias("line"), "text")
+
+
 @query("""SELECT doc_id, array_to_string(string_split(text, chr(10))[2:4], chr(10)) AS part FROM documents WHERE len(string_split(text, chr(10))) > 4""")
 def q_e11_read_lines(spark, d):
     t = table(spark, d, "documents").filter("size(split(text, '\n')) > 4")
@@ -188,7 +195,7 @@ def q_e6_normal_diff(spark, d):
 @query()
 def q_e4_bounded_patches(spark, d):
     """Documents against their copies without every seventh line, as bounded sequential patches."""
-    t = table(spark, d, "documents").filter("kind = 'guide'")
+    t = table(spark, d, "documents")
     after = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: i % 7 != 3), "\n")
     p = diff.split_patches(t.select("doc_id", F.lit("doc.md").alias("path"), F.col("text").alias("before"), after.alias("after")), "doc_id", 120)
     return p.select("doc_id", "action_index", F.length("patch").alias("patch_chars"))

@@ -69,3 +69,11 @@ def test_test_command(spark, tmp_path):
     assert [got[i] for i in range(len(cases))] == [c for *_, c in cases]
     known = df.select(text.test_command(F.col("repo"), F.col("fail_to_pass"), F.array(F.lit("t/y z.py"))).alias("c")).filter("task_id = 0").first()
     assert known.c == "python -m pytest -q 't/y z.py'"
+
+
+def test_documents_of_every_kind(spark, tmp_path):
+    lines = "\n".join(["a", "it returns None", "b", "c", "d"])
+    docs = spark.createDataFrame([(1, "issue", lines), (2, "guide", lines), (3, None, lines)], "doc_id long, kind string, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted((r.doc_id, r.line) for r in QUERIES["q_e9_search_documents"](spark, str(tmp_path)).collect()) == [(1, 2), (2, 2), (3, 2)]
+    assert {r.doc_id for r in QUERIES["q_e4_bounded_patches"](spark, str(tmp_path)).collect()} == {1, 2, 3}
