@@ -37,10 +37,10 @@ def search_group_split(counts: Mapping[str, int], seed: int | None = 42, min_tra
 
 
 def search_group_split_df(counts: DataFrame, group: str, n: str, min_train: int, min_validation: int, fraction: float = 0.2) -> DataFrame:
-    """The same search as a plan: subsets are rows of a bit mask range, groups in alphabetical order. For at most 20 groups."""
+    """The same search as a plan: subsets are rows of a bit mask range, groups in alphabetical order. Raises for more than 20 groups."""
     packed = counts.agg(F.array_sort(F.collect_list(F.struct(group, n))).alias("g"))
-    k = F.size("g")
-    masks = packed.select("g", F.explode(F.filter(F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), F.least(k, F.lit(20))) - 2), lambda m: m > 0)).alias("mask"))
+    k = F.when(F.size("g") > 20, F.raise_error(F.lit("search_group_split_df takes at most 20 groups")).cast("int")).otherwise(F.size("g"))
+    masks = packed.select("g", F.explode(F.filter(F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), k) - 2), lambda m: m > 0)).alias("mask"))
     inside = F.filter("g", lambda x, i: F.floor(F.col("mask") / F.pow(F.lit(2), i)) % 2 == 1)
     m = masks.select("mask", inside.alias("v"), F.aggregate("g", F.lit(0).cast("long"), lambda s, x: s + x[n]).alias("total"))
     m = m.withColumn("rows", F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x[n])).filter((F.col("rows") >= min_validation) & (F.col("total") - F.col("rows") >= min_train))

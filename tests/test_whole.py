@@ -77,3 +77,15 @@ def test_documents_of_every_kind(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     assert sorted((r.doc_id, r.line) for r in QUERIES["q_e9_search_documents"](spark, str(tmp_path)).collect()) == [(1, 2), (2, 2), (3, 2)]
     assert {r.doc_id for r in QUERIES["q_e4_bounded_patches"](spark, str(tmp_path)).collect()} == {1, 2, 3}
+
+
+def test_split_search_limit(spark):
+    import pytest
+
+    from stepmill.operators import splits
+
+    counts = spark.createDataFrame([(f"g{i:02}", 10) for i in range(21)], "repo string, n long")
+    with pytest.raises(Exception, match="at most 20 groups"):
+        splits.search_group_split_df(counts, "repo", "n", 10, 10).collect()
+    r = splits.search_group_split_df(counts.filter("repo < 'g10'"), "repo", "n", 10, 10).first()
+    assert (r.validation_groups, r.validation_rows, r.train_rows) == ("g00,g01", 20, 80)
