@@ -1,25 +1,32 @@
 """Same or near-same records across splits (problem 2).
 
-Exact prefix-filter bipartite join on rare shingles. Texts become words; equal texts form one class; classes are joined
-on the rarest of their shingles, evaluation classes being the index and training classes the probe; length and position
-filters act in the join, several shared shingles are required where a pair must have several, and the order-respecting
-ratio of the words is verified on what is left.
+Exact prefix-filter bipartite join on rare shingles. Texts become words; equal texts form one class; of every class the
+rarest shingles are kept that any partner must hit several times, evaluation classes being the index and training classes
+the probe; length, rank and position filters act on every hit, and the longest common subsequence of the words is
+verified on what is left. The shingles are so short that the bound holds for every layout of the edits.
 """
 
 from __future__ import annotations
 
-import difflib
-from collections import Counter
+import hashlib
+import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stepmill.session import cut
 
-RATIO, WORDS, SHORT, SHARED = 0.85, 5, 16, 0.4
-
+#: More than this share of the words of both must agree in order.
+RATIO = 0.75
+#: Words of a shingle, and hits in the prefixes that a candidate must have, by kind of text.
+WIDTHS, TIMES = {"problem_statement": 2, "steps": 1}, {"problem_statement": 6, "steps": 8}
+#: Places of the frequency sketch, hits that are expanded at once, shingles that a task handles at once.
+SKETCH, CHUNK, BUCKET = 1 << 20, 1 << 21, 300_000
 
 def split_class(split: Column) -> Column:
     """train / validation / test for any spelling or abbreviation; NULL and anything else is in no split."""
@@ -41,105 +48,348 @@ def steps_words(steps: Column) -> Column:
     return normal_words(F.array_join(F.transform(steps, one), " "))
 
 
+def lcs(a: list, b: list, least: int = 0) -> int:
+    """Length of the longest common subsequence (bit-parallel); 0 as soon as fewer than `least` are certain."""
+    head, n = 0, min(len(a), len(b))
+    while head < n and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < n - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    if len(a) > len(b):
+        a, b = b, a
+    at: dict = {}
+    for i, w in enumerate(a):
+        at[w] = at.get(w, 0) | 1 << i
+    full, left = (1 << len(a)) - 1, len(b)
+    s, same = full, head + tail
+    for w in b:
+        left -= 1
+        m = at.get(w)
+        if m is not None:
+            u = s & m
+            s = ((s + u) | (s - u)) & full
+        if not left & 15 and same + len(a) - s.bit_count() + left < least:
+            return 0
+    return same + len(a) - s.bit_count()
+
+
+def needed(n: int | np.ndarray, r: float):
+    """Words that must agree in two texts of n words together, so that 2 * agreeing / n > r."""
+    return np.floor(n * (r / 2) + 1e-9).astype(np.int64) + 1
+
+
 def ratio(a: list[str], b: list[str]) -> float:
     """2 * words that agree in order / all words."""
-    return difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
+    return 2 * lcs(a, b) / (len(a) + len(b)) if a or b else 1.0
 
 
-def _verify(limit: float):
-    @F.pandas_udf(T.DoubleType())
-    def verify(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b):
-            x, y = x.split(" "), y.split(" ")
-            # equal words in any order bound the ratio from above
-            bound = 2 * sum((Counter(x) & Counter(y)).values()) / (len(x) + len(y))
-            r = 0.0
-            if bound > limit:
-                head = 0
-                while head < min(len(x), len(y)) and x[head] == y[head]:
-                    head += 1
-                tail = 0
-                while tail < min(len(x), len(y)) - head and x[-1 - tail] == y[-1 - tail]:
-                    tail += 1
-                core = difflib.SequenceMatcher(None, x[head : len(x) - tail], y[head : len(y) - tail], autojunk=False)
-                r = 2 * (head + tail + sum(m.size for m in core.get_matching_blocks())) / (len(x) + len(y))
-            out.append(r)
-        return pd.Series(out, dtype="float64")
+def shared_shingles(n, width: int, r: float):
+    """Shingles that two texts of n words together share at least if their ratio exceeds r.
 
-    return verify
+    L agreeing words have L - 1 neighbourhoods, and each of the n - 2L other words breaks one at most; a broken one
+    costs width - 1 shingles. This holds for substitutions, insertions and deletions in any layout.
+    """
+    need = needed(n, r)
+    return np.maximum(1, need - (width - 1) * (n - 2 * need + 1))
 
 
-def _required(words: Column, width: int, r: float) -> Column:
-    """Shingles that a text shares at least with any partner of ratio >= r.
+def _slope(width: int, r: float) -> float:
+    slope = r * (2 * width - 1) / 2 - (width - 1)
+    if slope <= 0:
+        raise ValueError(f"shingles of {width} words are not exact for a ratio of {r}")
+    return slope
+
+
+def always_shared(words: np.ndarray, width: int, r: float) -> np.ndarray:
+    """Shingles that a text shares at least with any partner, the shortest possible one included."""
+    n = words + np.ceil(words * (r / (2 - r)) - 1e-9)
+    return np.maximum(1, np.floor(n * _slope(width, r) - (width - 1) - 1e-9).astype(np.int64) + 1)
+
+
+def short_words(width: int, r: float) -> int:
+    """Texts of at most so many words may share no shingle with a partner that is as short; they meet on single words."""
+    return math.ceil((width - 1) / _slope(width, r)) - 1
+
+
+_ODD, _ODD2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+_HASHES: dict[str, int] = {}
 
-    Of n words in both texts at least n*r/2 agree. If they agree in at most (1-r)*n/2 + 1 gaps (each gap holding as many
-    words of either text, as substitutions do), each gap costs width - 1 shingles. The partner is as short as it can be.
-    """
-    n = words * (1 + r / (2 - r))
-    gaps = n * (1 - r) / 2 + 1 if width > 1 else F.lit(0)
-    return F.greatest(F.lit(1), F.ceil(n * r / 2 - gaps * (width - 1) - 1e-9).cast("int"))
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(_ODD2)
+    return x ^ (x >> np.uint64(29))
 
-def _shingles(classes: DataFrame, width: int, r: float) -> DataFrame:
-    """One row per class and distinct shingle: class, words, is_eval, is_train, g, p, need.
 
-    p is the position, NULL where the shingle is repeated; need is the number of shingles that any partner shares, less
-    the repetitions. The texts are spread by class first, so that neither the distinct shingles nor their number needs
-    another shuffle.
+def _hash(word: str) -> int:
+    h = _HASHES.get(word)
+    if h is None:
+        if len(_HASHES) > 300_000:
+            _HASHES.clear()
+        h = _HASHES[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+    return h
+
+
+def _shingles(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """(first row, rows, row, token, position) of stretches of rows of about a million words.
+
+    A token is a shingle with the number of its occurrence in the text; the position is -1 where the shingle is repeated.
+    """
+    texts, widths, spaces = batch.column("text").to_pylist(), batch.column("width").to_numpy(), batch.column("space").to_numpy()
+    at = 0
+    while at < len(texts):
+        hashes, sizes, end = [], [], at
+        while end < len(texts) and len(hashes) < 1_000_000:
+            w = texts[end].split(" ")
+            hashes.extend(map(_hash, w))
+            sizes.append(len(w))
+            end += 1
+        h = np.array(hashes, dtype=np.uint64)
+        n = np.array(sizes)
+        row = np.repeat(np.arange(end - at), n)
+        position = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+        width = widths[at:end][row]
+        g = _mixed(h + spaces[at:end][row].astype(np.uint64) * np.uint64(_ODD))
+        for k in range(1, int(widths[at:end].max())):
+            more = (width > k)[: len(g) - k]
+            g[: len(g) - k][more] = _mixed(g[: len(g) - k] * np.uint64(_ODD) + h[k:])[more]
+        keep = position + width <= n[row]
+        row, g, position = row[keep], g[keep], position[keep]
+        order = np.lexsort((g, row))
+        row, g, position = row[order], g[order], position[order]
+        first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (g[1:] != g[:-1])]) if len(g) else np.zeros(0, int)
+        count = np.diff(np.r_[first, len(g)])
+        occurrence = np.arange(len(g)) - np.repeat(first, count)
+        token = _mixed(g + occurrence.astype(np.uint64) * np.uint64(_ODD))
+        yield at, end - at, row, token, np.where(np.repeat(count, count) > 1, -1, position)
+        at = end
+
+
+def _sketch(texts: DataFrame) -> np.ndarray:
+    """Cost of a shingle by place of its hash: evaluation texts times training texts that hold it; 0 if one side lacks it.
+
+    The sketch has SKETCH places whatever the size of the data, so it is small enough to broadcast. It only orders the
+    shingles, and any order that all texts share gives the exact result.
     """
-    # the words' hashes are bound to a lambda variable, so that they are taken once a text and not once a shingle
-    hashes = F.transform(F.split("text", " "), lambda x: F.xxhash64(x))
-    take = lambda h, i: F.xxhash64(*(F.coalesce(F.get(h, i + k), F.lit(0)) for k in range(width)))
-    grams = F.flatten(F.transform(F.array(hashes), lambda h: F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - width, F.lit(0))), lambda i: F.struct(take(h, i).alias("g"), i.alias("p")))))
-    g = classes.repartition("class").select("class", "words", "is_eval", "is_train", F.explode(grams).alias("s"))
-    g = g.groupBy("class", "words", "is_eval", "is_train", F.col("s.g").alias("g")).agg(F.min("s.p").alias("p"), F.max("s.p").alias("last"))
-    total = F.greatest(F.col("words") - (width - 1), F.lit(1))
-    distinct = F.count(F.lit(1)).over(Window.partitionBy("class"))
-    need = F.greatest(F.lit(1), _required(F.col("words"), width, r) - (total - distinct).cast("int"))
-    return g.select("class", "words", "is_eval", "is_train", "g", F.when(F.col("p") == F.col("last"), F.col("p")).alias("p"), need.alias("need"))
-
-
-def prefixes(classes: DataFrame, width: int, r: float, shared: float) -> DataFrame:
-    """The rarest shingles of each class that a partner of ratio >= r must hit at least `times` times.
-
-    times is four, or the share `shared` of what must be shared if that is more: a longer prefix with more required hits
-    gives a few more hits to count, and far fewer pairs to verify among long texts with common phrases.
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e, t = np.zeros(SKETCH, np.int64), np.zeros(SKETCH, np.int64)
+        for batch in batches:
+            is_eval, is_train = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("is_eval", "is_train"))
+            for at, _, row, token, _ in _shingles(batch):
+                place = (token & np.uint64(SKETCH - 1)).astype(np.int64)
+                e += np.bincount(place[is_eval[at + row]], minlength=SKETCH)
+                t += np.bincount(place[is_train[at + row]], minlength=SKETCH)
+        (used,) = np.nonzero(e + t)
+        for i in range(0, len(used), 65536):
+            k = used[i : i + 65536]
+            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(e[k]), pa.array(t[k])], ["place", "e", "t"])
+
+    counts = texts.select("text", "width", "space", "is_eval", "is_train").mapInArrow(count, "place int, e long, t long")
+    both = counts.groupBy("place").agg((F.sum("e").cast("double") * F.sum("t")).alias("cost")).filter("cost > 0").toPandas()
+    out = np.zeros(SKETCH, np.float32)
+    out[both["place"].to_numpy(dtype=np.int64)] = both["cost"].to_numpy(dtype=np.float32)
+    return out
+
+
+def prefixes(texts: DataFrame, sketch, r: float, buckets: int) -> DataFrame:
+    """(bucket, g, id, words, width, times, p, rank, is_eval): the cheapest shingles of each text that a partner must hit `times` times.
+
+    Shingles of one side only cannot link; they come first in the order and are not given. A shingle that would give more
+    than 8 * CHUNK hits is spread over several buckets by its training texts, its evaluation texts go to all of them.
+    """
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cost = sketch.value
+        for batch in batches:
+            c = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("id", "words", "width", "times", "is_eval", "is_train")}
+            for at, rows, row, token, p in _shingles(batch):
+                value = cost[(token & np.uint64(SKETCH - 1)).astype(np.int64)]
+                order = np.lexsort((token, value, row))
+                row, token, p, value = row[order], token[order], p[order], value[order]
+                size = np.bincount(row, minlength=rows)
+                rank = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+                words, width = c["words"][at : at + rows].astype(np.int64), c["width"][at : at + rows]
+                least = np.ones(rows, np.int64)
+                for w in np.unique(width):
+                    least = np.where(width == w, always_shared(words, int(w), r), least)
+                keep = (rank < (size - least + np.minimum(least, c["times"][at : at + rows]))[row]) & (value > 0)
+                row, token, p, rank, value = row[keep], token[keep], p[keep], rank[keep], value[keep]
+                salts = np.maximum(1, np.ceil(value / (8.0 * CHUNK))).astype(np.int64)
+                source = at + row
+                for side in (True, False):
+                    mine = np.flatnonzero(c["is_eval"][source] if side else c["is_train"][source])
+                    k = salts[mine]
+                    if side:
+                        salt = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+                        mine = np.repeat(mine, k)
+                    else:
+                        salt = (_mixed(c["id"][source[mine]].astype(np.uint64) * np.uint64(_ODD)) % k.astype(np.uint64)).astype(np.int64)
+                    g = token[mine]
+                    bucket = (_mixed(g + salt.astype(np.uint64) * np.uint64(_ODD)) % np.uint64(buckets)).astype(np.int32)
+                    for i in range(0, len(mine), 65536):
+                        j = slice(i, i + 65536)
+                        s = source[mine[j]]
+                        cols = [bucket[j], g[j].view(np.int64), c["id"][s], c["words"][s], c["width"][s], c["times"][s], p[mine[j]].astype(np.int32), rank[mine[j]].astype(np.int32)]
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(np.full(len(s), side))], ["bucket", "g", "id", "words", "width", "times", "p", "rank", "is_eval"])
+
+    return texts.select("text", "width", "space", "id", "words", "times", "is_eval", "is_train").mapInArrow(take, "bucket int, g long, id long, words int, width int, times int, p int, rank int, is_eval boolean")
+
+
+def _hits(e: dict, t: dict, r: float, dtype) -> Iterator[pa.RecordBatch]:
+    """Training ids with the evaluation ids that they hit, as bytes, of one bucket. e is sorted by g, t by id."""
+    start, stop = np.searchsorted(e["g"], t["g"], "left"), np.searchsorted(e["g"], t["g"], "right")
+    total = np.cumsum(stop - start)
+    at = 0
+    while at < len(total):
+        before = total[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(total, before + CHUNK, "right")))
+        n = (stop - start)[at:end]
+        i = np.repeat(start[at:end] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        k = np.repeat(np.arange(at, end), n)
+        en, tn, width = e["words"][i], t["words"][k], t["width"][k]
+        both = en + tn
+        need = needed(both, r)
+        token = np.maximum(1, need - (width - 1) * (both - 2 * need + 1))
+        spare = np.minimum(t["times"][k], token) - token - (width - 1)
+        ok = (np.minimum(en, tn) >= need) & (e["rank"][i] < en + spare) & (t["rank"][k] < tn + spare) & (e["id"][i] != t["id"][k])
+        i, k, en, tn, need = i[ok], k[ok], en[ok], tn[ok], need[ok]
+        ep, tp = e["p"][i], t["p"][k]
+        ok = (ep < 0) | (tp < 0) | (np.minimum(ep, tp) + np.minimum(en - ep, tn - tp) >= need)
+        k = k[ok]
+        ids, owner = e["id"][i[ok]].astype(dtype), t["id"][k]
+        if len(owner):
+            first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            least = np.minimum(t["times"][k[first]], t["least"][k[first]])
+            ends = np.r_[first, len(owner)] * np.dtype(dtype).itemsize
+            packed = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(owner[first]), pa.array(least.astype(np.int32)), packed], ["id", "least", "hit"])
+        at = end
+
+
+def candidates(prefix: DataFrame, r: float, buckets: int, wide: bool) -> DataFrame:
+    """(t, e, hits) of classes that hit each other at least once within the filters, from the prefixes.
+
+    The hits of a bucket are expanded in chunks and grouped by training text; they are moved once, as packed ids, and
+    counted where all hits of a training text meet.
     """
-    grams = _shingles(classes, width, r)
-    freq = grams.groupBy("g").agg(F.count(F.lit(1)).alias("df"), F.bool_or("is_eval").alias("e"), F.bool_or("is_train").alias("t")).filter("e AND t AND df > 1").select("g", "df")
-    per = Window.partitionBy("class")
-    # shingles of one side only come first in the order and cannot link, so the rest needs its own number only
-    linked = grams.join(freq, "g").withColumn("n", F.count(F.lit(1)).over(per)).filter("n >= need")
-    linked = linked.withColumn("rank", F.row_number().over(per.orderBy("df", "g"))).withColumn("times", F.least("need", F.greatest(F.lit(4), F.ceil(F.col("need") * shared).cast("int"))))
-    return linked.filter(F.col("rank") <= F.col("n") - F.col("need") + F.col("times")).select("class", "words", "is_eval", "is_train", "g", "p", "times")
-
-
-def candidates(prefix: DataFrame, r: float) -> DataFrame:
-    """(eval_class, train_class) that share enough prefix shingles, by length and position."""
-    e, t = prefix.filter("is_eval").alias("e"), prefix.filter("is_train").alias("t")
-    n = F.col("e.words") + F.col("t.words")
-    close = F.least("e.words", "t.words") * 2 >= n * F.lit(r)
-    rest = F.least(F.col("e.p"), F.col("t.p")) + F.least(F.col("e.words") - F.col("e.p"), F.col("t.words") - F.col("t.p"))
-    near = F.coalesce(rest * 2 >= n * F.lit(r), F.lit(True))
-    hits = e.join(t, (F.col("e.g") == F.col("t.g")) & (F.col("e.class") != F.col("t.class")) & close & near)
-    return hits.groupBy(F.col("e.class").alias("eval_class"), F.col("t.class").alias("train_class")).agg(F.count(F.lit(1)).alias("hits"), F.min(F.least("e.times", "t.times")).alias("times")).filter("hits >= times").select("eval_class", "train_class")
-
-
-def near_pairs(classes: DataFrame, r: float = RATIO, width: int = WORDS, shared: float = SHARED) -> DataFrame:
-    """(eval_class, train_class, ratio) of different classes with ratio >= r, of (class, text, words, is_eval, is_train).
-
-    Classes of at most SHORT words are joined on single words, for which the bound is exact; longer ones on shingles of
-    `width` words. Counts run over all classes; a shingle of one side only cannot link and is not moved again, but keeps
-    its place in front of the order.
+    dtype, names = (np.int64 if wide else np.int32), ("g", "id", "words", "width", "times", "p", "rank", "is_eval")
+
+    def by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+        """The rows of each key value; rows come sorted by key."""
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            k = batch.column(key).to_numpy()
+            cuts = np.r_[0, np.flatnonzero(k[1:] != k[:-1]) + 1, len(k)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if a == b:
+                    continue
+                if held and held[-1].column(key)[0].as_py() != k[a]:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield pa.Table.from_batches(held)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in by_key(batches, "bucket"):
+            c = {k: table.column(k).to_numpy() for k in names}
+            c |= {k: c[k].astype(np.int64) for k in names[2:-1]}
+            c["least"] = np.ones(len(c["g"]), np.int64)
+            for w in np.unique(c["width"]):
+                c["least"] = np.where(c["width"] == w, always_shared(c["words"], int(w), r), c["least"])
+            e, t = np.flatnonzero(c["is_eval"]), np.flatnonzero(~c["is_eval"])
+            e, t = e[np.argsort(c["g"][e], kind="stable")], t[np.argsort(c["id"][t], kind="stable")]
+            yield from _hits({k: v[e] for k, v in c.items()}, {k: v[t] for k, v in c.items()}, r, dtype)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner, parts, rows, held = None, [], [], 0
+
+        def close() -> None:
+            nonlocal held
+            if parts:
+                e, n = np.unique(np.concatenate(parts), return_counts=True)
+                e = e[n >= owner[1]].astype(np.int64)
+                rows.append((np.full(len(e), owner[0]), e))
+                held += len(e)
+                parts.clear()
+
+        def out() -> pa.RecordBatch:
+            nonlocal held
+            t, e = (np.concatenate(x) for x in zip(*rows))
+            rows.clear()
+            held = 0
+            return pa.RecordBatch.from_arrays([pa.array(t), pa.array(e)], ["t", "e"])
+
+        for batch in batches:
+            for i, least, hit in zip(batch.column("id").to_pylist(), batch.column("least").to_pylist(), batch.column("hit")):
+                if owner is None or i != owner[0]:
+                    close()
+                    if held > 100_000:
+                        yield out()
+                owner = i, least
+                parts.append(np.frombuffer(hit.as_buffer(), dtype=dtype))
+        close()
+        if rows:
+            yield out()
+
+    hits = prefix.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(join, "id long, least int, hit binary")
+    return hits.repartition(buckets, "id").sortWithinPartitions("id").mapInArrow(count, "t long, e long")
+
+
+def _verify(r: float):
+    @F.pandas_udf(T.DoubleType())
+    def verify(a: pd.Series, b: pd.Series) -> pd.Series:
+        out, last, words = [], None, []
+        for x, y in zip(a, b):
+            if x != last:
+                last, words = x, x.split(" ")
+            y = y.split(" ")
+            n = len(words) + len(y)
+            least = int(needed(n, r))
+            same = lcs(words, y, least)
+            out.append(2 * same / n if same >= least else None)
+        return pd.Series(out, dtype="float64")
+
+    return verify
+
+
+def near_links(texts: DataFrame, r: float = RATIO, widths: dict | None = None, times: dict | None = None) -> DataFrame:
+    """(kind, eval_class, train_class, ratio) of different classes of one kind with ratio > r, of (kind, class, text, words, is_train, is_eval).
+
+    Every kind has its width of shingles and the hits asked for. Texts too short for a bound of their width also meet on
+    single words. No shingle, partner or candidate is left out or capped.
     """
-    # the two kinds overlap, so that a short and a slightly longer text meet in one of them
-    parts = ((1, classes.filter(F.col("words") <= SHORT)), (width, classes.filter(F.col("words") >= F.lit(int(SHORT * r / (2 - r))))))
-    short, long = (candidates(cut(prefixes(part, w, r, shared)), r) for w, part in parts)
-    pairs = short.unionByName(long).distinct()
-    text = classes.select("class", "text")
-    pairs = pairs.join(text.withColumnsRenamed({"class": "eval_class", "text": "a"}), "eval_class").join(text.withColumnsRenamed({"class": "train_class", "text": "b"}), "train_class")
-    return pairs.withColumn("ratio", _verify(r - 1e-9)("a", "b")).filter(F.col("ratio") >= r - 1e-9).select("eval_class", "train_class", "ratio")
+    widths, times, spark = widths or WIDTHS, times or TIMES, texts.sparkSession
+    texts = cut(texts.withColumn("at", F.monotonically_increasing_id()))
+    parts = texts.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count(F.lit(1)).alias("rows"), F.sum("words").alias("words")).orderBy("part").collect()  # one row per partition
+    total = sum(p["rows"] for p in parts)
+    if not total:
+        return spark.createDataFrame([], "kind string, eval_class binary, train_class binary, ratio double")
+    wide, start, starts = total >= 1 << 29, 0, [0] * (parts[-1]["part"] + 1)
+    for p in parts:
+        starts[p["part"]] = start
+        start += p["rows"]
+    dense = F.col("at") if wide else F.element_at(F.array(*map(F.lit, starts)), (F.shiftright("at", 33) + 1).cast("int")) + F.col("at").bitwiseAND((1 << 33) - 1)
+    texts = texts.withColumn("id", dense.cast("long")).drop("at")
+
+    forms, kinds = [], sorted(widths)
+    for i, kind in enumerate(kinds):
+        w, here = widths[kind], F.col("kind") == kind
+        form = lambda width, k, when: F.when(when, F.struct(F.lit(width).alias("width"), F.lit(2 * i + k).cast("long").alias("space"), F.lit(times[kind] if not k else 1).alias("times"), F.lit(k).alias("short")))  # noqa: B023, E731
+        forms.append(form(w, 0, here & (F.col("words") >= w)))
+        if short := short_words(w, r):
+            forms.append(form(1, 1, here & (F.col("words") <= short)))
+    rows = texts.select("text", "words", "is_train", "is_eval", "id", F.explode(F.array_compact(F.array(*forms))).alias("f")).select("text", "words", "is_train", "is_eval", (F.col("id") * 2 + F.col("f.short")).alias("id"), "f.width", "f.space", "f.times")
+    buckets = max(spark.sparkContext.defaultParallelism, -(-sum(p["words"] for p in parts) // BUCKET))
+    sketch = spark.sparkContext.broadcast(_sketch(rows))
+    pairs = candidates(prefixes(rows, sketch, r, buckets), r, buckets, wide)
+    pairs = pairs.select(F.shiftright("e", 1).alias("e"), F.shiftright("t", 1).alias("t")).distinct()
+    a = texts.filter("is_eval").select("kind", F.col("class").alias("eval_class"), F.col("text").alias("a"), F.col("id").alias("e"))
+    b = texts.filter("is_train").select(F.col("kind").alias("kind_b"), F.col("class").alias("train_class"), F.col("text").alias("b"), F.col("id").alias("t"))
+    found = pairs.join(a, "e").join(b, "t").filter("kind = kind_b")
+    return found.withColumn("ratio", _verify(r)("a", "b")).filter("ratio IS NOT NULL").select("kind", "eval_class", "train_class", "ratio")
 
 
 def overlap_links(trajectories: DataFrame, r: float = RATIO) -> tuple[DataFrame, DataFrame]:
@@ -157,9 +407,8 @@ def overlap_links(trajectories: DataFrame, r: float = RATIO) -> tuple[DataFrame,
     t = cut(t.select("traj_id", "repo", "split", "is_train", "k.kind", "k.class", "k.text").filter("class IS NOT NULL"))
     classes = t.groupBy("kind", "class").agg(F.first("text").alias("text"), F.bool_or("is_train").alias("is_train"), F.bool_or(~F.col("is_train")).alias("is_eval"))
     links = classes.filter("is_train AND is_eval").select("kind", F.col("class").alias("eval_class"), F.col("class").alias("train_class"), F.lit(1.0).alias("ratio"))
-    texts = cut(classes.filter("text IS NOT NULL").withColumn("words", F.size(F.split("text", " "))))
-    for kind in ("problem_statement", "steps"):
-        links = links.unionByName(near_pairs(texts.filter(F.col("kind") == kind).drop("kind"), r).select(F.lit(kind).alias("kind"), "eval_class", "train_class", "ratio"))
+    texts = classes.filter("text IS NOT NULL").withColumn("words", F.size(F.split("text", " ")))
+    links = links.unionByName(near_links(texts, r))
     return t.drop("text"), links
 
 

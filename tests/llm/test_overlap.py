@@ -1,6 +1,7 @@
-import difflib
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,31 +38,84 @@ def edit(rng, words, share):
     return w
 
 
-def test_against_brute_force(spark):
+def plain_lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = row
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+    return row[-1]
+
+
+def test_lcs():
+    rng = random.Random(5)
+    for _ in range(300):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(0, 90))] for _ in range(2))
+        want = plain_lcs(a, b)
+        assert O.lcs(a, b) == want and O.lcs(a, b, want) == want and O.lcs(a, b, want + 1) in (0, want)
+
+
+@pytest.mark.parametrize("width,r", [(1, 0.75), (2, 0.75), (2, 0.85), (3, 0.85)])
+def test_bound_holds_for_any_layout(width, r):
+    rng = random.Random(width)
+    seen = 0
+    for _ in range(4000):
+        a = [rng.randrange(9999) for _ in range(rng.randrange(1, 60))]
+        x, y = list(a), list(a)
+        for _ in range(rng.randrange(0, len(a) // 2 + 1)):
+            z = rng.choice((x, y))
+            z.insert(rng.randrange(len(z) + 1), rng.randrange(9999)) if rng.random() < 0.7 or len(z) < 2 else z.pop(rng.randrange(len(z)))
+        n = len(x) + len(y)
+        if O.ratio(x, y) > r and n > O.short_words(width, r):
+            grams = lambda z: Counter(tuple(z[i : i + width]) for i in range(len(z) - width + 1))
+            shared = (grams(x) & grams(y)).total()
+            assert shared >= O.shared_shingles(n, width, r)
+            assert all(O.shared_shingles(n, width, r) >= O.always_shared(np.array([len(z)]), width, r)[0] for z in (x, y))
+            seen += 1
+    assert seen > 300
+
+
+def test_insertions_on_alternating_sides(spark):
+    """Ratio 0.896 and not one shingle of five words in common."""
+    base = [f"w{i}" for i in range(60)]
+    sides = [[], []]
+    for i, w in enumerate(base):
+        for side in (0, 1):
+            sides[side].append(w)
+        if i % 4 == 3:
+            sides[i // 4 % 2].append(f"only{i}")
+    rows = [(1, None, "r", " ".join(sides[0]), "train", None), (2, None, "r", " ".join(sides[1]), "test", None)]
+    rows += [(3, None, "r", None, "train", [("read_file", "{}", " ".join(sides[0]))]), (4, None, "r", None, "test", [("read_file", "{}", " ".join(sides[1]))])]
+    assert 0.85 < O.ratio(*sides) < 0.92
+    assert {(r["eval_id"], r["train_id"]) for r in O.overlap_pairs(frame(spark, rows)).collect()} == {(2, 1), (4, 3)}
+
+
+@pytest.mark.parametrize("vocabulary", [25, 300])
+def test_against_brute_force(spark, vocabulary, monkeypatch):
+    monkeypatch.setattr(O, "BUCKET", 700)
+    monkeypatch.setattr(O, "CHUNK", 64)
     rng = random.Random(11)
-    vocab = [f"v{i}" for i in range(300)]
+    vocab = [f"v{i}" for i in range(vocabulary)]
     rows, n = [], 0
-    for size in [1, 2, 4, 6, 9, 12, 15, 17, 20, 30, 60, 120] * 3:
+    for size in [1, 1, 2, 3, 4, 6, 9, 12, 17, 30, 60, 120] * 3:
         base = [rng.choice(vocab) for _ in range(size)]
-        for share in (0, 0, 0.03, 0.06, 0.5):
+        for share in (0, 0, 0.1, 0.2, 0.3, 0.5):
             n += 1
-            steps = None if n % 5 else [("read_file", '{"path": "a"}', " ".join(base))]
+            steps = None if n % 4 else [("read_file", '{"path": "a"}', " ".join(edit(rng, base, share)))]
             rows.append((n, None, f"r{n % 3}", " ".join(edit(rng, base, share)).upper(), rng.choice(["train", "val", "Test", None]), steps))
     got = {(r["eval_id"], r["train_id"]) for r in O.overlap_pairs(frame(spark, rows)).collect()}
     side = lambda r: r[4] and ("t" if r[4] == "train" else "e")
-    sure, most = set(), set()
+    words = lambda r: [r[3].lower().split(), ["read_file", "path", "a", *r[5][0][2].split()] if r[5] else []]
+    want, edge = set(), 0
     for a in rows:
         for b in rows:
             if side(a) == "e" and side(b) == "t":
-                ratios = [difflib.SequenceMatcher(None, a[3].lower().split(), b[3].lower().split(), autojunk=False).ratio()]
-                if a[5] and b[5]:
-                    x, y = (" ".join(s).lower().replace('{"', "").replace('": "', " ").replace('"}', "").replace("path a", "path a").split() for s in (a[5][0], b[5][0]))
-                    ratios.append(difflib.SequenceMatcher(None, x, y, autojunk=False).ratio())
-                if max(ratios) >= 0.86:
-                    sure.add((a[0], b[0]))
-                if max(ratios) >= 0.84:
-                    most.add((a[0], b[0]))
-    assert sure <= got <= most and len(sure) > 30
+                ratios = [2 * plain_lcs(x, y) / (len(x) + len(y)) for x, y in zip(words(a), words(b)) if x and y]
+                edge += any(0.75 < q < 0.85 for q in ratios)
+                if max(ratios) > 0.75:
+                    want.add((a[0], b[0]))
+    assert got == want and len(want) > 60 and edge > 10
 
 
 def test_instance_ids_nulls_and_copies(spark):
