@@ -26,7 +26,7 @@ RATIO = 0.75
 #: Words of a shingle, and hits in the prefixes that a candidate must have, by kind of text.
 WIDTHS, TIMES = {"problem_statement": 2, "steps": 1}, {"problem_statement": 6, "steps": 8}
 #: Places of the frequency sketch, hits that are expanded at once, shingles that a task handles at once.
-SKETCH, CHUNK, BUCKET = 1 << 20, 1 << 21, 300_000
+SKETCH, CHUNK, BUCKET = 1 << 20, 1 << 17, 300_000
 
 def split_class(split: Column) -> Column:
     """train / validation / test for any spelling or abbreviation; NULL and anything else is in no split."""
@@ -85,16 +85,6 @@ def ratio(a: list[str], b: list[str]) -> float:
     return 2 * lcs(a, b) / (len(a) + len(b)) if a or b else 1.0
 
 
-def shared_shingles(n, width: int, r: float):
-    """Shingles that two texts of n words together share at least if their ratio exceeds r.
-
-    L agreeing words have L - 1 neighbourhoods, and each of the n - 2L other words breaks one at most; a broken one
-    costs width - 1 shingles. This holds for substitutions, insertions and deletions in any layout.
-    """
-    need = needed(n, r)
-    return np.maximum(1, need - (width - 1) * (n - 2 * need + 1))
-
-
 def _slope(width: int, r: float) -> float:
     slope = r * (2 * width - 1) / 2 - (width - 1)
     if slope <= 0:
@@ -102,10 +92,26 @@ def _slope(width: int, r: float) -> float:
     return slope
 
 
+def shared_shingles(n, width: int, r: float):
+    """Shingles that two texts of n words together share at least if their ratio exceeds r; it grows with n.
+
+    L agreeing words have L - 1 neighbourhoods, and each of the n - 2L other words breaks one at most; a broken one
+    costs width - 1 shingles. This holds for substitutions, insertions and deletions in any layout.
+    """
+    return np.maximum(1, np.floor(n * _slope(width, r) - (width - 1) + 1e-9).astype(np.int64) + 1)
+
+
 def always_shared(words: np.ndarray, width: int, r: float) -> np.ndarray:
     """Shingles that a text shares at least with any partner, the shortest possible one included."""
-    n = words + np.ceil(words * (r / (2 - r)) - 1e-9)
-    return np.maximum(1, np.floor(n * _slope(width, r) - (width - 1) - 1e-9).astype(np.int64) + 1)
+    return shared_shingles(words + np.ceil(words * (r / (2 - r)) - 1e-9), width, r)
+
+
+def most_words(words: np.ndarray, rank: np.ndarray, width: np.ndarray, times: np.ndarray, r: float) -> np.ndarray:
+    """Words that a partner may have at most for the shingle of this rank to be in the prefix that the pair needs."""
+    slope = np.ones(len(words))
+    for w in np.unique(width):
+        slope[width == w] = _slope(int(w), r)
+    return np.ceil((words + times - rank - 1) / slope - 1e-9).astype(np.int64) - 1 - words
 
 
 def short_words(width: int, r: float) -> int:
@@ -197,7 +203,7 @@ def prefixes(texts: DataFrame, sketch, r: float, buckets: int) -> DataFrame:
     """(bucket, g, id, words, width, times, p, rank, is_eval): the cheapest shingles of each text that a partner must hit `times` times.
 
     Shingles of one side only cannot link; they come first in the order and are not given. A shingle that would give more
-    than 8 * CHUNK hits is spread over several buckets by its training texts, its evaluation texts go to all of them.
+    than 128 * CHUNK hits is spread over several buckets by its training texts, its evaluation texts go to all of them.
     """
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +222,7 @@ def prefixes(texts: DataFrame, sketch, r: float, buckets: int) -> DataFrame:
                     least = np.where(width == w, always_shared(words, int(w), r), least)
                 keep = (rank < (size - least + np.minimum(least, c["times"][at : at + rows]))[row]) & (value > 0)
                 row, token, p, rank, value = row[keep], token[keep], p[keep], rank[keep], value[keep]
-                salts = np.maximum(1, np.ceil(value / (8.0 * CHUNK))).astype(np.int64)
+                salts = np.maximum(1, np.ceil(value / (128.0 * CHUNK))).astype(np.int64)
                 source = at + row
                 for side in (True, False):
                     mine = np.flatnonzero(c["is_eval"][source] if side else c["is_train"][source])
@@ -238,34 +244,68 @@ def prefixes(texts: DataFrame, sketch, r: float, buckets: int) -> DataFrame:
 
 
 def _hits(e: dict, t: dict, r: float, dtype) -> Iterator[pa.RecordBatch]:
-    """Training ids with the evaluation ids that they hit, as bytes, of one bucket. e is sorted by g, t by id."""
-    start, stop = np.searchsorted(e["g"], t["g"], "left"), np.searchsorted(e["g"], t["g"], "right")
-    total = np.cumsum(stop - start)
-    at = 0
+    """Training ids with the evaluation ids that they hit, as bytes, of one bucket. t is sorted by id.
+
+    Evaluation shingles lie by shingle and words, so that the length and rank filters of the training side cut a slice;
+    the rank filter of the evaluation side and the position filter look at each hit.
+    """
+    names, e_gram = np.unique(e["g"], return_inverse=True)
+    if not len(names) or not len(t["g"]):
+        return
+    t_gram = np.minimum(np.searchsorted(names, t["g"]), len(names) - 1)
+    key = (e_gram << 33) + e["words"]
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    low = np.ceil(t["words"] * (r / (2 - r)) - 1e-9).astype(np.int64)
+    high = np.minimum(np.floor(t["words"] * ((2 - r) / r) + 1e-9).astype(np.int64), most_words(t["words"], t["rank"], t["width"], t["times"], r))
+    start = np.searchsorted(key, (t_gram << 33) + low, "left")
+    size = np.searchsorted(key, (t_gram << 33) + np.maximum(high, 0), "right") - start
+    size = np.where(names[t_gram] == t["g"], np.maximum(size, 0), 0)
+    e_most, e_id = most_words(e["words"], e["rank"], e["width"], e["times"], r)[order], e["id"][order].astype(dtype)
+    e_words, e_p = e["words"][order].astype(np.int32), e["p"][order].astype(np.int32)
+    e_most = np.clip(e_most, -1, 2**31 - 1).astype(np.int32)
+    t_words, t_p = t["words"].astype(np.int32), t["p"].astype(np.int32)
+    least = np.minimum(t["times"], t["least"]).astype(np.int32)
+    (k_all,) = np.nonzero(size)
+    total = np.cumsum(size[k_all])
+    packed, ends, owners, leasts, at = [], [], [], [], 0
+
+    def out() -> pa.RecordBatch:
+        ids = np.concatenate(packed)
+        offsets = np.r_[0, np.cumsum(np.concatenate(ends))] * ids.itemsize
+        hit = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(ids)])
+        batch = pa.RecordBatch.from_arrays([pa.array(np.concatenate(owners)), pa.array(np.concatenate(leasts)), hit], ["id", "least", "hit"])
+        for x in (packed, ends, owners, leasts):
+            x.clear()
+        return batch
+
     while at < len(total):
         before = total[at - 1] if at else 0
         end = max(at + 1, int(np.searchsorted(total, before + CHUNK, "right")))
-        n = (stop - start)[at:end]
-        i = np.repeat(start[at:end] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        k = np.repeat(np.arange(at, end), n)
-        en, tn, width = e["words"][i], t["words"][k], t["width"][k]
-        both = en + tn
-        need = needed(both, r)
-        token = np.maximum(1, need - (width - 1) * (both - 2 * need + 1))
-        spare = np.minimum(t["times"][k], token) - token - (width - 1)
-        ok = (np.minimum(en, tn) >= need) & (e["rank"][i] < en + spare) & (t["rank"][k] < tn + spare) & (e["id"][i] != t["id"][k])
-        i, k, en, tn, need = i[ok], k[ok], en[ok], tn[ok], need[ok]
-        ep, tp = e["p"][i], t["p"][k]
-        ok = (ep < 0) | (tp < 0) | (np.minimum(ep, tp) + np.minimum(en - ep, tn - tp) >= need)
-        k = k[ok]
-        ids, owner = e["id"][i[ok]].astype(dtype), t["id"][k]
-        if len(owner):
+        k = k_all[at:end]
+        n = size[k]
+        i = np.repeat(start[k] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        k = np.repeat(k, n)
+        ep, tp, en, tn = e_p[i], t_p[k], e_words[i], t_words[k]
+        shift, more = ep - tp, en - tn
+        agree = en - np.maximum(shift, 0) - np.maximum(more - shift, 0)
+        ok = ((2 * agree > r * (en + tn)) | ((ep | tp) < 0)) & (tn <= e_most[i])
+        ids, k = e_id[i[ok]], k[ok]
+        differ = ids != t["id"][k]
+        if not differ.all():
+            ids, k = ids[differ], k[differ]
+        if len(k):
+            owner = t["id"][k]
             first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            least = np.minimum(t["times"][k[first]], t["least"][k[first]])
-            ends = np.r_[first, len(owner)] * np.dtype(dtype).itemsize
-            packed = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids)]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(owner[first]), pa.array(least.astype(np.int32)), packed], ["id", "least", "hit"])
+            packed.append(ids)
+            ends.append(np.diff(np.r_[first, len(k)]))
+            owners.append(owner[first])
+            leasts.append(least[k[first]])
+            if sum(map(len, packed)) > 8 * CHUNK:
+                yield out()
         at = end
+    if packed:
+        yield out()
 
 
 def candidates(prefix: DataFrame, r: float, buckets: int, wide: bool) -> DataFrame:
