@@ -5,9 +5,6 @@ Hash-to-min connected components over a DataFrame of edges, then weighted rendez
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,61 +108,62 @@ def related_groups(tasks: DataFrame, aliases: DataFrame) -> DataFrame:
     return nodes.join(labels, "node").groupBy("task_id").agg(F.min("group").alias("group"))
 
 
-def assign_splits(groups: DataFrame, shares: dict[str, float] | None = None, seed: int = 17, heavy_share: float = 0.002, rounds: int = 12) -> DataFrame:
-    """(task_id, group, split): whole groups to splits, the rows as near to `shares` as the groups allow.
+SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
+
 
-    Weighted rendezvous hashing: a group goes to the split with the highest -weight/ln(hash(group, split)). Groups with at
-    least `heavy_share` of all rows (at most 1/heavy_share of them, so they fit the driver) are placed first, largest
-    first, in their rendezvous order into the first split that still has room, else into the one with most room. The
-    weights of the light groups are then the room that is left, corrected in a few rounds of counting. Ties break by
-    split name. Empty input gives an empty result.
+def choose_weights(sizes: DataFrame, shares: dict[str, float] | None = None, seeds: int = 64, rounds: int = 3) -> tuple[int, dict[str, float]]:
+    """(seed, weights) of the rendezvous hashing whose rows per split come nearest to `shares`; sizes has (group, n).
+
+    Whole groups hash to splits, so shares are met in expectation only, and a group with a third of all rows can upset
+    them. All `seeds` are tried in one pass over the groups, then the weights of the best seeds are corrected by what
+    each split lacks, several steps at a time. Only one sum per trial and split reaches the driver.
     """
-    shares = shares or {"train": 0.8, "validation": 0.1, "test": 0.1}
-    sizes = cut(groups.groupBy("group").agg(F.count(F.lit(1)).alias("n")))
+    shares = shares or SHARES
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    heavy = sizes.filter(F.col("n") >= max(1.0, heavy_share * total)).filter(F.col("n") > 1).orderBy(F.desc("n"), "group").collect() if total else []
-    room, placed = {s: share * total for s, share in shares.items()}, {}
-    for row in heavy:
-        order = sorted(shares, key=lambda s: (-_score(row["group"], s, shares[s], seed), s))
-        best = next((s for s in order if room[s] >= row["n"]), max(order, key=lambda s: (room[s], s)))
-        placed[row["group"]] = best
-        room[best] -= row["n"]
-    light = sizes.join(F.broadcast(groups.sparkSession.createDataFrame([(int(g),) for g in placed], "group long")), "group", "left_anti")  # at most 1/heavy_share rows
-    want = {s: max(0.0, room[s]) for s in shares}
-    weights, best = dict(want), None
+    best: list[tuple[float, int, dict[str, float], dict[str, int]]] = []
+    trials = [(seed, dict(shares)) for seed in range(seeds)]
     for _ in range(rounds if total else 0):
-        got = {r["split"]: r["rows"] for r in light.groupBy(_rendezvous(weights, seed).alias("split")).agg(F.sum("n").alias("rows")).collect()}
-        miss = sum(abs(want[s] - got.get(s, 0)) for s in shares)
-        if best is None or miss < best[0]:
-            best = (miss, dict(weights))
-        if miss <= 0.002 * total or not got:
+        got: dict[int, dict[str, int]] = {}
+        for r in _trial_rows(sizes, trials).collect():  # trials x splits rows
+            got.setdefault(r["trial"], {})[r["split"]] = r["rows"]
+        for i, (seed, weights) in enumerate(trials):
+            rows = got.get(i, {})
+            best.append((sum(abs(shares[s] * total - rows.get(s, 0)) for s in shares), seed, weights, rows))
+        best = sorted(best, key=lambda b: (b[0], b[1], sorted(b[2].items())))[:8]
+        if best[0][0] <= 0.001 * total:
             break
-        weights = {s: weights[s] * (want[s] / max(got.get(s, 0), 0.25)) ** 0.7 if want[s] else 0.0 for s in shares}
-    chosen = _rendezvous(best[1] if best else shares, seed)
-    where = sizes.select("group", F.coalesce(F.create_map(*[x for g, s in placed.items() for x in (F.lit(int(g)), F.lit(s))])[F.col("group")], chosen).alias("split")) if placed else sizes.select("group", chosen.alias("split"))
-    return groups.join(where, "group").select("task_id", "group", "split")
+        trials = []
+        for _, seed, weights, rows in best:
+            ratio = {s: shares[s] * total / max(rows.get(s, 0), 0.02 * shares[s] * total, 1) for s in shares}
+            trials.extend((seed, {s: weights[s] * ratio[s] ** power for s in shares}) for power in (0.2, 0.35, 0.5, 0.7, 0.85, 1.0, 1.2, 1.5))
+    return best[0][1:3] if best else (0, dict(shares))
 
 
-def _unit(group: int, split: str, seed: int) -> float:
-    import hashlib
+def assign_splits(groups: DataFrame, shares: dict[str, float] | None = None, choice: tuple[int, dict[str, float]] | None = None) -> DataFrame:
+    """(task_id, group, split): whole groups to splits by weighted rendezvous hashing.
 
-    return (int.from_bytes(hashlib.md5(f"{seed}/{split}/{group}".encode()).digest()[:6], "big") + 0.5) / 2**48
+    A group goes to the split with the highest -weight/ln(hash(group, split)), whatever its size and whatever other groups
+    there are. Seed and weights come from choose_weights; given as `choice`, those of an earlier run keep every group in
+    its split when rows are added. Ties break by split name. Empty input gives an empty result.
+    """
+    sizes = cut(groups.groupBy("group").agg(F.count(F.lit(1)).alias("n"))) if choice is None else groups.select("group").distinct()
+    seed, weights = choice or choose_weights(sizes, shares)
+    where = sizes.select("group", _rendezvous(F.lit(seed), {s: F.lit(float(w)) for s, w in weights.items()}).alias("split"))
+    return groups.join(where, "group").select("task_id", "group", "split")
 
 
-def _score(group: int, split: str, weight: float, seed: int) -> float:
-    return -weight / math.log(_unit(group, split, seed))
+def _trial_rows(sizes: DataFrame, trials: list[tuple[int, dict[str, float]]]) -> DataFrame:
+    names = sorted(trials[0][1])
+    rows = F.array(*(F.struct(F.lit(i).alias("trial"), F.lit(seed).alias("seed"), *(F.lit(float(w[s])).alias(f"w_{s}") for s in names)) for i, (seed, w) in enumerate(trials)))
+    t = sizes.select("group", "n", F.explode(rows).alias("t"))
+    return t.groupBy(F.col("t.trial").alias("trial"), _rendezvous(F.col("t.seed"), {s: F.col(f"t.w_{s}") for s in names}).alias("split")).agg(F.sum("n").alias("rows"))
 
 
-def _rendezvous(weights: dict[str, float], seed: int) -> Column:
-    """The same hash and score as _score, as an expression."""
+def _rendezvous(seed: Column, weights: dict[str, Column]) -> Column:
+    """Name of the split with the highest score."""
     def score(split: str) -> Column:
-        digest = F.md5(F.concat(F.lit(f"{seed}/{split}/"), F.col("group").cast("string")).cast("binary"))
-        unit = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / float(2**48)
-        return F.lit(-float(weights[split])) / F.log(unit)
-
-    names: Sequence[str] = sorted(weights)
-    top = F.greatest(*(score(s) for s in names)) if len(names) > 1 else score(names[0])
-    out = F.lit(names[-1])
-    for s in reversed(names[:-1]):
-        out = F.when(score(s) >= top, F.lit(s)).otherwise(out)
-    return out
+        unit = (F.shiftrightunsigned(F.xxhash64("group", F.lit(split), seed), 11).cast("double") + 0.5) / float(2**53)
+        return -weights[split] / F.log(unit)
+
+    top = F.array_max(F.array(*(F.struct(score(s).alias("score"), F.lit(s).alias("split")) for s in sorted(weights))))
+    return top["split"]

@@ -38,6 +38,45 @@ def test_correct_text_stays(text):
     assert restore(text) == (text, False, False)
 
 
+SCRIPTS = {
+    "latin": "Élève référence déjà vérifiée, le résultat est préféré.",
+    "polish": "Zażółć gęślą jaźń, proszę sprawdzić źródło błędu.",
+    "turkish": "Değişiklik şu anda çalışmıyor, lütfen günlüğü gözden geçirin.",
+    "vietnamese": "Tiếng Việt có nhiều dấu thanh và chữ cái đặc biệt.",
+    "russian": RUSSIAN,
+    "greek": "Η αλλαγή δεν λειτουργεί και το σφάλμα επιστρέφει πάντα.",
+    "hebrew": "השינוי אינו עובד והשגיאה חוזרת תמיד לאותו מקום.",
+    "arabic": "التغيير لا يعمل والخطأ يعود دائما إلى نفس المكان.",
+    "hindi": "परिवर्तन काम नहीं कर रहा है और त्रुटि हमेशा लौटती है।",
+    "thai": "การเปลี่ยนแปลงไม่ทำงานและข้อผิดพลาดกลับมาเสมอ",
+    "korean": "변경 사항이 작동하지 않으며 오류가 항상 반환됩니다.",
+    "chinese": "更改不起作用，错误总是返回到同一个地方。",
+    "japanese": JAPANESE,
+}
+
+
+@pytest.mark.parametrize("read", ["latin-1", "cp1252"])
+@pytest.mark.parametrize("script", SCRIPTS)
+def test_scripts_read_as_western(script, read):
+    text = SCRIPTS[script]
+    raw = text.encode()
+    # lenient readers give bytes that the encoding lacks as control characters
+    bad = "".join(bytes([b]).decode(read) if read == "latin-1" or b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(b) for b in raw)
+    assert restore(bad) == (text, True, False)
+    assert restore(text) == (text, False, False)
+
+
+@pytest.mark.parametrize("script,written", [("russian", "cp1251"), ("russian", "koi8_r"), ("greek", "cp1253"), ("hebrew", "cp1255"), ("arabic", "cp1256"), ("korean", "cp949"), ("chinese", "gb18030"), ("japanese", "cp932"), ("japanese", "euc_jp"), ("thai", "cp874")])
+def test_legacy_encodings_read_as_western(script, written):
+    text = SCRIPTS[script]
+    assert restore(text.encode(written).decode("latin-1")) == (text, True, False)
+
+
+def test_nothing_is_invented():
+    fixed, garbled, lossy = restore("FaÃ§ade Ãlvaro")
+    assert fixed.startswith("Façade ") and "í" not in fixed and garbled and lossy
+
+
 def test_part_of_a_text():
     good = "Une ligne déjà correcte.\n"
     bad = "Une référence".encode().decode("latin-1")
