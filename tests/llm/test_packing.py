@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from stepmill.llm.packing import TOKENIZER, Bm25, pack_documents, pack_shard
+from stepmill.llm.packing import TOKENIZER, Bm25, Topics, pack_documents, pack_shard, shards_of_topics
 
 
 @settings(max_examples=150, deadline=None)
@@ -55,3 +55,39 @@ def test_frame(spark):
     assert all(sum(n for _, n in v) <= 2048 and sorted(p for p, _ in v) == list(range(len(v))) for v in per.values())
     assert sum(r["doc_id"] == 4 for r in out) == 2 and any(r["doc_id"] is None for r in out) and any(r["doc_id"] == 2 for r in out)
     assert pack_documents(df.limit(0)).count() == 0
+
+
+def test_shards_of_topics():
+    got = shards_of_topics([(0, 5, 50), (1, 4, 40), (2, 30, 300), (3, 2, 900), (5, 1, 1)], 10, 1000)
+    assert got == {0: (0, 1), 1: (0, 1), 2: (1, 3), 3: (4, 1), 5: (4, 1)}
+    assert shards_of_topics([], 10, 10) == {}
+
+
+def test_topics_keep_neighbours():
+    rng = np.random.default_rng(2)
+    items = [rng.integers(t * 500, t * 500 + 200, 60) for t in range(6) for _ in range(40)]
+    topics = Topics(items[::2], topics=6)
+    of = topics.of(items)
+    # a text's best neighbour has the same topic; of 239 others 39 are of its kind
+    index = Bm25(items, 1.0)
+    best = [int(np.argmax(np.where(np.arange(240) == i, -1, index.scores(i)))) for i in range(240)]
+    assert np.mean(of[best] == of) > 0.8 and len(set(of)) >= 5
+    assert Topics([]).of([np.array([1, 2]), np.zeros(0, int)]).tolist() == [0, 0]
+
+
+@pytest.mark.skipif(not os.path.exists(TOKENIZER), reason="no vocabulary file")
+def test_many_shards_and_a_hot_text(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, "the same text over and over") for i in range(150)] + [(1000 + i, " ".join(f"w{x}" for x in rng.integers(i % 5 * 50, i % 5 * 50 + 50, 30))) for i in range(300)]
+    out = pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), capacity=200, shard_docs=40).collect()
+    assert sorted({r["doc_id"] for r in out}) == sorted(i for i, _ in rows)
+    shards = {}
+    for r in out:
+        shards.setdefault(r["container"].split("-")[0], set()).add(r["doc_id"])
+    assert len(shards) > 8 and max(map(len, shards.values())) < 90
+    per = {}
+    for r in out:
+        per[r["container"]] = per.get(r["container"], 0) + r["n_tokens"]
+    assert max(per.values()) <= 200
+    again = pack_documents(spark.createDataFrame(rows[::-1], "doc_id long, text string"), capacity=200, shard_docs=40).collect()
+    assert sorted(map(tuple, out)) == sorted(map(tuple, again))
