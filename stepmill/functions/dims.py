@@ -46,3 +46,8 @@ ROLLOUT_TIMEOUT = r"(?i)\b(?:time[ -]?out|timed out|timeoutexpired|connecttimeou
 ROLLOUT_ENVIRONMENT = r"(?i)(?:modulenotfounderror|importerror|filenotfounderror|connectionerror|connecterror|connection refused|network is unreachable|no space left|out of memory|cuda out of memory|prepared repository not found|infrastructure failed|policy_error)"
 PLANNING_TIMEOUT = r"(?i)\b(time[ -]?out|timed out|timeoutexpired)\b"
 PLANNING_ENVIRONMENT = r"(?i)(modulenotfounderror|importerror|filenotfounderror|connectionerror|no space left|out of memory|cuda out of memory|infrastructure failed|prepared repository not found|policy_error|model backend failed|broken installation|module 'collections' has no attribute 'mapping')"
+TOOL_USAGE_ENVIRONMENT = r"(?i)(?:modulenotfounderror|importerror|filenotfounderror|connectionerror|connecttimeout|connection refused|network is unreachable|no space left|out of memory|cuda out of memory|setuptools_scm|prepared repository not found|infrastructure failed|error while parsing the following warning configuration)"
+ACTION_ENVIRONMENT = r"(?i)(modulenotfounderror|no module named|importerror|cannot import name|missing dependency|hypothesis|setuptools_scm|pkg_resources|error loading conftest|error while loading|django.*import|module 'collections' has no attribute|python 3\.1[3-9]|command not found|no such file or directory.*python|broken installation|infrastructure failed|model backend failed)"
+# Tools that count as calls in the rollout analysis; write_file is the older name of a patch.
+CALLS = (*TOOLS, "write_file")
+WRITES = ("write_file", "apply_patch")

@@ -78,6 +78,11 @@ def has_patch(c: Column) -> Column:
     return ~F.coalesce(F.lower(strip(c)), F.lit("")).isin(*EMPTY_PATCHES)
 
 
+def has_changes(c: Column) -> Column:
+    """Whether a rollout left a patch: neither NULL, blank nor the marker `(no changes)`."""
+    return ~F.coalesce(strip(c), F.lit("")).isin("", "(no changes)")
+
+
 def patch_has_body(c: Column) -> Column:
     return F.coalesce(c, F.lit("")).rlike(r"(?m)^[+-](?![+-])")
 
@@ -122,13 +127,6 @@ def search_lines(c: Column, n: int = 3) -> Column:
     return F.slice(F.concat(F.filter(keep, lambda x: x.rlike(r"^(async def|def|class) ")), keep), 1, n)
 
 
-def patch_failed_text(tool: Column, observation: Column, success: Column) -> Column:
-    """Failure of a tool: its flag where it is given, else what its observation says."""
-    o = F.lower(F.coalesce(observation, F.lit("")))
-    said = F.when(tool == "apply_patch", o.contains("error") | o.contains("failed") | o.contains("does not apply")).when(tool == "run_test", o.contains("blocked") | o.contains("refused")).otherwise(o.startswith("error") | o.contains("not found"))
-    return F.coalesce(~success, said)
-
-
 def guarded_ratio(n: Column, d: Column) -> Column:
     """n / d, 0.0 where d is 0 or NULL."""
     return F.coalesce(F.try_divide(n.cast("double"), d.cast("double")), F.lit(0.0))

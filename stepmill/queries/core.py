@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stepmill.functions import calls, diff, text
-from stepmill.functions.dims import EMPTY_PATCHES, PHASE_TOOLS, ROLLOUT_ENVIRONMENT, ROLLOUT_TIMEOUT, TOOLS
+from stepmill.functions.dims import ACTION_ENVIRONMENT, CALLS, EMPTY_PATCHES, PARAMETERS, PHASE_TOOLS, ROLLOUT_ENVIRONMENT, ROLLOUT_TIMEOUT, TOOLS, WRITES
 from stepmill.operators import classify, compare, examples, metrics, sequence, splits
 from stepmill.plans import prompts
 from stepmill.session import latest_steps, table
@@ -262,56 +262,36 @@ def q_v11_derived_commands(spark, d):
 
 # ---- classification ------------------------------------------------------------------------------------------------
 
-FLAGS = f"""fl AS (SELECT rollout_id, bool_or(coalesce(invalid_action, false)) AS invalid, bool_or(coalesce(NOT tool_success, false) AND executed_tool = 'apply_patch') AS patch_failed, bool_or(coalesce(NOT tool_success, false)) AS tool_failed, count(*) AS steps,
-  count_if(executed_tool IS NOT NULL) AS tool_calls, count_if(invalid_action) AS invalid_actions, count_if(NOT tool_success) AS tool_failures FROM st GROUP BY 1)"""
+NAME = "lower(trim(split_part(coalesce(action, ''), '(', 1)))"
+CALL_LIST, WRITE_LIST = (", ".join(f"'{t}'" for t in ts) for ts in (CALLS, WRITES))
+SAID = """CASE WHEN name = 'read_file' THEN contains(o, 'read_file failed:') OR contains(o, 'not a file:') WHEN name IN ('write_file', 'apply_patch') THEN contains(o, name || ' failed:') OR contains(o, name || ' refused:')
+  WHEN name = 'run_test' THEN contains(o, 'run_test failed:') OR contains(o, 'run_test refused') ELSE contains(o, name || ' failed:') END"""
+SIGNALS = f"sg AS (SELECT *, name IN ({CALL_LIST}) AS is_call, name IN ({CALL_LIST}) AND ({SAID}) AS failed FROM (SELECT *, {NAME} AS name, lower(coalesce(observation, '')) AS o FROM st))"
+FLAGS = f"""{SIGNALS}, fl AS (SELECT rollout_id, bool_or(coalesce(invalid_action, false)) AS invalid, bool_or(regexp_matches(o, '{ROLLOUT_TIMEOUT}')) AS late, bool_or(regexp_matches(o, '{ROLLOUT_ENVIRONMENT}')) AS environment, bool_or(name = 'error') AS error_step,
+  bool_or(name IN ({WRITE_LIST}) OR coalesce(executed_tool = 'apply_patch', false)) AS wrote, bool_or(failed AND name IN ({WRITE_LIST})) AS write_failed, bool_or(failed) AS tool_failed, count(*) AS steps, count_if(is_call) AS tool_calls, count_if(invalid_action) AS invalid_actions, count_if(failed) AS tool_failures FROM sg GROUP BY 1)"""
+CHANGES = r"trim(coalesce(patch, ''), E' \n\r\t') NOT IN ('', '(no changes)')"
+REASON = f"""CASE WHEN coalesce(success, false) THEN NULL WHEN invalid THEN 'invalid_action' WHEN coalesce(late, false) OR regexp_matches(dg, '{ROLLOUT_TIMEOUT}') THEN 'timeout' WHEN coalesce(environment, false) OR coalesce(error_step, false) OR regexp_matches(dg, '{ROLLOUT_ENVIRONMENT}') THEN 'environment_error'
+ WHEN write_failed THEN 'patch_failed' WHEN tool_failed THEN 'tool_error' WHEN NOT ({CHANGES}) THEN 'no_patch' WHEN wrote AND coalesce(len(modified_files), 0) = 0 THEN 'patch_failed' WHEN test_result IS NULL THEN 'environment_error' WHEN NOT coalesce(test_result.passed, false) THEN 'test_failed' ELSE 'patch_failed' END"""
+FACTS = f"{ST}, {RO}, {FLAGS}, fc AS (SELECT *, {REASON} AS reason, CASE WHEN test_result.passed THEN 'passed' WHEN NOT test_result.passed THEN 'failed' ELSE 'missing' END AS final_test FROM (SELECT *, coalesce(test_result.output, '') || chr(10) || coalesce(test_result.policy_error, '') AS dg FROM ro LEFT JOIN fl USING (rollout_id)))"
 
 
-def _facts(spark, d):
-    return _facts_of(_steps(spark, d, "invalid_action", "tool_success", "executed_tool"))
-
-
-def _facts_of(s, *more):
-    failed = F.coalesce(~F.col("tool_success"), F.lit(False))
-    return s.groupBy("rollout_id").agg(F.bool_or(F.coalesce("invalid_action", F.lit(False))).alias("invalid"), F.bool_or(failed & (F.col("executed_tool") == "apply_patch")).alias("patch_failed"), F.bool_or(failed).alias("tool_failed"), F.count(F.lit(1)).alias("steps"), F.count_if(F.col("executed_tool").isNotNull()).alias("tool_calls"), F.count_if("invalid_action").alias("invalid_actions"), F.count_if(~F.col("tool_success")).alias("tool_failures"), *more)
-
-
-REASON = f"""CASE WHEN coalesce(success, false) THEN NULL WHEN invalid THEN 'invalid_action' WHEN regexp_matches(dg, '{ROLLOUT_TIMEOUT}') THEN 'timeout' WHEN regexp_matches(dg, '{ROLLOUT_ENVIRONMENT}') THEN 'environment_error'
- WHEN patch_failed THEN 'patch_failed' WHEN tool_failed THEN 'tool_error' WHEN lower(trim(coalesce(patch, ''))) IN ({EMPTY}) THEN 'no_patch' WHEN test_result IS NULL THEN 'environment_error' WHEN NOT test_result.passed THEN 'test_failed' ELSE 'patch_failed' END"""
-FACTS = f"{ST}, {RO}, {FLAGS}, fc AS (SELECT *, {REASON} AS reason, CASE WHEN test_result.passed THEN 'passed' WHEN NOT test_result.passed THEN 'failed' ELSE 'missing' END AS final_test FROM (SELECT *, coalesce(test_result.output, '') || ' ' || coalesce(test_result.policy_error, '') AS dg FROM ro LEFT JOIN fl USING (rollout_id)))"
+def _flagged(spark, d, signals, *columns):
+    """Valid steps with flags; they are taken before deliveries are merged, so that no observation is shuffled."""
+    return latest_steps(table(spark, d, "steps").withColumns(signals), *columns, *signals)
 
 
 def _classified(spark, d):
-    r = _rollouts(spark, d, "instance_id", "arm", "repo", "success", "patch", "test_result", "host_test_result", "token_usage").join(_facts(spark, d), "rollout_id", "left")
-    dg = F.concat(F.coalesce("test_result.output", F.lit("")), F.lit(" "), F.coalesce("test_result.policy_error", F.lit("")))
-    reason = classify.rollout_failure(F.col("success"), {k: F.col(k) for k in ("invalid", "patch_failed", "tool_failed")}, F.col("patch"), F.col("test_result"), dg)
-    return r.withColumn("reason", reason).withColumn("final_test", classify.test_state(F.col("test_result")))
-
-
-# The whole ladder of C1; FACTS above lacks the rung of writes that modified nothing and what only observations tell.
-WHOLE_FLAGS = f"""wf AS (SELECT rollout_id, bool_or(regexp_matches(coalesce(observation, ''), '{ROLLOUT_TIMEOUT}')) AS late, bool_or(regexp_matches(coalesce(observation, ''), '{ROLLOUT_ENVIRONMENT}')) AS environment,
-  bool_or(lower(trim(split_part(coalesce(action, ''), '(', 1))) = 'error') AS error_step, bool_or(coalesce(executed_tool = 'apply_patch', false) OR lower(trim(split_part(coalesce(action, ''), '(', 1))) IN ('write_file', 'apply_patch')) AS wrote FROM st GROUP BY 1)"""
-WHOLE_REASON = f"""CASE WHEN coalesce(success, false) THEN NULL WHEN invalid THEN 'invalid_action' WHEN late OR regexp_matches(dg, '{ROLLOUT_TIMEOUT}') THEN 'timeout' WHEN environment OR error_step OR regexp_matches(dg, '{ROLLOUT_ENVIRONMENT}') THEN 'environment_error'
- WHEN patch_failed THEN 'patch_failed' WHEN tool_failed THEN 'tool_error' WHEN lower(trim(coalesce(patch, ''))) IN ({EMPTY}) THEN 'no_patch' WHEN wrote AND coalesce(len(modified_files), 0) = 0 THEN 'patch_failed' WHEN test_result IS NULL THEN 'environment_error' WHEN NOT test_result.passed THEN 'test_failed' ELSE 'patch_failed' END"""
-WHOLE_FACTS = FACTS.replace(f"{FLAGS},", f"{FLAGS}, {WHOLE_FLAGS},").replace(REASON, WHOLE_REASON).replace("LEFT JOIN fl USING (rollout_id)", "LEFT JOIN fl USING (rollout_id) LEFT JOIN wf USING (rollout_id)")
-
-
-def _classified_whole(spark, d):
-    # the patterns are sought before deliveries are merged, so that only flags are shuffled
-    name, o = text.action_name(F.col("action")), F.coalesce("observation", F.lit(""))
-    wrote = F.coalesce(F.col("executed_tool") == "apply_patch", F.lit(False)) | F.coalesce(name.isin("write_file", "apply_patch"), F.lit(False))
-    flags = {"late": o.rlike(ROLLOUT_TIMEOUT), "environment": o.rlike(ROLLOUT_ENVIRONMENT), "error_step": F.coalesce(name == "error", F.lit(False)), "wrote": wrote}
-    base = ("invalid", "patch_failed", "tool_failed")
-    s = latest_steps(table(spark, d, "steps").withColumns(flags), "invalid_action", "tool_success", "executed_tool", *flags)
-    facts = _facts_of(s, *(F.bool_or(k).alias(k) for k in flags))
+    signals = classify.rollout_signals(*(F.col(c) for c in ("action", "executed_tool", "observation", "invalid_action")))
+    s = _flagged(spark, d, signals)
+    facts = s.groupBy("rollout_id").agg(*(F.bool_or(k).alias(k) for k in signals if k != "is_call"), F.count(F.lit(1)).alias("steps"), F.count_if("is_call").alias("tool_calls"), F.count_if("invalid").alias("invalid_actions"), F.count_if("tool_failed").alias("tool_failures"))
     r = _rollouts(spark, d, "instance_id", "arm", "repo", "success", "patch", "modified_files", "test_result", "host_test_result", "token_usage").join(facts, "rollout_id", "left")
-    dg = F.concat(F.coalesce("test_result.output", F.lit("")), F.lit(" "), F.coalesce("test_result.policy_error", F.lit("")))
-    reason = classify.rollout_failure(F.col("success"), {k: F.col(k) for k in (*base, *flags)}, F.col("patch"), F.col("test_result"), dg, F.col("modified_files"))
+    reason = classify.rollout_failure(F.col("success"), {k: F.col(k) for k in signals if k != "is_call"}, F.col("patch"), F.col("modified_files"), F.col("test_result"))
     return r.withColumn("reason", reason).withColumn("final_test", classify.test_state(F.col("test_result")))
 
 
 @query(f"WITH {FACTS} SELECT rollout_id, steps, tool_calls, invalid_actions, tool_failures, final_test, reason FROM fc")
-def q_g2_rollout_facts(spark, d, classified=_classified):
-    return classified(spark, d).select("rollout_id", "steps", "tool_calls", "invalid_actions", "tool_failures", "final_test", "reason")
+def q_g2_rollout_facts(spark, d):
+    return _classified(spark, d).select("rollout_id", "steps", "tool_calls", "invalid_actions", "tool_failures", "final_test", "reason")
 
 
 REASONS = ["invalid_action", "timeout", "environment_error", "patch_failed", "tool_error", "no_patch", "test_failed"]
@@ -319,35 +299,51 @@ REASONS = ["invalid_action", "timeout", "environment_error", "patch_failed", "to
 
 @query(f"""WITH {FACTS}, c AS (SELECT arm, reason, count(*) AS n FROM fc WHERE reason IS NOT NULL GROUP BY 1, 2), d AS (SELECT arm, unnest({REASONS}) AS reason FROM (SELECT DISTINCT arm FROM fc WHERE reason IS NOT NULL))
 SELECT d.arm, d.reason, coalesce(n, 0) AS n FROM d LEFT JOIN c ON d.arm = c.arm AND d.reason = c.reason""")
-def q_g1_failure_taxonomy(spark, d, classified=_classified):
-    counts = classified(spark, d).filter("reason IS NOT NULL").groupBy("arm", "reason").agg(F.count(F.lit(1)).alias("n"))
+def q_g1_failure_taxonomy(spark, d):
+    counts = _classified(spark, d).filter("reason IS NOT NULL").groupBy("arm", "reason").agg(F.count(F.lit(1)).alias("n"))
     return classify.zero_filled(counts, "reason", REASONS, ["arm"])
 
 
 @query(f"""WITH {FACTS} SELECT arm, count(*) AS rollouts, count_if(success) AS successes, count_if(success) / count(*)::DOUBLE AS success_rate, sum(steps)::BIGINT AS steps, sum(tool_calls)::BIGINT AS tool_calls, sum(invalid_actions)::BIGINT AS invalid_actions,
  coalesce(sum(invalid_actions) / nullif(sum(steps), 0)::DOUBLE, 0) AS invalid_rate, count_if(final_test = 'passed') AS passed, count_if(final_test = 'missing') AS missing, sum(token_usage.total_tokens)::BIGINT AS total_tokens FROM fc GROUP BY 1""")
-def q_g3_arm_summary(spark, d, classified=_classified):
+def q_g3_arm_summary(spark, d):
     s = lambda c: F.sum(c)
-    return classified(spark, d).groupBy("arm").agg(F.count(F.lit(1)).alias("rollouts"), F.count_if("success").alias("successes"), text.guarded_ratio(F.count_if("success"), F.count(F.lit(1))).alias("success_rate"), s("steps").alias("steps"), s("tool_calls").alias("tool_calls"), s("invalid_actions").alias("invalid_actions"), text.guarded_ratio(s("invalid_actions"), s("steps")).alias("invalid_rate"), F.count_if(F.col("final_test") == "passed").alias("passed"), F.count_if(F.col("final_test") == "missing").alias("missing"), s("token_usage.total_tokens").alias("total_tokens"))
-
-
-@query(f"""WITH {ST}, c AS (SELECT executed_tool, lower(coalesce(observation, '')) AS o, NOT tool_success AS failed, generation_truncated AS tr, controller_intervened AS bl FROM st),
- f AS (SELECT executed_tool, CASE WHEN tr THEN 'generation_truncated' WHEN bl THEN 'controller_blocked' WHEN executed_tool = 'search_code' AND trim(o) = 'no matches' THEN 'search_no_result'
-  WHEN executed_tool = 'run_test' AND regexp_matches(o, '{ROLLOUT_ENVIRONMENT}') THEN 'test_environment_error' WHEN failed AND contains(o, 'escapes') THEN 'wrong_path' WHEN failed AND (contains(o, 'not found') OR contains(o, 'no such file')) THEN 'file_not_found'
-  WHEN failed AND executed_tool = 'apply_patch' AND regexp_matches(o, 'corrupt|malformed|no valid patch') THEN 'patch_parse_error' WHEN failed AND executed_tool = 'apply_patch' THEN 'git_apply_check_failed' WHEN failed THEN 'other_tool_error' END AS failure FROM c)
+    return _classified(spark, d).groupBy("arm").agg(F.count(F.lit(1)).alias("rollouts"), F.count_if("success").alias("successes"), text.guarded_ratio(F.count_if("success"), F.count(F.lit(1))).alias("success_rate"), s("steps").alias("steps"), s("tool_calls").alias("tool_calls"), s("invalid_actions").alias("invalid_actions"), text.guarded_ratio(s("invalid_actions"), s("steps")).alias("invalid_rate"), F.count_if(F.col("final_test") == "passed").alias("passed"), F.count_if(F.col("final_test") == "missing").alias("missing"), s("token_usage.total_tokens").alias("total_tokens"))
+
+
+def _schema_sql():
+    """The status of a call's arguments j (JSON or NULL) for the tool `tool`, by the parameter list."""
+    missing, bad = [], []
+    for t in TOOLS:
+        params = [p for p in PARAMETERS if p[0] == t]
+        here = f"tool = '{t}' AND "
+        allowed = ", ".join(f"'{p[1]}'" for p in params)
+        missing.extend(here + f"NOT list_contains(k, '{p[1]}')" for p in params if p[5])
+        bad.append(here + f"len(list_filter(k, lambda x: x NOT IN ({allowed}))) > 0")
+        for _, name, kind, low, high, _ in params:
+            of = f"json_type(j, '$.{name}')"
+            if kind == "string":
+                bad.append(here + f"{of} <> 'VARCHAR'")
+                continue
+            bad.append(here + f"{of} NOT IN ('UBIGINT', 'BIGINT')")
+            outside = f"TRY_CAST(json_extract(j, '$.{name}') AS BIGINT) < {low}" + (f" OR TRY_CAST(json_extract(j, '$.{name}') AS BIGINT) > {high}" if high else "")
+            bad.append(here + f"({outside})")
+    either = lambda xs: " OR ".join(f"coalesce({x}, false)" for x in xs)
+    return f"CASE WHEN j IS NULL THEN 'schema_error' WHEN {either(missing)} THEN 'missing_argument' WHEN {either(bad)} THEN 'schema_error' END"
+
+
+@query(f"""WITH {ST}, p AS (SELECT *, trim(regexp_replace(lower(trim(model_proposed_tool)), '[^a-z0-9]+', '_', 'g'), '_') AS n, CASE WHEN contains(action, '(') AND ends_with(action, ')') THEN substr(action, instr(action, '(') + 1, length(action) - instr(action, '(') - 1) END AS raw, lower(coalesce(observation, '')) AS o FROM st),
+ a AS (SELECT *, {ALIAS_CASE} AS tool, CASE WHEN json_valid(raw) AND json_type(CASE WHEN json_valid(raw) THEN raw END) = 'OBJECT' THEN raw END AS j FROM p), b AS (SELECT *, json_keys(j) AS k, coalesce(tool_success = false, false) AS bad FROM a),
+ c AS (SELECT *, CASE WHEN n <> '' AND tool IS NULL THEN 'unknown_tool' WHEN coalesce(starts_with(action, 'invalid('), false) THEN 'invalid_json' WHEN tool IS NULL THEN NULL ELSE {_schema_sql()} END AS status FROM b),
+ f AS (SELECT executed_tool, CASE WHEN generation_truncated THEN 'generation_truncated' WHEN status IS NOT NULL THEN status WHEN contains(o, 'planning controller blocked') THEN 'controller_blocked' WHEN executed_tool = 'search_code' AND trim(o, E' \n\r\t') = 'no matches' THEN 'search_no_result'
+  WHEN bad AND executed_tool = 'run_test' AND regexp_matches(o, '{ACTION_ENVIRONMENT.replace(chr(39), chr(39) * 2)}') THEN 'test_environment_error' WHEN bad AND contains(o, 'path escapes workspace') THEN 'wrong_path' WHEN bad AND (contains(o, 'path does not exist') OR contains(o, 'not a file') OR contains(o, 'target is not an existing file')) THEN 'file_not_found'
+  WHEN bad AND executed_tool = 'apply_patch' AND (contains(o, 'no valid file headers') OR contains(o, 'creating or deleting files is not allowed')) THEN 'patch_parse_error' WHEN bad AND executed_tool = 'apply_patch' AND contains(o, 'apply_patch failed:') THEN 'git_apply_check_failed' WHEN bad THEN 'other_tool_error' END AS failure FROM c)
 SELECT executed_tool, failure, count(*) AS n FROM f GROUP BY 1, 2""")
-def q_c4_action_failures(spark, d):
-    s = _steps(spark, d, "executed_tool", "observation", "tool_success", "generation_truncated", "controller_intervened")
-    f = classify.action_failure(F.col("executed_tool"), F.col("observation"), F.col("tool_success"), F.col("generation_truncated"), F.lit(False), F.col("controller_intervened"), F.lit(None).cast("string"))
-    return s.groupBy("executed_tool", f.alias("failure")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query()
 def q_c4_action_ladder(spark, d):
-    """All 13 classes, those of the call itself included; q_c4_action_failures leaves these out, as its SQL does."""
-    s = _steps(spark, d, "executed_tool", "model_proposed_tool", "action", "observation", "tool_success", "generation_truncated", "controller_intervened")
+    """All 13 classes, those of the call itself included."""
+    s = _steps(spark, d, "executed_tool", "model_proposed_tool", "action", "observation", "tool_success", "generation_truncated")
     s = classify.arguments_status(s, "action", "model_proposed_tool")
-    f = classify.action_failure(F.col("executed_tool"), F.col("observation"), F.col("tool_success"), F.col("generation_truncated"), F.col("action").startswith("invalid("), F.col("controller_intervened"), F.col("arguments_status"))
+    f = classify.action_failure(F.col("executed_tool"), F.col("observation"), F.col("tool_success"), F.col("generation_truncated"), F.col("arguments_status"))
     return s.groupBy("executed_tool", f.alias("failure")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -390,8 +386,8 @@ def q_g21_merge_counters(spark, d):
 
 
 @query(f"""WITH {FACTS}, c AS (SELECT reason, count_if(arm = 'sft') - count_if(arm = 'base') AS delta FROM fc WHERE reason IS NOT NULL GROUP BY 1) SELECT reason, delta FROM c ORDER BY abs(delta) DESC, reason DESC LIMIT 1""")
-def q_g20_top_delta(spark, d, classified=_classified):
-    c = classified(spark, d).filter("reason IS NOT NULL").groupBy("arm", "reason").agg(F.count(F.lit(1)).alias("n"))
+def q_g20_top_delta(spark, d):
+    c = _classified(spark, d).filter("reason IS NOT NULL").groupBy("arm", "reason").agg(F.count(F.lit(1)).alias("n"))
     return metrics.top_delta(c.filter("arm = 'base'"), c.filter("arm = 'sft'"), "reason", "n")
 
 

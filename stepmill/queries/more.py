@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from stepmill.functions import actions, calls, diff, text
-from stepmill.functions.dims import EMPTY_PATCHES, PLANNING_ENVIRONMENT, PLANNING_TIMEOUT, TOOLS
+from stepmill.functions.dims import EMPTY_PATCHES, PLANNING_ENVIRONMENT, PLANNING_TIMEOUT, TOOL_USAGE_ENVIRONMENT, TOOLS
 from stepmill.operators import classify, compare, examples, files, metrics, records, sequence, splits
 from stepmill.queries import core
-from stepmill.queries.core import FACTS, FLAGS, RO, SPLIT_CASE, ST, TJ, WHOLE_FACTS, _classified, _classified_whole, _facts, _rollouts, _split_name, _steps
+from stepmill.queries.core import CHANGES, FACTS, RO, SIGNALS, SPLIT_CASE, ST, TJ, _classified, _flagged, _rollouts, _split_name, _steps
 from stepmill.session import table
 from stepmill.sources import readers
 
@@ -80,12 +78,13 @@ def q_p28_strict_objects(spark, d):
 
 
 @query(f"""WITH {ST}, r AS (SELECT rollout_id, action, count(*) AS c FROM st WHERE coalesce(executed_tool, '') <> 'run_test' AND action IS NOT NULL GROUP BY 1, 2), m AS (SELECT rollout_id, max(c) AS times FROM r GROUP BY 1),
- b AS (SELECT rollout_id, bool_or(coalesce(invalid_action, false)) AS invalid, bool_or(contains(lower(coalesce(observation, '')), 'invalid arguments:')) AS bad_arguments FROM st GROUP BY 1)
+ b AS (SELECT rollout_id, bool_or(coalesce(invalid_action, false) OR lower(trim(split_part(coalesce(action, ''), '(', 1))) NOT IN ({TOOL_LIST})) AS invalid, bool_or(contains(lower(coalesce(observation, '')), 'invalid arguments:')) AS bad_arguments FROM st GROUP BY 1)
 SELECT rollout_id, invalid OR bad_arguments OR coalesce(times, 0) >= 3 AS planning_error FROM b LEFT JOIN m USING (rollout_id)""")
 def q_f16_planning_errors(spark, d):
     s = _steps(spark, d, "executed_tool", "action", "invalid_action", "observation")
     again = sequence.repeated_calls(s.filter(F.coalesce("executed_tool", F.lit("")) != "run_test").withColumn("action", F.md5("action")), "rollout_id", "action").select("rollout_id").distinct().withColumn("again", F.lit(True))
-    b = s.groupBy("rollout_id").agg(F.bool_or(F.coalesce("invalid_action", F.lit(False)) | F.contains(F.lower(F.coalesce("observation", F.lit(""))), F.lit("invalid arguments:"))).alias("bad"))
+    unknown = ~F.coalesce(text.action_name(F.col("action")).isin(*TOOLS), F.lit(False))
+    b = s.groupBy("rollout_id").agg(F.bool_or(F.coalesce("invalid_action", F.lit(False)) | unknown | F.contains(F.lower(F.coalesce("observation", F.lit(""))), F.lit("invalid arguments:"))).alias("bad"))
     return b.join(again, "rollout_id", "left").select("rollout_id", (F.col("bad") | F.coalesce("again", F.lit(False))).alias("planning_error"))
 
 
@@ -123,13 +122,48 @@ def q_v10_test_ids(spark, d):
     return table(spark, d, "tasks").select("task_id", F.when(F.col("fail_to_pass").isNotNull(), F.size(ids)).cast("long").alias("ids"))
 
 
-@query(f"""WITH {FACTS}, d AS (SELECT *, regexp_matches(dg, '{PLANNING_TIMEOUT}') AS late, regexp_matches(dg, '{PLANNING_ENVIRONMENT.replace(chr(39), chr(39) * 2)}') AS env, lower(trim(coalesce(patch, ''))) NOT IN ({EMPTY}) AS has_patch FROM fc)
-SELECT rollout_id, CASE WHEN success THEN NULL WHEN late THEN 'timeout' WHEN env THEN 'environment_error' WHEN patch_failed THEN 'patch_failed' WHEN has_patch THEN 'test_failed' WHEN invalid THEN 'planning_error' ELSE 'no_patch' END AS reason FROM d""")
+PLANNED = f"""{ST}, {RO}, {SIGNALS}, pe AS (SELECT *, lower(trim(split_part(executed_tool, '(', 1))) AS et, coalesce(intervention_reason <> 'final_verification', true) AS own FROM sg),
+ pf AS (SELECT rollout_id, bool_or(regexp_matches(o, '{PLANNING_TIMEOUT}')) AS late, bool_or((name = 'error' OR coalesce(et = 'run_test', false)) AND regexp_matches(o, '{PLANNING_ENVIRONMENT.replace(chr(39), chr(39) * 2)}')) AS environment, bool_or(name = 'error') AS error_step, bool_or(coalesce(et = 'apply_patch', false)) AS attempted,
+  bool_or(coalesce(et = 'apply_patch', false) AND coalesce(tool_success, starts_with(o, 'applied patch to '))) AS valid_patch, bool_or(coalesce(invalid_action, false) OR coalesce(controller_intervened, false)) AS stopped, bool_or(own AND (phase IS NOT NULL OR previous_phase IS NOT NULL)) AS any_phase,
+  bool_or(own AND (coalesce(phase = 'MODIFY', false) OR coalesce(previous_phase = 'MODIFY', false))) AS in_modify FROM pe GROUP BY 1),
+ rp AS (SELECT rollout_id, count(*) AS repeats FROM (SELECT rollout_id, executed_tool AS et, lag(executed_tool) OVER (PARTITION BY rollout_id ORDER BY step_index) AS prev FROM st WHERE executed_tool IN ({TOOL_LIST})) WHERE et = prev AND et IN ('list_files', 'search_code') GROUP BY 1),
+ pd AS (SELECT *, coalesce(test_result.output, '') || chr(10) || coalesce(test_result.policy_error, '') AS dg FROM ro LEFT JOIN pf USING (rollout_id) LEFT JOIN rp USING (rollout_id)),
+ pr AS (SELECT *, CASE WHEN coalesce(success, false) THEN NULL WHEN coalesce(late, false) OR regexp_matches(dg, '{PLANNING_TIMEOUT}') THEN 'timeout' WHEN coalesce(environment, false) OR coalesce(error_step, false) OR regexp_matches(dg, '{PLANNING_ENVIRONMENT.replace(chr(39), chr(39) * 2)}') THEN 'environment_error'
+  WHEN attempted AND NOT valid_patch THEN 'patch_failed' WHEN coalesce(valid_patch, false) OR {CHANGES} THEN 'test_failed' WHEN coalesce(stopped, false) OR coalesce(repeats, 0) > 0 OR NOT (CASE WHEN coalesce(any_phase, false) THEN in_modify ELSE coalesce(attempted, false) END) THEN 'planning_error' ELSE 'no_patch' END AS reason FROM pd)"""
+
+
+def _planned(spark, d):
+    """Rollouts with the planning flags, repeats and reason."""
+    signals = classify.planning_signals(*(F.col(c) for c in ("action", "executed_tool", "observation", "tool_success", "invalid_action", "controller_intervened", "intervention_reason", "phase", "previous_phase")))
+    s = _flagged(spark, d, signals, "executed_tool")
+    again = sequence.consecutive_repeats(s, "rollout_id", "executed_tool", list(TOOLS), core.EXPLORE).groupBy("rollout_id").agg(F.sum("repeats").alias("repeats"))
+    flags = s.groupBy("rollout_id").agg(*(F.bool_or(k).alias(k) for k in signals))
+    r = _rollouts(spark, d, "arm", "instance_id", "success", "patch", "test_result").join(flags, "rollout_id", "left").join(again, "rollout_id", "left")
+    return r.withColumn("reason", classify.planning_failure(F.col("success"), {k: F.col(k) for k in signals}, F.coalesce("repeats", F.lit(0)) > 0, F.col("patch"), F.col("test_result")))
+
+
+@query(f"WITH {PLANNED} SELECT rollout_id, reason FROM pr")
 def q_c3_planning_reason(spark, d):
-    c = _classified(spark, d)
-    dg = F.concat(F.coalesce("test_result.output", F.lit("")), F.lit(" "), F.coalesce("test_result.policy_error", F.lit("")))
-    ladder = classify.first_match([(dg.rlike(PLANNING_TIMEOUT), "timeout"), (dg.rlike(PLANNING_ENVIRONMENT), "environment_error"), (F.col("patch_failed"), "patch_failed"), (text.has_patch(F.col("patch")), "test_failed"), (F.col("invalid"), "planning_error")], "no_patch")
-    return c.select("rollout_id", F.when(F.coalesce("success", F.lit(False)), F.lit(None).cast("string")).otherwise(ladder).alias("reason"))
+    return _planned(spark, d).select("rollout_id", "reason")
+
+
+@query(f"""WITH {ST}, {RO}, {SIGNALS}, r AS (SELECT rollout_id, trim(action) AS call, count(*) AS c FROM sg WHERE name <> 'run_test' AND action IS NOT NULL GROUP BY 1, 2), m AS (SELECT rollout_id, max(c) AS times FROM r GROUP BY 1),
+ u AS (SELECT rollout_id, bool_or(coalesce(invalid_action, false) OR name NOT IN ({TOOL_LIST}) OR contains(o, 'invalid arguments:')) AS bad, coalesce(bool_and(contains(o, 'failed:') OR contains(o, 'refused:') OR contains(o, 'unknown action:')) FILTER (name = 'apply_patch'), false) AS attempts_failed FROM sg GROUP BY 1)
+SELECT rollout_id, CASE WHEN coalesce(success, false) THEN NULL WHEN attempts_failed THEN 'patch_failed' WHEN test_result IS NULL OR coalesce(regexp_matches(test_result.output, '{TOOL_USAGE_ENVIRONMENT}'), false) THEN 'environment_error' WHEN {CHANGES} THEN 'test_failed' WHEN bad OR coalesce(times, 0) >= 3 THEN 'planning_error' ELSE 'no_patch' END AS reason
+FROM ro LEFT JOIN u USING (rollout_id) LEFT JOIN m USING (rollout_id)""")
+def q_c2_tool_usage_reason(spark, d):
+    name, o = text.action_name(F.col("action")), F.lower(F.coalesce("observation", F.lit("")))
+    failed = o.contains("failed:") | o.contains("refused:") | o.contains("unknown action:")
+    signals = {
+        "bad": F.coalesce("invalid_action", F.lit(False)) | ~F.coalesce(name.isin(*TOOLS), F.lit(False)) | o.contains("invalid arguments:"),
+        "failed": F.when(name == "apply_patch", failed),
+        "call": F.when(F.coalesce(name, F.lit("")) != "run_test", F.md5(text.strip(F.col("action")))),
+    }
+    s = _flagged(spark, d, signals)
+    times = sequence.repeated_calls(s.filter("call IS NOT NULL"), "rollout_id", "call").select("rollout_id").distinct().withColumn("again", F.lit(True))
+    u = s.groupBy("rollout_id").agg(F.bool_or("bad").alias("bad"), F.bool_and("failed").alias("attempts_failed"))
+    r = _rollouts(spark, d, "success", "patch", "test_result").join(u, "rollout_id", "left").join(times, "rollout_id", "left")
+    return r.select("rollout_id", classify.tool_usage_failure(F.col("success"), F.col("attempts_failed"), F.col("patch"), F.col("test_result"), F.col("bad") | F.coalesce("again", F.lit(False))).alias("reason"))
 
 
 @query(f"""WITH {ST}, {RO}, j AS (SELECT * FROM st JOIN (SELECT rollout_id, arm FROM ro) USING (rollout_id))
@@ -144,9 +178,9 @@ def q_g5_planning_aggregate(spark, d):
 
 @query(f"""WITH {FACTS} SELECT arm, repo, count(*) AS rollouts, count_if(success) AS successes, avg(steps) AS average_steps, sum(token_usage.prompt_tokens)::BIGINT AS prompt_tokens, sum(token_usage.completion_tokens)::BIGINT AS completion_tokens,
  count_if(success AND reason IS NULL AND steps <= 10) / nullif(count_if(steps <= 10), 0)::DOUBLE AS short_success_rate FROM fc GROUP BY 1, 2""")
-def q_g10_by_condition(spark, d, classified=_classified):
+def q_g10_by_condition(spark, d):
     short = F.col("steps") <= 10
-    return classified(spark, d).groupBy("arm", "repo").agg(F.count(F.lit(1)).alias("rollouts"), F.count_if("success").alias("successes"), F.avg("steps").alias("average_steps"), F.sum("token_usage.prompt_tokens").alias("prompt_tokens"), F.sum("token_usage.completion_tokens").alias("completion_tokens"), F.try_divide(F.count_if(F.col("success") & F.col("reason").isNull() & short).cast("double"), F.count_if(short).cast("double")).alias("short_success_rate"))
+    return _classified(spark, d).groupBy("arm", "repo").agg(F.count(F.lit(1)).alias("rollouts"), F.count_if("success").alias("successes"), F.avg("steps").alias("average_steps"), F.sum("token_usage.prompt_tokens").alias("prompt_tokens"), F.sum("token_usage.completion_tokens").alias("completion_tokens"), F.try_divide(F.count_if(F.col("success") & F.col("reason").isNull() & short).cast("double"), F.count_if(short).cast("double")).alias("short_success_rate"))
 
 
 @query("""SELECT truncated, count(*) AS rows, sum(removed_history_steps)::BIGINT AS removed, max(target_tokens) AS max_target, sum(original_tokens - final_tokens)::BIGINT AS saved, count_if(final_tokens <= 8192) / count(*)::DOUBLE AS within_budget FROM budget_results GROUP BY 1""")
@@ -269,12 +303,5 @@ def q_s21_row_checksums(spark, d):
 
 
 @query(f"""WITH {FACTS} SELECT final_test, reason, count(*) AS n FROM fc GROUP BY 1, 2""")
-def q_c6_final_tests(spark, d, classified=_classified):
-    return classified(spark, d).groupBy("final_test", "reason").agg(F.count(F.lit(1)).alias("n"))
-
-
-# The queries whose results depend on the reason, over the whole ladder of C1.
-for _name in ("q_g1_failure_taxonomy", "q_g2_rollout_facts", "q_g3_arm_summary", "q_g10_by_condition", "q_g20_top_delta", "q_c6_final_tests"):
-    _of, _sql = (core.QUERIES[_name], core.SQL[_name]) if _name in core.QUERIES else (QUERIES[_name], SQL[_name])
-    QUERIES[f"{_name}_whole"] = partial(_of, classified=_classified_whole)
-    SQL[f"{_name}_whole"] = _sql.replace(FACTS, WHOLE_FACTS)
+def q_c6_final_tests(spark, d):
+    return _classified(spark, d).groupBy("final_test", "reason").agg(F.count(F.lit(1)).alias("n"))

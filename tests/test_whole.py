@@ -46,7 +46,7 @@ def test_rollout_failure_whole(spark, tmp_path):
     steps = spark.createDataFrame([(i, 0, t, a, o, False, True) for i, (t, a, o) in say.items()], "rollout_id long, step_index int, executed_tool string, action string, observation string, invalid_action boolean, tool_success boolean")
     for name, df in (("rollouts", rollouts), ("steps", steps)):
         df.withColumn("ingested_at", F.timestamp_micros(F.lit(0))).write.parquet(str(tmp_path / f"{name}.parquet"))
-    got = {x.rollout_id: x.reason for x in QUERIES["q_g2_rollout_facts_whole"](spark, str(tmp_path)).collect()}
+    got = {x.rollout_id: x.reason for x in QUERIES["q_g2_rollout_facts"](spark, str(tmp_path)).collect()}
     assert got == {1: "patch_failed", 2: "test_failed", 3: "patch_failed", 4: "timeout", 5: "environment_error", 6: "environment_error", 7: "test_failed"}
 
 
