@@ -22,16 +22,15 @@ def repo_key(repo: Column) -> Column:
     t = F.regexp_replace(t, r"^(?:[^/@:]+@)?[^/@:]*\.[^/@:]*:/*", "")
     t = F.regexp_replace(t, r"^[a-z0-9.-]+\.[a-z]+/+(?=[^/]+/+[^/]+)", "")
     t = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"^[/.]+|[/]+$", ""), r"\.git$", ""), r"/+$", "")
-    t = F.when(t.contains("/"), t).otherwise(F.regexp_replace(t, r"^(.+?)__(.+)$", "$1/$2"))
-    parts = F.regexp_extract(t, r"^([^/]+)/+([^/]+)(?:/.*)?$", 1), F.regexp_extract(t, r"^([^/]+)/+([^/]+)(?:/.*)?$", 2)
-    return F.when((parts[0] != "") & (parts[1] != ""), F.concat(parts[0], F.lit("/"), parts[1]))
+    # each step uses the one before once, so that the expression grows with their number only
+    t = F.regexp_replace(F.regexp_replace(t, r"^([^/]+?)__([^/]+)$", "$1/$2"), "/+", "/")
+    return F.nullif(F.regexp_extract(t, "^[^/]+/[^/]+", 0), F.lit(""))
 
 
 def instance_repo_key(instance_id: Column) -> Column:
     """owner/name out of owner__name-number; NULL where the text has another form."""
-    t = F.lower(F.trim(instance_id))
-    owner, name = (F.regexp_extract(t, r"^(.+?)__(.+)-\d+$", i) for i in (1, 2))
-    return F.when(owner != "", F.concat(owner, F.lit("/"), name))
+    t = F.regexp_extract(F.lower(F.trim(instance_id)), r"^(.+?__.+)-\d+$", 1)
+    return F.nullif(F.regexp_replace(t, "^(.+?)__(.+)$", "$1/$2"), F.lit(""))
 
 
 def commit_key(commits: DataFrame, column: str) -> DataFrame:
