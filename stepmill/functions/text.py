@@ -121,10 +121,10 @@ def issue_terms(c: Column) -> Column:
 
 
 def search_lines(c: Column, n: int = 3) -> Column:
-    """Lines worth searching for: definitions first, then any; trimmed, 4 to 180 characters, no comments."""
+    """The first n of the definitions followed by all lines (a definition counts in both); trimmed, distinct, 4 to 180 characters, no comments."""
     lines = F.transform(F.split(c, "\n"), lambda x: strip(x))
     keep = F.array_distinct(F.filter(lines, lambda x: F.length(x).between(4, 180) & ~x.rlike(r"^(#|//|\*|/\*)")))
-    return F.slice(F.concat(F.filter(keep, lambda x: x.rlike(r"^(async def|def|class) ")), keep), 1, n)
+    return F.slice(F.concat(F.filter(keep, lambda x: x.rlike(r"^(?:async\s+def|def|class|function|func|public|private|protected)\b")), keep), 1, n)
 
 
 def guarded_ratio(n: Column, d: Column) -> Column:
@@ -153,3 +153,9 @@ def test_command(repo: Column, ids: Column, files: Column | None = None) -> Colu
         .when(F.size(paths) > 0, command("python -m pytest -q ", paths))
         .otherwise("python -m pytest -q")
     )
+
+
+def split_class(split: Column) -> Column:
+    """train / validation / test for any spelling or abbreviation; NULL and anything else is in no split."""
+    s = F.regexp_replace(F.lower(split), "[^a-z]", "")
+    return F.when(s.rlike("^tr(ai?n?)?(ing|set)?$"), "train").when(s.rlike("^(v|va|val|valid|validation|vld|dev|development|eval)(set)?$"), "validation").when(s.rlike("^(t|te|tst|test|testing)(set)?$"), "test")

@@ -137,17 +137,30 @@ def balanced_weights(df: DataFrame, group: str) -> DataFrame:
     return df.alias("d").join(counts.alias("c"), F.col(f"d.{group}").eqNullSafe(F.col(f"c.{group}"))).select("d.*", "c.weight")
 
 
-def weighted_sample(df: DataFrame, weight: str, draws: int, key: str, seed: int = 42) -> DataFrame:
-    """`draws` draws with replacement, as (row, times): each row's count is Poisson thinned from its expected number of draws.
+def weighted_sample(df: DataFrame, weight: str, draws: int, key: str, seed: int = 42, buckets: int = 1024) -> DataFrame:
+    """`draws` seeded draws with replacement: the drawn rows with `times`, how often each was drawn; the times add up to `draws`.
 
-    Deterministic in (seed, key). The total is `draws` in expectation; rows that are never drawn are absent.
+    Rows fall into buckets by the hash of their key; a draw finds its bucket among the buckets' cumulative weights (a
+    table of `buckets` rows) and its row by the cumulative weights inside the bucket, so nothing is sorted as a whole.
+    Rows of NULL or no weight are never drawn; without any weight there are no draws.
     """
-    total = df.agg(F.sum(weight).alias("__total"))
-    d = df.withColumn("__one", F.lit(1)).join(F.broadcast(total.withColumn("__one", F.lit(1))), "__one")
-    rate = F.col(weight) / F.col("__total") * draws
-    whole = F.floor(rate)
-    u = (F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    return d.withColumn("times", (whole + (u < rate - whole).cast("long")).cast("long")).filter("times > 0").drop("__one", "__total")
+    spark = df.sparkSession
+    d = df.filter(F.col(weight) > 0).withColumn("__b", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(buckets)).cast("int"))
+    w = Window.partitionBy("__b").orderBy(key)
+    d = d.withColumn("__high", F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__low", F.col("__high") - F.col(weight))
+    sums = d.groupBy("__b").agg(F.max("__high").alias("__sum"))
+    # one row with the buckets' cumulative weights as an array
+    cumulated = sums.agg(F.array_sort(F.collect_list(F.struct("__b", "__sum"))).alias("s"))
+    ends = F.transform("s", lambda x, i: F.struct(x["__b"].alias("b"), x["__sum"].alias("sum"), F.aggregate(F.slice("s", F.lit(1), i + 1), F.lit(0.0), lambda a, y: a + y["__sum"]).alias("end")))
+    cumulated = cumulated.select(ends.alias("s"), F.lit(1).alias("one"))
+    u = lambda salt: (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    drawn = spark.range(draws).select("id", u("bucket").alias("u"), u("row").alias("v"), F.lit(1).alias("one")).join(F.broadcast(cumulated), "one")
+    at = F.col("u") * F.element_at("s", -1)["end"]
+    hit = F.coalesce(F.get(F.filter("s", lambda x: x["end"] > at), F.lit(0)), F.element_at("s", -1))
+    # draws of one bucket are counted by their place inside it before they meet the rows
+    drawn = drawn.filter(F.size("s") > 0).select(hit.alias("h"), "v").select(F.col("h.b").alias("__b"), (F.col("v") * F.col("h.sum")).alias("__at"))
+    times = d.select(key, "__b", "__low", "__high").join(drawn, "__b").filter("__at >= __low AND __at < __high").groupBy(key).agg(F.count(F.lit(1)).alias("times"))
+    return df.join(times, key)
 
 
 def expected_shares(df: DataFrame, group: str, weight: str) -> DataFrame:

@@ -40,9 +40,10 @@ def phase_reach(steps: DataFrame, key: str) -> DataFrame:
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row per keys in the given order."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+    """The first row per keys in the given order; a combinable minimum, so a hot key is never sorted. Ties go to any row."""
+    rest = [c for c in df.columns if c not in keys]
+    first = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__first"))
+    return first.select(*(c if c in keys else F.col(f"__first.`{c}`").alias(c) for c in df.columns))
 
 
 def number_rows(df: DataFrame, keys: list[str], order: list[str], name: str = "position", start: int = 0) -> DataFrame:

@@ -40,7 +40,9 @@ def search_group_split_df(counts: DataFrame, group: str, n: str, min_train: int,
     """The same search as a plan: subsets are rows of a bit mask range, groups in alphabetical order. Raises for more than 20 groups."""
     packed = counts.agg(F.array_sort(F.collect_list(F.struct(group, n))).alias("g"))
     k = F.when(F.size("g") > 20, F.raise_error(F.lit("search_group_split_df takes at most 20 groups")).cast("int")).otherwise(F.size("g"))
-    masks = packed.select("g", F.explode(F.filter(F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), k) - 2), lambda m: m > 0)).alias("mask"))
+    packed = packed.select("g", k.alias("k"), F.lit(1).alias("one"))
+    # the subsets are spread over tasks, the groups are one row of at most 20 entries
+    masks = counts.sparkSession.range(1, 1 << 20).select(F.col("id").alias("mask"), F.lit(1).alias("one")).join(F.broadcast(packed), "one").filter(F.expr("mask < shiftleft(1, k) - 1")).drop("one", "k")
     inside = F.filter("g", lambda x, i: F.floor(F.col("mask") / F.pow(F.lit(2), i)) % 2 == 1)
     m = masks.select("mask", inside.alias("v"), F.aggregate("g", F.lit(0).cast("long"), lambda s, x: s + x[n]).alias("total"))
     m = m.withColumn("rows", F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x[n])).filter((F.col("rows") >= min_validation) & (F.col("total") - F.col("rows") >= min_train))
@@ -66,9 +68,12 @@ def duplicate_groups(df: DataFrame, key: str, text: Column) -> DataFrame:
 
 
 def exact_dedup(df: DataFrame, key: str, text: Column) -> DataFrame:
-    """One row per distinct text, that of the smallest key. Only digests and keys are shuffled, then joined back."""
-    keep = df.select(F.col(key), F.xxhash64(text).alias("h"), F.sha2(text, 256).alias("digest")).groupBy("digest").agg(F.min(key).alias(key)).select(key)
-    return df.join(keep, key, "left_semi")
+    """One row per distinct text, that of the smallest key; rows of NULL text are all kept, as nothing tells that they are equal.
+
+    The digests are grouped without the texts; the semi join by key then moves each row once.
+    """
+    keep = df.select(F.col(key), F.sha2(text, 256).alias("digest")).filter("digest IS NOT NULL").groupBy("digest").agg(F.min(key).alias(key)).select(key)
+    return df.filter(text.isNotNull()).join(keep, key, "left_semi").unionByName(df.filter(text.isNull()))
 
 
 def set_differences(expected: DataFrame, found: DataFrame, key: str) -> DataFrame:

@@ -16,9 +16,11 @@ def points(a: float, b: float) -> str:
 
 
 def markdown_table(df: DataFrame, limit: int = 1000) -> str:
-    """A report table: headers and at most `limit` rows in the frame's order. Pipes and line ends in cells are escaped."""
+    """A report table: headers and the rows in the frame's order. Pipes and line ends in cells are escaped; more than `limit` rows raise an error."""
     cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
-    rows = df.limit(limit).collect()
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"a report table holds at most {limit} rows")
     lines = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
     return "\n".join(lines + ["| " + " | ".join(cell(v) for v in r) + " |" for r in rows]) + "\n"
 

@@ -25,9 +25,7 @@ def _rollouts(spark, d, *columns):
     return r.groupBy("rollout_id").agg(F.max_by(F.struct(*cols), "ingested_at").alias("r")).select("rollout_id", "r.*")
 
 
-def _split_name(c):
-    s = F.lower(F.trim(c))
-    return F.when(s.startswith("tr"), "train").when(s.startswith("v"), "validation").when(s.startswith("te"), "test")
+_split_name = text.split_class
 
 
 # The same views for the SQL side.
@@ -201,11 +199,13 @@ def q_f9_merged_ranges(spark, d):
     return diff.merge_ranges(r, ["path"]).select("path", F.col("start").alias("start_line"), F.col("end").alias("end_line"))
 
 
-@query(r"""WITH l AS (SELECT task_id, list_distinct(list_filter([trim(x, E' \t\r\n') for x in string_split(test_patch, chr(10))], lambda x: length(x) BETWEEN 4 AND 180 AND NOT regexp_matches(x, '^(#|//|\*|/\*)'))) AS k FROM tasks)
-SELECT task_id, len(k) AS lines FROM l""")
+@query(r"""WITH l AS (SELECT task_id, unnest(range(len(ls))) AS i, trim(unnest(ls), E' \t\r') AS x FROM (SELECT task_id, string_split(test_patch, chr(10)) AS ls FROM tasks WHERE test_patch IS NOT NULL)),
+ k AS (SELECT task_id, x, min(i) AS i FROM l WHERE length(x) BETWEEN 4 AND 180 AND NOT regexp_matches(x, '^(#|//|\*|/\*)') GROUP BY 1, 2),
+ o AS (SELECT task_id, x, i, 0 AS part FROM k WHERE regexp_matches(x, '^(async\s+def|def|class|function|func|public|private|protected)\b') UNION ALL SELECT task_id, x, i, 1 FROM k),
+ n AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY part, i) AS r FROM o)
+SELECT task_id, coalesce(string_agg(x, chr(10) ORDER BY r) FILTER (r <= 3), '') AS lines FROM tasks LEFT JOIN n USING (task_id) WHERE test_patch IS NOT NULL GROUP BY 1""")
 def q_f10_search_lines(spark, d):
-    """The candidates' number; the order inside DuckDB's list_distinct is not defined, so the lines themselves are tested apart."""
-    return table(spark, d, "tasks").select("task_id", F.when(F.col("test_patch").isNotNull(), F.size(F.array_distinct(F.filter(F.transform(F.split("test_patch", "\n"), lambda x: text.strip(x)), lambda x: F.length(x).between(4, 180) & ~x.rlike(r"^(#|//|\*|/\*)"))))).cast("long").alias("lines"))
+    return table(spark, d, "tasks").filter("test_patch IS NOT NULL").select("task_id", F.array_join(text.search_lines(F.col("test_patch")), "\n").alias("lines"))
 
 
 @query("""SELECT task_id, concat_ws(',', CASE WHEN contains(lower(p), 'fail_to_pass') THEN 'fail_to_pass_literal' END, CASE WHEN length(trim(hints, E' \\n\\t\\r')) >= 16 AND contains(p, trim(hints, E' \\n\\t\\r')) THEN 'hints' END,
@@ -391,7 +391,7 @@ def q_g20_top_delta(spark, d):
     return metrics.top_delta(c.filter("arm = 'base'"), c.filter("arm = 'sft'"), "reason", "n")
 
 
-@query()
+@query("SELECT count(*) > 0 AS has_rows, bool_and(coalesce(isfinite(value), false)) AS finite FROM events")
 def q_t12_finite(spark, d):
     return metrics.all_finite(table(spark, d, "events"), ["value"])
 
@@ -473,10 +473,13 @@ def q_t6_expected_shares(spark, d):
     return examples.expected_shares(w, "kind", "weight").withColumn("share", F.round("share", 9))
 
 
-@query()
+@query("SELECT 1000 AS draws, true AS balanced")
 def q_t5_weighted_sample(spark, d):
+    """What must hold of 1,000 draws balanced over the kinds: their number, and no kind further off than five standard deviations."""
     w = examples.balanced_weights(table(spark, d, "documents").select("doc_id", "kind"), "kind")
-    return examples.weighted_sample(w, "weight", 1000, "doc_id").select("doc_id", "kind", "times")
+    s = examples.weighted_sample(w, "weight", 1000, "doc_id").groupBy("kind").agg(F.sum("times").alias("n"))
+    n = F.count(F.lit(1))
+    return s.agg(F.sum("n").alias("draws"), (F.max("n") - 1000 / n <= 5 * F.sqrt(1000 / n)).alias("balanced"))
 
 
 @query("""SELECT doc_id, greatest(1, (length(text) + 3) // 4)::BIGINT AS tokens FROM documents""")
@@ -484,9 +487,10 @@ def q_e5_token_estimate(spark, d):
     return table(spark, d, "documents").select("doc_id", text.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query("""SELECT doc_id, len(list_distinct([lower(x) for x in regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{3,}')])) AS terms FROM documents""")
+@query("""WITH w AS (SELECT doc_id, unnest(range(len(ws))) AS i, unnest(ws) AS x FROM (SELECT doc_id, [lower(x) for x in regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{3,}')] AS ws FROM documents)), k AS (SELECT doc_id, x, min(i) AS i FROM w GROUP BY 1, 2)
+SELECT doc_id, md5(coalesce(string_agg(x, ' ' ORDER BY i), '')) AS terms FROM documents LEFT JOIN k USING (doc_id) WHERE text IS NOT NULL GROUP BY 1""")
 def q_e13_issue_terms(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.size(text.issue_terms(F.col("text"))).cast("long").alias("terms"))
+    return table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.md5(F.array_join(text.issue_terms(F.col("text")), " ")).alias("terms"))
 
 
 @query("""WITH i AS (SELECT task_id, repo, list_distinct([lower(x) for x in regexp_extract_all(problem_statement, '[A-Za-z_][A-Za-z0-9_]{3,}')]) AS terms FROM tasks WHERE repo IS NOT NULL AND problem_statement IS NOT NULL),
@@ -535,11 +539,14 @@ def q_u6_set_differences(spark, d):
     return splits.set_differences(table(spark, d, "tasks"), table(spark, d, "task_refs"), "instance_id")
 
 
-@query("""WITH c AS (SELECT kind, count(*) AS n FROM documents GROUP BY 1), g AS (SELECT kind, n, row_number() OVER (ORDER BY kind) - 1 AS i FROM c), k AS (SELECT count(*) AS k, sum(n) AS total FROM g),
- m AS (SELECT unnest(range(1, (SELECT 1 << k FROM k)::BIGINT - 1)) AS mask), s AS (SELECT mask, sum(n) AS rows, count(*) AS width, string_agg(kind, ',' ORDER BY kind) AS names FROM m JOIN g ON (mask >> i) & 1 = 1 GROUP BY 1)
-SELECT names AS validation_groups, rows::BIGINT AS validation_rows, (total - rows)::BIGINT AS train_rows FROM s, k WHERE rows >= 8 AND total - rows >= 40 ORDER BY abs(rows - total * 0.2), width, mask LIMIT 1""")
+@query("""WITH RECURSIVE c AS (SELECT repo, count(*) AS n, row_number() OVER (ORDER BY repo) AS i FROM heldout_items WHERE split = 'validation' GROUP BY 1), t AS (SELECT sum(n)::BIGINT AS total, count(*) AS k FROM c),
+ m AS (SELECT 0 AS i, 0::BIGINT AS mask, 0::BIGINT AS rows, 0 AS size, '' AS names UNION ALL SELECT c.i, m.mask + (CASE WHEN b THEN 1 << (c.i - 1)::INT ELSE 0 END), m.rows + (CASE WHEN b THEN c.n ELSE 0 END), m.size + (CASE WHEN b THEN 1 ELSE 0 END), m.names || (CASE WHEN b THEN CASE WHEN m.names = '' THEN '' ELSE ',' END || c.repo ELSE '' END)
+   FROM m JOIN c ON c.i = m.i + 1, (SELECT unnest([true, false]) AS b))
+SELECT names AS validation_groups, rows AS validation_rows, total - rows AS train_rows FROM m, t WHERE i = k AND mask > 0 AND mask < (1 << k::INT) - 1 AND rows >= 8 AND total - rows >= 40 ORDER BY abs(rows - total * 0.2), size, mask LIMIT 1""")
 def q_u1_split_search(spark, d):
-    return splits.search_group_split_df(metrics.distribution(table(spark, d, "documents"), "kind"), "kind", "n", 40, 8)
+    """Repositories of the held-out validation items."""
+    c = metrics.distribution(table(spark, d, "heldout_items").filter("split = 'validation'"), "repo")
+    return splits.search_group_split_df(c, "repo", "n", 40, 8)
 
 
 @query()

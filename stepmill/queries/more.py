@@ -116,10 +116,10 @@ def q_v6_expert_status(spark, d):
     return t.select("traj_id", records.expert_status(F.col("steps"), _split_name(F.col("split"))).alias("status"))
 
 
-@query("""SELECT task_id, len(list_filter(fail_to_pass, lambda x: trim(x) <> '')) AS ids FROM tasks""")
+@query("""SELECT task_id, array_to_string(list_filter(fail_to_pass, lambda x: trim(x) <> ''), chr(10)) AS ids FROM tasks""")
 def q_v10_test_ids(spark, d):
     ids = actions.test_ids(F.to_json("fail_to_pass"))
-    return table(spark, d, "tasks").select("task_id", F.when(F.col("fail_to_pass").isNotNull(), F.size(ids)).cast("long").alias("ids"))
+    return table(spark, d, "tasks").select("task_id", F.when(F.col("fail_to_pass").isNotNull(), F.array_join(ids, "\n")).alias("ids"))
 
 
 PLANNED = f"""{ST}, {RO}, {SIGNALS}, pe AS (SELECT *, lower(trim(split_part(executed_tool, '(', 1))) AS et, coalesce(intervention_reason <> 'final_verification', true) AS own FROM sg),
@@ -242,17 +242,24 @@ def q_e3_all_or_nothing(spark, d):
     return ok.groupBy("traj_id").agg(F.count(F.lit(1)).alias("steps"))
 
 
-@query("""WITH l AS (SELECT kind, doc_id, length(text) AS n FROM documents) SELECT kind, doc_id, n, max(n) OVER (PARTITION BY kind) - n AS padding FROM l""")
+@query("""WITH t AS (SELECT traj_id, traj_id % 16 AS batch, [coalesce(length(s.observation), 0) for s in coalesce(steps, [])] AS ids FROM trajectories), m AS (SELECT batch, max(len(ids)) AS m FROM t GROUP BY 1)
+SELECT traj_id, array_to_string(list_resize(ids, m, -1), ',') AS ids, len(ids) AS mask, array_to_string(list_resize(ids, m, -100), ',') AS labels FROM t JOIN m USING (batch)""")
 def q_t7_padding(spark, d):
-    """Padding of each text to the longest of its batch (kind)."""
-    t = table(spark, d, "documents").select("kind", "doc_id", F.length("text").alias("n"))
-    return t.join(t.groupBy("kind").agg(F.max("n").alias("m")), "kind").select("kind", "doc_id", F.col("n").cast("long").alias("n"), (F.col("m") - F.col("n")).cast("long").alias("padding"))
+    """Rows of one batch padded to its longest; the ids are the lengths of the observations."""
+    ids = F.transform(F.coalesce("steps", F.array()), lambda s: F.coalesce(F.length(s["observation"]), F.lit(0)))
+    t = table(spark, d, "trajectories").select("traj_id", (F.col("traj_id") % 16).alias("batch"), ids.alias("ids"), ids.alias("labels"))
+    p = examples.pad_batch(t, "batch", "ids", "labels", -1)
+    return p.select("traj_id", F.array_join("ids", ",").alias("ids"), F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).cast("long").alias("mask"), F.array_join("labels", ",").alias("labels"))
 
 
-@query("""SELECT h.item_id, count(t.task_id) AS same_instance FROM heldout_items h LEFT JOIN tasks t ON h.instance_id = t.instance_id GROUP BY 1""")
+@query("""WITH i AS (SELECT instance_id, count(*) AS n FROM tasks GROUP BY 1), r AS (SELECT repo, count(*) AS n FROM tasks GROUP BY 1)
+SELECT item_id, coalesce(i.n, 0) AS same_instance, coalesce(r.n, 0) AS same_repo FROM heldout_items h LEFT JOIN i ON h.instance_id = i.instance_id LEFT JOIN r ON h.repo = r.repo""")
 def q_u5_heldout_audit(spark, d):
-    h, t = table(spark, d, "heldout_items").select("item_id", "instance_id"), table(spark, d, "tasks").groupBy("instance_id").agg(F.count(F.lit(1)).alias("n"))
-    return h.join(t, "instance_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("same_instance"))
+    """Held-out items and how many tasks share their instance (an error of the split) or their repository (reported only)."""
+    h, t = table(spark, d, "heldout_items").select("item_id", "instance_id", "repo"), table(spark, d, "tasks")
+    for key, name in (("instance_id", "same_instance"), ("repo", "same_repo")):
+        h = h.join(t.groupBy(key).agg(F.count(F.lit(1)).alias(name)), key, "left")
+    return h.select("item_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("same_instance", "same_repo")))
 
 
 @query(f"""WITH m AS (SELECT kind, count(*) AS n FROM documents GROUP BY 1), s AS (SELECT kind, CASE WHEN n >= 1000000000 THEN NULL WHEN kind IN ('issue', 'comment') THEN 'validation' ELSE 'train' END AS split FROM m)
@@ -262,9 +269,15 @@ def q_u2_apply_split(spark, d):
     return splits.apply_group_split(table(spark, d, "documents").select("doc_id", "kind"), "kind", s).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""SELECT task_id, instance_id FROM tasks""")
+def q_u8_assert_unique(spark, d):
+    """The frame itself, as task_id is unique; a key that is not raises an error (tested apart)."""
+    return splits.assert_unique(table(spark, d, "tasks").select("task_id", "instance_id"), "task_id")
+
+
 @query("""SELECT coalesce(instance_id, '') AS instance_id, count(*) AS n FROM tasks GROUP BY 1 HAVING count(*) > 1""")
 def q_u8_duplicates(spark, d):
-    return table(spark, d, "tasks").groupBy(F.coalesce("instance_id", F.lit("")).alias("instance_id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return metrics.distribution(table(spark, d, "tasks").select(F.coalesce("instance_id", F.lit("")).alias("instance_id")), "instance_id").filter("n > 1")
 
 
 @query("""SELECT r.rollout_id, r.step_index, count(s.observation) AS deliveries, max(r.final_tokens) AS final_tokens FROM budget_results r JOIN steps s USING (rollout_id, step_index) GROUP BY 1, 2""")
@@ -290,11 +303,13 @@ def q_w11_phase_counts(spark, d):
     return records.phase_counts(_steps(spark, d, "phase").withColumn("epoch", (F.col("step_index") % 3).cast("int")), "epoch", "phase")
 
 
-@query(f"""WITH t AS (SELECT {SPLIT_CASE} AS split, source_file FROM tasks JOIN (SELECT instance_id, max(source_file) AS source_file FROM task_refs GROUP BY 1) USING (instance_id)) SELECT split, count(*) AS n, count(DISTINCT source_file) AS files FROM t GROUP BY 1""")
+@query("""SELECT md5(string_agg(task_id || '/' || coalesce(instance_id, '') || '/tasks/r1/abc', chr(10) ORDER BY task_id)) AS digest, count(*) AS rows FROM tasks GROUP BY task_id % 64""")
 def q_s20_split_sources(spark, d):
-    last = compare.index_by_last(table(spark, d, "task_refs").select("instance_id", "source_file"), "instance_id", "source_file")
-    t = table(spark, d, "tasks").select("instance_id", _split_name(F.col("split")).alias("split")).join(last, "instance_id")
-    return t.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source_file").alias("files"))
+    """Rows with their lineage columns, as one digest for 64 parts of the table."""
+    t = readers.source_lineage(table(spark, d, "tasks").select("task_id", "instance_id"), "tasks", "r1", "abc")
+    line = F.concat_ws("/", F.col("task_id").cast("string"), F.coalesce("instance_id", F.lit("")), "dataset_name", "dataset_revision", "dataset_checksum")
+    g = t.groupBy((F.col("task_id") % 64).alias("part")).agg(F.array_sort(F.collect_list(F.struct("task_id", line.alias("line")))).alias("l"), F.count(F.lit(1)).alias("rows"))
+    return g.select(F.md5(F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("digest"), "rows")
 
 
 @query()
