@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stepmill.functions.text import split_class
 from stepmill.session import cut
 
 #: More than this share of the words of both must agree in order.
@@ -28,11 +29,6 @@ WIDTHS, TIMES = {"problem_statement": 2, "steps": 1}, {"problem_statement": 6, "
 #: Places of the frequency sketch, hits that are expanded at once, shingles that a task handles at once.
 SKETCH, CHUNK, BUCKET = 1 << 20, 1 << 17, 300_000
 
-def split_class(split: Column) -> Column:
-    """train / validation / test for any spelling or abbreviation; NULL and anything else is in no split."""
-    s = F.regexp_replace(F.lower(split), "[^a-z]", "")
-    return F.when(s.rlike("^tr(ai?n?)?(ing|set)?$"), "train").when(s.rlike("^(v|va|val|valid|validation|vld|dev|development|eval)(set)?$"), "validation").when(s.rlike("^(t|te|tst|test|testing)(set)?$"), "test")
-
 
 def normal_words(text: Column) -> Column:
     """Words of a text joined by one blank: case, blanks, punctuation and markup (tags, entities, emphasis) aside; '' if none."""
