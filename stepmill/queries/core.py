@@ -332,13 +332,15 @@ def _schema_sql():
     return f"CASE WHEN j IS NULL THEN 'schema_error' WHEN {either(missing)} THEN 'missing_argument' WHEN {either(bad)} THEN 'schema_error' END"
 
 
-@query(f"""WITH {ST}, p AS (SELECT *, trim(regexp_replace(lower(trim(model_proposed_tool)), '[^a-z0-9]+', '_', 'g'), '_') AS n, CASE WHEN contains(action, '(') AND ends_with(action, ')') THEN substr(action, instr(action, '(') + 1, length(action) - instr(action, '(') - 1) END AS raw, lower(coalesce(observation, '')) AS o FROM st),
+ACTIONS = f"""p AS (SELECT *, trim(regexp_replace(lower(trim(model_proposed_tool)), '[^a-z0-9]+', '_', 'g'), '_') AS n, CASE WHEN contains(action, '(') AND ends_with(action, ')') THEN substr(action, instr(action, '(') + 1, length(action) - instr(action, '(') - 1) END AS raw, lower(coalesce(observation, '')) AS o FROM st),
  a AS (SELECT *, {ALIAS_CASE} AS tool, CASE WHEN json_valid(raw) AND json_type(CASE WHEN json_valid(raw) THEN raw END) = 'OBJECT' THEN raw END AS j FROM p), b AS (SELECT *, json_keys(j) AS k, coalesce(tool_success = false, false) AS bad FROM a),
  c AS (SELECT *, CASE WHEN n <> '' AND tool IS NULL THEN 'unknown_tool' WHEN coalesce(starts_with(action, 'invalid('), false) THEN 'invalid_json' WHEN tool IS NULL THEN NULL ELSE {_schema_sql()} END AS status FROM b),
- f AS (SELECT executed_tool, CASE WHEN generation_truncated THEN 'generation_truncated' WHEN status IS NOT NULL THEN status WHEN contains(o, 'planning controller blocked') THEN 'controller_blocked' WHEN executed_tool = 'search_code' AND trim(o, E' \n\r\t') = 'no matches' THEN 'search_no_result'
+ f AS (SELECT *, CASE WHEN generation_truncated THEN 'generation_truncated' WHEN status IS NOT NULL THEN status WHEN contains(o, 'planning controller blocked') THEN 'controller_blocked' WHEN executed_tool = 'search_code' AND trim(o, E' \n\r\t') = 'no matches' THEN 'search_no_result'
   WHEN bad AND executed_tool = 'run_test' AND regexp_matches(o, '{ACTION_ENVIRONMENT.replace(chr(39), chr(39) * 2)}') THEN 'test_environment_error' WHEN bad AND contains(o, 'path escapes workspace') THEN 'wrong_path' WHEN bad AND (contains(o, 'path does not exist') OR contains(o, 'not a file') OR contains(o, 'target is not an existing file')) THEN 'file_not_found'
-  WHEN bad AND executed_tool = 'apply_patch' AND (contains(o, 'no valid file headers') OR contains(o, 'creating or deleting files is not allowed')) THEN 'patch_parse_error' WHEN bad AND executed_tool = 'apply_patch' AND contains(o, 'apply_patch failed:') THEN 'git_apply_check_failed' WHEN bad THEN 'other_tool_error' END AS failure FROM c)
-SELECT executed_tool, failure, count(*) AS n FROM f GROUP BY 1, 2""")
+  WHEN bad AND executed_tool = 'apply_patch' AND (contains(o, 'no valid file headers') OR contains(o, 'creating or deleting files is not allowed')) THEN 'patch_parse_error' WHEN bad AND executed_tool = 'apply_patch' AND contains(o, 'apply_patch failed:') THEN 'git_apply_check_failed' WHEN bad THEN 'other_tool_error' END AS failure FROM c)"""
+
+
+@query(f"WITH {ST}, {ACTIONS} SELECT executed_tool, failure, count(*) AS n FROM f GROUP BY 1, 2")
 def q_c4_action_ladder(spark, d):
     """All 13 classes, those of the call itself included."""
     s = _steps(spark, d, "executed_tool", "model_proposed_tool", "action", "observation", "tool_success", "generation_truncated")
