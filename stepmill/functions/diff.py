@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -56,25 +57,30 @@ def apply_ops(before: list[str], ops: list[tuple]) -> list[str]:
 def split_edits(before: str, after: str, path: str, budget: int) -> list[str]:
     """Diffs that, applied one after the other, turn before into after, each within `budget` estimated tokens where it can be.
 
-    Edit operations are taken from the end of the file, so that earlier ones keep their place; an operation over the budget
-    is halved until its parts fit or cannot be divided.
+    Each time the whole remaining change is tried first, then its first hunk, then the first edit alone, halved until it
+    fits or is a single line.
     """
     cost = lambda s: max(1, (len(s) + 3) // 4)
-    a, b = before.splitlines(True), after.splitlines(True)
-    queue = [(i1, i2, b[j1:j2]) for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if tag != "equal"]
-    done: list[str] = []
     make = lambda x, y: "".join(difflib.unified_diff(x, y, f"a/{path}", f"b/{path}"))
-    while queue:
-        i1, i2, lines = queue.pop()
-        new = a[:i1] + lines + a[i2:]
-        d = make(a, new)
-        size = max(i2 - i1, len(lines))
-        if cost(d) > budget and size > 1:
-            mid, cut = i1 + (i2 - i1) // 2, len(lines) // 2
-            queue += [(i1, mid, lines[:cut]), (mid, i2, lines[cut:])]
-            continue
-        if d:
-            done.append(d)
+    # lines end at line feeds only, as patches do
+    a, b = (re.findall(r"[^\n]*\n|[^\n]+", x) for x in (before, after))
+    done: list[str] = []
+    while a != b:
+        match = difflib.SequenceMatcher(None, a, b, autojunk=False)
+        new, diff = b, make(a, b)
+        if cost(diff) > budget:
+            hunk = [(i1, i2, b[j1:j2]) for tag, i1, i2, j1, j2 in next(match.get_grouped_opcodes(3)) if tag != "equal"]
+            new = apply_ops(a, hunk)
+            diff = make(a, new)
+            i1, i2, lines = hunk[0]
+            if cost(diff) > budget and len(hunk) > 1:
+                new = apply_ops(a, hunk[:1])
+                diff = make(a, new)
+            while cost(diff) > budget and max(i2 - i1, len(lines)) > 1:
+                i2, lines = i1 + (i2 - i1 + 1) // 2, lines[: (len(lines) + 1) // 2]
+                new = apply_ops(a, [(i1, i2, lines)])
+                diff = make(a, new)
+        done.append(diff)
         a = new
     return done
 

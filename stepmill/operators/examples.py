@@ -8,7 +8,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stepmill.functions.calls import canonical_json, target_status
+from stepmill.functions.dims import PHASE_TOOLS
 from stepmill.functions.text import strip, token_estimate
+from stepmill.plans.prompts import chat_prompt, messages
 
 TRUNCATED = "\n[TRUNCATED]"
 PRIORITY = {"list_files": 0, "search_code": 1, "read_file": 2}
@@ -50,64 +53,96 @@ def drop_oldest(examples: DataFrame, key: str, order: str, tokens: str, budget:
     return s.filter((F.col("suffix_tokens") <= budget) | (F.col("__r") <= keep)).drop("__r")
 
 
-def fit_history(history: list[dict], room: int, keep: int = 4, floor: int = 256, cost=lambda s: max(1, (len(s) + 3) // 4)) -> tuple[list[dict], int, list[dict]] | None:
+def _size(item: dict) -> int:
+    return max(1, (len(json.dumps(item, ensure_ascii=False, sort_keys=True)) + 3) // 4)
+
+
+def fit_history(history: list[dict], room: int, keep: int = 4, floor: int = 256, size=_size) -> tuple[list[dict], int, list[dict]] | None:
     """(history, removed, truncations) within `room` tokens; None if nothing can make it fit.
 
     First the oldest items go while more than `keep` are left, then observations are halved (cut at line ends, the tools of
-    least worth first, not below `floor` characters), then the oldest go again.
+    least worth first, not below `floor` characters), then the oldest go again. Sizes are kept, so only what changes is
+    measured again.
     """
-    items = [dict(h) for h in history]
-    size = lambda: sum(cost(json.dumps(h, ensure_ascii=False, sort_keys=True)) for h in items)
-    removed, cut = 0, {}
-    first = {id(h): k for k, h in enumerate(items)}
-    while len(items) > keep and size() > room:
-        items.pop(0)
-        removed += 1
-    for h in sorted(items, key=lambda h: (PRIORITY.get(h.get("tool"), 3), first[id(h)])):
-        limit = len(h.get("observation") or "")
-        original = limit
-        while size() > room and limit > floor:
+    items = [(i, dict(h)) for i, h in enumerate(history)]
+    sizes = [size(h) for _, h in items]
+    total, start, cut = sum(sizes), 0, {}
+    while len(items) - start > keep and total > room:
+        total -= sizes[start]
+        start += 1
+    for i, h in sorted(items[start:], key=lambda x: (PRIORITY.get(x[1].get("tool"), 3), x[0])):
+        limit = original = len(h.get("observation") or "")
+        while total > room and limit > floor:
             limit = max(floor, limit // 2)
             head = h["observation"][: max(0, limit - len(TRUNCATED))]
             at = head.rfind("\n")
             h["observation"] = (head[:at] if at > 0 else head) + TRUNCATED
+            total += (now := size(h)) - sizes[i]
+            sizes[i] = now
         if limit < original:
-            cut[first[id(h)]] = {"history_index": first[id(h)], "tool": h.get("tool"), "original_chars": original, "final_chars": len(h["observation"])}
-    while items and size() > room:
-        gone = items.pop(0)
-        cut.pop(first[id(gone)], None)
-        removed += 1
-    return (items, removed, [cut[k] for k in sorted(cut)]) if size() <= room else None
+            cut[i] = {"history_index": i, "tool": h.get("tool"), "original_chars": original, "final_chars": len(h["observation"])}
+    while start < len(items) and total > room:
+        total -= sizes[start]
+        cut.pop(start, None)
+        start += 1
+    return ([h for _, h in items[start:]], start, [cut[k] for k in sorted(cut)]) if total <= room else None
 
 
-def fit_budget(steps: DataFrame, key: str, budget: int, keep: int = 4, floor: int = 256) -> DataFrame:
-    """Per step of a trajectory what of its history fits `budget` tokens beside its target.
+def fit_budget(steps: DataFrame, key: str, budget: int, keep: int = 4, floor: int = 256, protected: str | None = None) -> DataFrame:
+    """Per step of a trajectory what of its history fits `budget` tokens beside its target and the protected prompt.
 
-    (key, step_index, original_tokens, final_tokens, removed_history_steps, truncated_observations). One trajectory is one
-    group; each keeps at most its own steps in memory. Steps whose target alone is too long have NULL final_tokens.
+    (key, step_index, original_tokens, final_tokens, removed_history_steps, truncated_observations, history): history is
+    the JSON of what is left. `protected` names a column with the tokens of the prompt that may not be cut (system,
+    schemas, issue, phase). One trajectory is one group; each keeps at most its own steps in memory. Steps whose target
+    and protected prompt alone are too long have NULL final_tokens and history.
     """
-    schema = f"`{key}` {steps.schema[key].dataType.simpleString()}, step_index int, original_tokens long, final_tokens long, removed_history_steps int, truncated_observations array<struct<history_index:int,tool:string,original_chars:long,final_chars:long>>"
+    schema = f"`{key}` {steps.schema[key].dataType.simpleString()}, step_index int, original_tokens long, final_tokens long, removed_history_steps int, truncated_observations array<struct<history_index:int,tool:string,original_chars:long,final_chars:long>>, history string"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        cost = lambda s: max(1, (len(s) + 3) // 4)
         pdf = pdf.sort_values("step_index", kind="stable")
         rows = [{"tool": t, "arguments": a or "", "observation": o or ""} for t, a, o in zip(pdf["tool"], pdf["arguments"], pdf["observation"])]
-        size = [cost(json.dumps(h, ensure_ascii=False, sort_keys=True)) for h in rows]
-        out = []
-        for i, (k, n) in enumerate(zip(pdf[key], pdf["step_index"])):
-            target = cost(json.dumps({"arguments": rows[i]["arguments"], "tool": rows[i]["tool"]}, sort_keys=True))
-            total = sum(size[:i]) + target
+        before, out = 0, []
+        for i, (k, n, fixed) in enumerate(zip(pdf[key], pdf["step_index"], pdf["__fixed"])):
+            target = int(fixed) + _size({"arguments": rows[i]["arguments"], "tool": rows[i]["tool"]})
+            total = before + target
+            before += _size(rows[i])
             if target > budget:
-                out.append((k, n, total, None, None, []))
-            elif total <= budget:
-                out.append((k, n, total, total, 0, []))
-            else:
-                items, removed, cut = fit_history(rows[:i], budget - target, keep, floor, cost)
-                out.append((k, n, total, target + sum(cost(json.dumps(h, ensure_ascii=False, sort_keys=True)) for h in items), removed, cut))
-        res = pd.DataFrame(out, columns=[c.split(" ")[0].strip("`") for c in ("key", "step_index", "original_tokens", "final_tokens", "removed_history_steps", "truncated_observations")])
-        return res.astype({"final_tokens": "Int64", "removed_history_steps": "Int32"}).rename(columns={"key": key})
-
-    return steps.select(key, "step_index", "tool", "arguments", "observation").groupBy(key).applyInPandas(run, schema)
+                out.append((k, n, total, None, None, [], None))
+                continue
+            items, removed, cut = (rows[:i], 0, []) if total <= budget else fit_history(rows[:i], budget - target, keep, floor)
+            out.append((k, n, total, target + sum(map(_size, items)), removed, cut, json.dumps(items, ensure_ascii=False, sort_keys=True)))
+        res = pd.DataFrame(out, columns=[key, "step_index", "original_tokens", "final_tokens", "removed_history_steps", "truncated_observations", "history"])
+        return res.astype({"final_tokens": "Int64", "removed_history_steps": "Int32"})
+
+    fixed = F.col(protected) if protected else F.lit(0)
+    return steps.select(key, "step_index", "tool", "arguments", "observation", F.coalesce(fixed, F.lit(0)).cast("long").alias("__fixed")).groupBy(key).applyInPandas(run, schema)
+
+
+def build_v2(trajectories: DataFrame, key: str, budget: int, keep: int = 4, floor: int = 256) -> DataFrame:
+    """One example per step: (key, step_index, phase, prompt, target, sha256, original_tokens, final_tokens, removed_history_steps, truncated_observations, error).
+
+    trajectories: key, problem_statement, steps. The prompt holds the issue, the phase, its tools and the history that
+    fits; the target is the call as canonical JSON. error is the first of schema_invalid (a call that its phase or schema
+    forbids), target_over_budget and future_action_leakage (the target stands in the prompt), else NULL.
+    """
+    tools = F.create_map(*[x for p, ts in PHASE_TOOLS.items() for x in (F.lit(p), F.array(*(F.lit(t) for t in ts)))])
+    s = trajectories.select(key, F.coalesce("problem_statement", F.lit("")).alias("problem"), F.posexplode("steps").alias("step_index", "s"))
+    s = s.select(key, "problem", "step_index", "s.phase", "s.tool", "s.arguments", "s.observation")
+    fixed = chat_prompt(messages(F.col("problem"), F.col("phase"), F.coalesce(tools[F.col("phase")], F.array().cast("array<string>"))))
+    fitted = fit_budget(s.withColumn("fixed", token_estimate(fixed)), key, budget, keep, floor, "fixed")
+    d = fitted.join(s.drop("observation"), [key, "step_index"])
+    history = F.when(F.col("history") != "[]", F.col("history"))
+    prompt = chat_prompt(messages(F.col("problem"), F.col("phase"), F.coalesce(tools[F.col("phase")], F.array().cast("array<string>")), history))
+    target = F.concat(F.lit('{"arguments":'), F.coalesce(canonical_json(F.col("arguments")), F.lit("null")), F.lit(',"tool":'), F.coalesce(F.concat(F.lit('"'), "tool", F.lit('"')), F.lit("null")), F.lit("}"))
+    d = d.withColumn("prompt", prompt).withColumn("target", target).withColumn("sha256", F.sha2(F.concat_ws("\n", "prompt", "target"), 256))
+    error = F.when(target_status(F.col("phase"), F.col("tool"), F.col("arguments")).isNotNull(), "schema_invalid").when(F.col("final_tokens").isNull(), "target_over_budget").when(F.contains("prompt", F.col("target")), "future_action_leakage")
+    return d.withColumn("error", error).select(key, "step_index", "phase", "prompt", "target", "sha256", "original_tokens", "final_tokens", "removed_history_steps", "truncated_observations", "error")
+
+
+def audited_v2(examples: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(examples, rejections): a trajectory with one bad step gives no example but a row (key, step_index, error) of its first."""
+    bad = examples.filter("error IS NOT NULL").groupBy(key).agg(F.min(F.struct("step_index", "error")).alias("e")).select(key, "e.step_index", "e.error")
+    return examples.join(bad.select(key), key, "left_anti"), bad
 
 
 def mask_labels(df: DataFrame, prompt_ids: str, full_ids: str) -> DataFrame:

@@ -8,6 +8,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stepmill.session import cut
+
 
 def search_group_split(counts: Mapping[str, int], seed: int | None = 42, min_train: int = 40, min_validation: int = 8, fraction: float = 0.2, max_groups: int = 24) -> tuple[set[str], set[str]]:
     """(train groups, validation groups): the proper subset whose rows come nearest to `fraction` of all, within the minima.
@@ -118,8 +120,8 @@ def seeded_train_split(df: DataFrame, key: str, n: int, train: int, seed: int) -
     return seeded_selection(df, key, n, seed).withColumn("split", F.when(F.col("position") < train, "train").otherwise("validation"))
 
 
-def smoke_subset(df: DataFrame, key: str, tokens: str, phase: str, longest: int = 4, per_phase: int = 2, seed: int = 42) -> DataFrame:
-    """The longest rows and a few hashed picks of each phase, with the reason of the first rule that chose them."""
+def smoke_subset(df: DataFrame, key: str, tokens: str, phase: str, longest: int = 4, per_phase: int = 2, seed: int = 42, count: int | None = None) -> DataFrame:
+    """The longest rows and a few hashed picks of each phase, filled up to `count` rows by least hash, with the reason of the rule that chose them."""
     from pyspark.sql import Window
 
     top = df.orderBy(F.desc(tokens), key).limit(longest).select(key, F.lit("longest").alias("reason"))
@@ -131,4 +133,10 @@ def smoke_subset(df: DataFrame, key: str, tokens: str, phase: str, longest: int
     cand = cand.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= per_phase)
     w = Window.partitionBy(phase).orderBy("__h", key)
     picks = cand.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= per_phase).select(key, F.lit("phase").alias("reason"))
-    return top.unionByName(picks)
+    chosen = top.unionByName(picks)
+    if count is None:
+        return chosen
+    # a few keys for each phase
+    chosen = cut(chosen)
+    fill = df.select(key, h.alias("__h")).join(chosen.select(key), key, "left_anti").orderBy("__h", key).limit(max(0, count - chosen.count()))
+    return chosen.unionByName(fill.select(key, F.lit("fill").alias("reason")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stepmill.functions import calls, diff, text
+from stepmill.functions import calls, diff, text, tokens
 from stepmill.functions.dims import ACTION_ENVIRONMENT, CALLS, EMPTY_PATCHES, PARAMETERS, PHASE_TOOLS, ROLLOUT_ENVIRONMENT, ROLLOUT_TIMEOUT, TOOLS, WRITES
 from stepmill.operators import classify, compare, examples, metrics, sequence, splits
 from stepmill.plans import prompts
@@ -142,11 +142,13 @@ def q_e1_expand_examples(spark, d):
     return e.select("traj_id", F.col("example_index").cast("long").alias("example_index"), F.md5("prompt").alias("prompt_md5"), F.md5("target").alias("target_md5"))
 
 
-@query()
+@query(f"""WITH u AS (SELECT traj_id, concat_ws(chr(10) || chr(10), CASE WHEN problem_statement <> '' THEN '## Issue' || chr(10) || problem_statement END, CASE WHEN steps[1].phase <> '' THEN '## Phase' || chr(10) || steps[1].phase END,
+  CASE WHEN len(steps) > 0 THEN '## Tools' || chr(10) || array_to_string(list_sort(list_distinct([s.tool for s in steps])), ', ') END) AS user FROM trajectories),
+ c AS (SELECT traj_id, '<|im_start|>system' || chr(10) || '{prompts.SYSTEM}' || '<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || user || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) AS p FROM u)
+SELECT traj_id, length(p) AS prompt_chars, md5(p) AS prompt_md5 FROM c""")
 def q_p5_chat_prompts(spark, d):
-    t = table(spark, d, "trajectories").filter("size(steps) > 0")
-    tools = F.transform("steps", lambda s: s["tool"])
-    m = prompts.messages(F.coalesce("problem_statement", F.lit("")), F.get(F.col("steps"), F.lit(0))["phase"], tools)
+    t = table(spark, d, "trajectories").withColumn("steps", F.coalesce("steps", F.array()))
+    m = prompts.messages(F.coalesce("problem_statement", F.lit("")), F.get(F.col("steps"), F.lit(0))["phase"], F.transform("steps", lambda s: s["tool"]))
     return t.select("traj_id", F.length(prompts.chat_prompt(m)).alias("prompt_chars"), F.md5(prompts.chat_prompt(m)).alias("prompt_md5"))
 
 
@@ -247,14 +249,12 @@ def q_v1_target_status(spark, d):
     return s.groupBy("tool", "phase", calls.target_status(F.col("phase"), F.col("tool"), F.col("arguments")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT task_id, len(fail_to_pass) AS fail_ids, len(pass_to_pass) AS pass_ids, array_to_string(list_distinct([split_part(x, '::', 1) for x in fail_to_pass])[:1], ' ') AS first_file FROM tasks WHERE len(fail_to_pass) = 1""")
-def q_v11_test_command(spark, d):
-    """Test files before the `::` of the ids, here of tasks with one failing test."""
-    t = table(spark, d, "tasks").filter("size(fail_to_pass) = 1")
-    return t.select("task_id", F.size("fail_to_pass").cast("long").alias("fail_ids"), F.size("pass_to_pass").cast("long").alias("pass_ids"), F.array_join(F.array_distinct(F.transform("fail_to_pass", lambda x: F.split_part(x, F.lit("::"), F.lit(1)))), " ").alias("first_file"))
-
-
-@query()
+@query(r"""WITH i AS (SELECT task_id, repo, list_filter(coalesce(fail_to_pass, []), lambda x: trim(x) <> '') AS ids FROM tasks),
+ u AS (SELECT task_id, unnest(range(len(ids))) AS n, unnest(ids) AS x FROM i), l AS (SELECT task_id, regexp_extract(x, '^[A-Za-z_][A-Za-z0-9_]* \(([^)]+)\)$', 1) || '.' || regexp_extract(x, '^([A-Za-z_][A-Za-z0-9_]*) \([^)]+\)$', 1) AS w, min(n) AS n FROM u WHERE regexp_matches(x, '^[A-Za-z_][A-Za-z0-9_]* \([^)]+\)$') GROUP BY 1, 2),
+ f AS (SELECT task_id, split_part(x, '::', 1) AS w, min(n) AS n FROM u WHERE split_part(x, '::', 1) <> '' GROUP BY 1, 2),
+ q AS (SELECT task_id, kind, string_agg(CASE WHEN regexp_full_match(w, '[A-Za-z0-9_@%+=:,./-]+') THEN w ELSE chr(39) || replace(w, chr(39), chr(39) || '"' || chr(39) || '"' || chr(39)) || chr(39) END, ' ' ORDER BY n) AS words FROM (SELECT *, 'label' AS kind FROM l UNION ALL SELECT *, 'file' FROM f) GROUP BY 1, 2)
+SELECT task_id, CASE WHEN repo = 'django/django' AND a.words IS NOT NULL THEN 'python tests/runtests.py --verbosity 1 ' || a.words WHEN b.words IS NOT NULL THEN 'python -m pytest -q ' || b.words ELSE 'python -m pytest -q' END AS command
+FROM i LEFT JOIN (SELECT task_id, words FROM q WHERE kind = 'label') a USING (task_id) LEFT JOIN (SELECT task_id, words FROM q WHERE kind = 'file') b USING (task_id)""")
 def q_v11_derived_commands(spark, d):
     """The command of every task. The tables hold no files of the repositories, so each path counts as existing."""
     return table(spark, d, "tasks").select("task_id", text.test_command(F.col("repo"), F.col("fail_to_pass")).alias("command"))
@@ -422,7 +422,13 @@ def q_w5_phase_reach(spark, d):
     return sequence.phase_reach(_steps(spark, d, "phase", "previous_phase", "executed_tool"), "rollout_id")
 
 
-@query()
+@query(f"""WITH RECURSIVE {ST}, q AS (SELECT rollout_id, row_number() OVER (PARTITION BY rollout_id ORDER BY step_index) AS k, executed_tool AS tool, coalesce(tool_success, false) AS ok FROM st),
+ r AS (SELECT DISTINCT rollout_id, 0::BIGINT AS k, 'LOCATE' AS phase, false AS rd, 0 AS searches, 0 AS lists, 0 AS blocked, 'LOCATE' AS path FROM q
+  UNION ALL SELECT rollout_id, k, nxt, rd OR (NOT stop AND ok AND tool = 'read_file'), CASE WHEN stop THEN searches WHEN tool = 'search_code' THEN searches + 1 ELSE 0 END, CASE WHEN stop THEN lists WHEN tool = 'list_files' THEN lists + 1 ELSE 0 END, blocked + stop::INT, CASE WHEN nxt <> phase THEN path || '>' || nxt ELSE path END
+  FROM (SELECT *, CASE WHEN stop THEN phase WHEN ok AND phase = 'LOCATE' AND tool = 'search_code' THEN 'UNDERSTAND' WHEN ok AND phase = 'UNDERSTAND' AND tool = 'read_file' THEN 'MODIFY' WHEN ok AND phase = 'MODIFY' AND tool = 'apply_patch' THEN 'VERIFY' WHEN NOT ok AND phase = 'VERIFY' AND tool = 'run_test' THEN 'UNDERSTAND' ELSE phase END AS nxt
+   FROM (SELECT r.* EXCLUDE (k), q.k, tool, ok, coalesce((tool = 'list_files' AND lists >= 2) OR (tool <> 'read_file' AND searches >= 3) OR (tool = 'apply_patch' AND NOT rd)
+     OR NOT CASE phase WHEN 'LOCATE' THEN tool IN ('list_files','search_code') WHEN 'UNDERSTAND' THEN tool IN ('read_file','search_code') WHEN 'MODIFY' THEN tool = 'apply_patch' ELSE tool = 'run_test' END, true) AS stop FROM r JOIN q ON r.rollout_id = q.rollout_id AND q.k = r.k + 1)))
+SELECT rollout_id, arg_max(phase, k) AS final_phase, arg_max(blocked, k) AS blocked, arg_max(path, k) AS path FROM r GROUP BY 1""")
 def q_w6_phase_replay(spark, d):
     return sequence.replay_phases(_steps(spark, d, "executed_tool", "tool_success").select("rollout_id", "step_index", F.col("executed_tool").alias("tool"), F.col("tool_success").alias("success")), "rollout_id")
 
@@ -457,10 +463,40 @@ def q_t3_drop_oldest(spark, d):
     return examples.drop_oldest(s, "rollout_id", "step_index", "tokens", 8192, keep=2).select("rollout_id", "step_index", "suffix_tokens")
 
 
-@query()
+@query(f"""WITH {TJ} SELECT traj_id, pos AS step_index, true AS fits, true AS counted FROM tj""")
 def q_t3_budget_fit(spark, d):
-    s = table(spark, d, "trajectories").select("traj_id", F.posexplode("steps").alias("step_index", "s")).select("traj_id", "step_index", "s.tool", "s.arguments", "s.observation")
-    return examples.fit_budget(s, "traj_id", 300)
+    """What must hold of every step: what is kept fits the budget with the protected prompt, or the target alone does not; nothing is cut where all fits."""
+    s = table(spark, d, "trajectories").select("traj_id", F.posexplode("steps").alias("step_index", "s"), text.token_estimate(F.coalesce("problem_statement", F.lit(""))).alias("fixed")).select("traj_id", "step_index", "fixed", "s.tool", "s.arguments", "s.observation")
+    f = examples.fit_budget(s, "traj_id", 600, protected="fixed")
+    whole = F.col("original_tokens") <= 600
+    return f.select("traj_id", F.col("step_index").cast("long").alias("step_index"), F.coalesce(F.col("final_tokens") <= 600, F.lit(True)).alias("fits"), F.when(whole, (F.col("final_tokens") == F.col("original_tokens")) & (F.col("removed_history_steps") == 0)).otherwise(F.coalesce(F.col("final_tokens") < F.col("original_tokens"), F.lit(True))).alias("counted"))
+
+
+@query(f"""WITH {TJ}, a AS (SELECT traj_id, pos, s.tool AS tool, s.phase AS phase, json_keys(s.arguments) AS k FROM tj)
+SELECT traj_id, pos AS step_index, tool, phase FROM a WHERE NOT coalesce(len(list_filter(CASE tool WHEN 'search_code' THEN ['query'] WHEN 'read_file' THEN ['path'] WHEN 'apply_patch' THEN ['patch'] WHEN 'run_test' THEN ['command'] ELSE [] END, lambda x: NOT list_contains(k, x))) > 0
+  OR len(list_filter(k, lambda x: NOT list_contains(CASE tool WHEN 'list_files' THEN ['path','max_entries'] WHEN 'search_code' THEN ['query','path','max_results'] WHEN 'read_file' THEN ['path','start_line','end_line'] WHEN 'apply_patch' THEN ['patch'] ELSE ['command'] END, x))) > 0
+  OR NOT CASE phase WHEN 'LOCATE' THEN tool IN ('list_files','search_code') WHEN 'UNDERSTAND' THEN tool IN ('read_file','search_code') WHEN 'MODIFY' THEN tool = 'apply_patch' WHEN 'VERIFY' THEN tool = 'run_test' ELSE false END, true)""")
+def q_e2_step_examples(spark, d):
+    """Examples of all legal calls, with their target's tool."""
+    e = examples.build_v2(table(spark, d, "trajectories").select("traj_id", "problem_statement", "steps"), "traj_id", 4096)
+    return e.filter("coalesce(error, '') <> 'schema_invalid'").select("traj_id", F.col("step_index").cast("long").alias("step_index"), F.get_json_object("target", "$.tool").alias("tool"), "phase")
+
+
+@query()
+def q_e3_audited_examples(spark, d):
+    """Examples of the trajectories without a bad step, with budget and checksum."""
+    kept, _ = examples.audited_v2(examples.build_v2(table(spark, d, "trajectories").select("traj_id", "problem_statement", "steps"), "traj_id", 4096), "traj_id")
+    return kept.select("traj_id", "step_index", "sha256", "original_tokens", "final_tokens", "removed_history_steps")
+
+
+@query(f"""WITH t AS (SELECT traj_id, len(steps) AS n FROM trajectories WHERE len(steps) > 0) SELECT traj_id, true AS whole FROM t""")
+def q_e3_examples_or_rejection(spark, d):
+    """Every trajectory gives either all its examples or one rejection."""
+    t = table(spark, d, "trajectories").select("traj_id", "problem_statement", "steps")
+    kept, bad = examples.audited_v2(examples.build_v2(t, "traj_id", 4096), "traj_id")
+    n = kept.groupBy("traj_id").agg(F.count(F.lit(1)).alias("n"))
+    j = t.filter("size(steps) > 0").select("traj_id", F.size("steps").alias("steps")).join(n, "traj_id", "left").join(bad.select("traj_id", F.lit(1).alias("rejected")), "traj_id", "left")
+    return j.select("traj_id", F.when(F.col("rejected").isNotNull(), F.col("n").isNull()).otherwise(F.col("n") == F.col("steps")).alias("whole"))
 
 
 @query("""SELECT kind, count(*) AS rows, 1.0::DOUBLE / count(*) AS weight FROM documents GROUP BY 1""")
@@ -506,13 +542,14 @@ def q_e12_rank_files(spark, d):
     return compare.rank_files(tasks, files, "task_id", text.issue_terms(F.col("problem_statement")), top=5).select("task_id", "path", F.col("score").cast("long").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query()
+@query("""SELECT sum(coalesce(len(steps), 0) + 1)::BIGINT AS examples, true AS masks_prompt, true AS keeps_target, true AS cut FROM trajectories""")
 def q_t2_label_mask(spark, d):
-    """Label masks over code points as ids, kept to the last 2,048."""
+    """What must hold of all examples in tokens: the mask covers the prompt's tokens, the rest are the target's, and at most the last 2,048 are kept."""
     e = examples.expand_v1(_sft(spark, d), "traj_id")
-    ids = lambda c: F.transform(F.split(c, ""), lambda x: F.ascii(x))
-    m = examples.mask_labels(e.select("traj_id", "example_index", ids("prompt").alias("p"), ids(F.concat("prompt", "target")).alias("f")), "p", "f")
-    return m.select("traj_id", "example_index", "prefix_ok", F.size(examples.keep_last(F.col("labels"), 2048)).alias("kept"), F.size(F.filter("labels", lambda x: x >= 0)).alias("target_ids"))
+    t = e.select(tokens.token_ids(F.col("prompt")).alias("p"), tokens.token_ids(F.col("target")).alias("t")).withColumn("f", F.concat("p", "t"))
+    m = examples.mask_labels(t, "p", "f")
+    masked = F.size(F.filter("labels", lambda x: x == -100))
+    return m.agg(F.count(F.lit(1)).alias("examples"), F.every((masked == F.size("p")) & F.col("prefix_ok")).alias("masks_prompt"), F.every(F.slice("labels", F.size("p") + 1, F.size("f")) == F.col("t")).alias("keeps_target"), F.every(F.size(examples.keep_last(F.col("labels"), 2048)) <= 2048).alias("cut"))
 
 
 # ---- splits, duplicates --------------------------------------------------------------------------------------------
@@ -551,14 +588,16 @@ def q_u1_split_search(spark, d):
     return splits.search_group_split_df(c, "repo", "n", 40, 8)
 
 
-@query()
+@query("""WITH o AS (SELECT task_id, row_number() OVER (ORDER BY sha256('42/' || task_id), task_id) - 1 AS position FROM tasks) SELECT task_id, position, CASE WHEN position < 50 THEN 'train' ELSE 'validation' END AS split FROM o WHERE position < 60""")
 def q_t10_seeded_split(spark, d):
     return splits.seeded_train_split(table(spark, d, "tasks").select("task_id"), "task_id", 60, 50, 42)
 
 
-@query()
+@query("""WITH t AS (SELECT doc_id FROM documents ORDER BY n_chars DESC, doc_id LIMIT 4), r AS (SELECT doc_id, kind, sha256('42/' || doc_id) AS h FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM t)), p AS (SELECT doc_id FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY h, doc_id) AS n FROM r) WHERE n <= 2),
+ c AS (SELECT count(*) AS n FROM t), k AS (SELECT count(*) AS n FROM p), f AS (SELECT doc_id, row_number() OVER (ORDER BY h, doc_id) AS n FROM r WHERE doc_id NOT IN (SELECT doc_id FROM p))
+SELECT doc_id, 'longest' AS reason FROM t UNION ALL SELECT doc_id, 'phase' FROM p UNION ALL SELECT doc_id, 'fill' FROM f WHERE n <= 40 - (SELECT n FROM c) - (SELECT n FROM k)""")
 def q_t11_smoke_subset(spark, d):
-    return splits.smoke_subset(table(spark, d, "documents").select("doc_id", "kind", "n_chars"), "doc_id", "n_chars", "kind")
+    return splits.smoke_subset(table(spark, d, "documents").select("doc_id", "kind", "n_chars"), "doc_id", "n_chars", "kind", count=40)
 
 
 @query(f"""WITH t AS (SELECT {SPLIT_CASE} AS sp, task_id FROM tasks) SELECT sp AS split, count(*) AS n FROM t WHERE sp IN ('train') GROUP BY 1 UNION ALL SELECT sp, count(*) FROM t WHERE sp IN ('validation', 'test') GROUP BY 1""")
@@ -629,6 +668,7 @@ def q_s24_pending(spark, d):
     return compare.todo(todo, done, ["instance_id", "arm"])
 
 
-@query()
+@query("""WITH j AS (SELECT '{"base_commit":' || coalesce(to_json(base_commit)::VARCHAR, 'null') || ',"instance_id":' || coalesce(to_json(instance_id)::VARCHAR, 'null') || ',"repo":' || coalesce(to_json(repo)::VARCHAR, 'null') || ',"source_file":' || coalesce(to_json(source_file)::VARCHAR, 'null') || '}' AS j FROM task_refs)
+SELECT count(*) AS rows, sha256(count(*) || '/' || sum(('0x' || substr(sha256(j), 1, 15))::BIGINT)::HUGEINT) AS checksum FROM j""")
 def q_s22_table_checksum(spark, d):
-    return readers.table_checksum(table(spark, d, "task_refs"))
+    return readers.table_checksum(table(spark, d, "task_refs"))
\ No newline at end of file

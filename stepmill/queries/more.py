@@ -196,22 +196,16 @@ def q_e10_list_files(spark, d):
     return files.list_files(f, "repo", 10)
 
 
-@query("""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE kind = 'issue'), u AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS line, unnest(l) AS text FROM d) SELECT doc_id, line, text FROM u WHERE contains(text, 'returns None')""")
-def q_e9_search_code(spark, d):
-    f = table(spark, d, "documents").filter("kind = 'issue'").select(F.col("doc_id").alias("repo"), F.lit("").alias("path"), F.col("text").alias("content"))
-    return files.search_code(f, F.lit("returns None")).select(F.col("repo").alias("doc_id"), F.col("line").cast("long").alias("line"), "text")
-
-
 @query("""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), u AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS line, unnest(l) AS text FROM d) SELECT doc_id, line, text FROM u WHERE contains(text, 'returns None')""")
 def q_e9_search_documents(spark, d):
-    """As q_e9_search_code, over documents of every kind."""
+    """Documents of every kind as files."""
     f = table(spark, d, "documents").select(F.col("doc_id").alias("repo"), F.lit("").alias("path"), F.col("text").alias("content"))
     return files.search_code(f, F.lit("returns None")).select(F.col("repo").alias("doc_id"), F.col("line").cast("long").alias("line"), "text")
 
 
-@query("""SELECT doc_id, array_to_string(string_split(text, chr(10))[2:4], chr(10)) AS part FROM documents WHERE len(string_split(text, chr(10))) > 4""")
+@query("""SELECT doc_id, array_to_string(string_split(text, chr(10))[2:4], chr(10)) AS part FROM documents WHERE text IS NOT NULL""")
 def q_e11_read_lines(spark, d):
-    t = table(spark, d, "documents").filter("size(split(text, '\n')) > 4")
+    t = table(spark, d, "documents").filter("text IS NOT NULL")
     return t.select("doc_id", F.regexp_replace(files.read_lines(F.col("text"), F.lit(2), F.lit(4)), r"\n\z", "").alias("part"))
 
 
@@ -226,13 +220,20 @@ def q_e6_normal_diff(spark, d):
     return table(spark, d, "tasks").filter("patch IS NOT NULL").select("task_id", F.md5(text.normal_diff(F.col("patch"))).alias("d"))
 
 
-@query()
+@query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, array_to_string([x for x, i in l if (i - 1) % 7 <> 3], chr(10)) <> array_to_string(l, chr(10)) AS changed, true AS rebuilt, true AS bounded FROM l""")
 def q_e4_bounded_patches(spark, d):
-    """Documents against their copies without every seventh line, as bounded sequential patches."""
-    t = table(spark, d, "documents")
+    """Documents against their copies without every seventh line: whether there are patches, whether they take away as much as is missing and whether each fits or is a single edit."""
+    t = table(spark, d, "documents").filter("text IS NOT NULL")
     after = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: i % 7 != 3), "\n")
-    p = diff.split_patches(t.select("doc_id", F.lit("doc.md").alias("path"), F.col("text").alias("before"), after.alias("after")), "doc_id", 120)
-    return p.select("doc_id", "action_index", F.length("patch").alias("patch_chars"))
+    t = t.select("doc_id", F.col("text").alias("before"), after.alias("after"))
+    p = diff.split_patches(t.withColumn("path", F.lit("doc.md")), "doc_id", 120)
+    # characters of removed less those of added lines, headers and marks left out
+    body = F.filter(F.slice(F.split("patch", "\n"), 3, 1_000_000), lambda x: x.startswith("-") | x.startswith("+"))
+    chars = F.aggregate(body, F.lit(0), lambda s, x: s + F.when(x.startswith("-"), F.length(x)).otherwise(-F.length(x)))
+    g = p.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(chars).alias("chars"), F.every((text.token_estimate(F.col("patch")) <= 120) | (F.size(body) <= 2)).alias("bounded"))
+    j = t.join(g, "doc_id", "left")
+    return j.select("doc_id", F.col("n").isNotNull().alias("changed"), F.coalesce(F.abs(F.col("chars") - (F.length("before") - F.length("after"))) <= 1, F.col("before") == F.col("after")).alias("rebuilt"), F.coalesce("bounded", F.lit(True)).alias("bounded"))
 
 
 @query(f"""WITH {TJ}, b AS (SELECT traj_id, bool_or(s.observation IS NULL OR s.observation = '') AS bad FROM tj GROUP BY 1) SELECT traj_id, count(*) AS steps FROM tj JOIN b USING (traj_id) WHERE NOT bad GROUP BY 1""")
@@ -312,9 +313,20 @@ def q_s20_split_sources(spark, d):
     return g.select(F.md5(F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("digest"), "rows")
 
 
-@query()
+@query("""SELECT sha256('{"new_repo":' || coalesce(to_json(new_repo)::VARCHAR, 'null') || ',"old_repo":' || coalesce(to_json(old_repo)::VARCHAR, 'null') || '}') AS row_sha256, old_repo FROM repo_aliases""")
 def q_s21_row_checksums(spark, d):
-    return readers.row_checksums(table(spark, d, "repo_aliases")).select("old_repo", "row_sha256")
+    return readers.row_checksums(table(spark, d, "repo_aliases").select("old_repo", "new_repo")).select("old_repo", "row_sha256")
+
+
+@query("""SELECT 'tasks.parquet' AS file, true AS hashed UNION ALL SELECT 'task_refs.parquet', true""")
+def q_s21_file_checksums(spark, d):
+    """Bytes and digest of the files of two tables, as whether each has one of 64 digits."""
+    out = None
+    for name in ("tasks", "task_refs"):
+        f = readers.file_checksums(spark, f"{d}/{name}.parquet").select(F.lit(f"{name}.parquet").alias("file"), ((F.col("bytes") > 0) & F.col("sha256").rlike("^[0-9a-f]{64}$")).alias("ok"))
+        f = f.groupBy("file").agg(F.every("ok").alias("hashed"))
+        out = f if out is None else out.unionByName(f)
+    return out
 
 
 @query(f"""WITH {FACTS} SELECT final_test, reason, count(*) AS n FROM fc GROUP BY 1, 2""")
