@@ -61,7 +61,8 @@ def split_edits(before: str, after: str, path: str, budget: int) -> list[str]:
     fits or is a single line.
     """
     cost = lambda s: max(1, (len(s) + 3) // 4)
-    make = lambda x, y: "".join(difflib.unified_diff(x, y, f"a/{path}", f"b/{path}"))
+    end = "\n\\ No newline at end of file\n"
+    make = lambda x, y: "".join(d if d.endswith("\n") else d + end for d in difflib.unified_diff(x, y, f"a/{path}", f"b/{path}"))
     # lines end at line feeds only, as patches do
     a, b = (re.findall(r"[^\n]*\n|[^\n]+", x) for x in (before, after))
     done: list[str] = []
