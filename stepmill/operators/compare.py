@@ -38,6 +38,19 @@ def comparable(a: DataFrame, b: DataFrame, fields: Sequence[str]) -> DataFrame:
     return j.select(F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}")).alias("equal")) for f in fields))).alias("x")).select("x.*")
 
 
+def join_by_file(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Rows of right under the file names of left, one to one; a missing file or another key in it raises an error in the plan.
+
+    File names are compared without their folders. The key comes from left.
+    """
+    name = lambda: F.element_at(F.split("source_file", "/"), -1)
+    a = left.select(name().alias("file"), F.col(key).alias("__key"))
+    b = right.withColumn("file", name()).drop("source_file").withColumnRenamed(key, "__found").withColumn("__there", F.lit(True))
+    j = a.join(b, "file", "left")
+    wrong = F.when(F.col("__there").isNull(), F.concat(F.lit("missing file: "), "file")).when(~F.col("__key").eqNullSafe(F.col("__found")), F.concat(F.lit("other key in file: "), "file"))
+    return j.withColumn(key, F.when(wrong.isNotNull(), F.raise_error(wrong).cast(left.schema[key].dataType)).otherwise(F.col("__key"))).drop("__key", "__found", "__there")
+
+
 def index_by_last(df: DataFrame, key: str, order: str) -> DataFrame:
     """One row per key, the one with the greatest `order` (later files overwrite earlier ones)."""
     cols = [c for c in df.columns if c != key]

@@ -2,9 +2,21 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed value: the text around issue and transcript.
+ORACLE = """You are a coding agent. Use one structured tool call to make the required change.
+Issue:
+{issue}
+
+Repository navigation transcript:
+{transcript}
+
+Return exactly one JSON object with fields tool and arguments."""
 SYSTEM = "You repair code in a repository. Answer with one JSON tool call."
 
 
@@ -19,3 +31,21 @@ def messages(problem: Column, phase: Column, tools: Column, history: Column | No
 def chat_prompt(m: Column) -> Column:
     """Messages in a plain chat template, ending where the answer begins."""
     return F.concat(F.array_join(F.transform(m, lambda x: F.concat(F.lit("<|im_start|>"), x["role"], F.lit("\n"), x["content"], F.lit("<|im_end|>\n"))), ""), F.lit("<|im_start|>assistant\n"))
+
+
+@F.pandas_udf("string")
+def oracle_prompt(problem: pd.Series, steps: pd.Series) -> pd.Series:
+    """Prompt of a navigation transcript: the trimmed issue and the steps as indented JSON. NULL problem counts as empty, arguments that are no JSON stay text."""
+
+    def arguments(text):
+        try:
+            return json.loads(text)
+        except (TypeError, ValueError):
+            return text
+
+    def one(issue, items):
+        items = [] if items is None else items
+        transcript = [{"phase": s["phase"], "action": {"tool": s["tool"], "arguments": arguments(s["arguments"])}, "observation": s["observation"], "tool_success": s["tool_success"]} for s in items]
+        return ORACLE.format(issue=(issue or "").strip(), transcript=json.dumps(transcript, ensure_ascii=False, indent=2))
+
+    return pd.Series([one(p, s) for p, s in zip(problem, steps)], dtype=object)

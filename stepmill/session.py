@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,11 +24,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if shared := spark.conf.get("spark.checkpoint.dir", None):
         sc.setCheckpointDir(shared)
     elif sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="stepmill-checkpoint-"))
+        folder = tempfile.mkdtemp(prefix="stepmill-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
     else:  # the warehouse is a folder that all executors share
         sc.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that all executors share, inside the checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and continue from there: lineage ends, executors may be lost."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -49,6 +49,13 @@ def arm(records: DataFrame, expected: DataFrame, key: str = "instance_id") -> tu
     return first.join(expected.select(key).distinct(), key, "left_semi"), set_differences(expected, records, key)
 
 
+def condition(records: DataFrame, rejects: DataFrame, tasks: DataFrame, key: str = "instance_id") -> DataFrame:
+    """Strict reading of one condition: every task has the record of its file name and of its key, else an error."""
+    from stepmill.operators.compare import join_by_file
+
+    return join_by_file(tasks.select("source_file", key), require_no_rejects(records, rejects), key)
+
+
 def first_files(df: DataFrame, n: int, offset: int = 0) -> DataFrame:
     """n rows in order of file name after an offset; an error if there are fewer."""
     out = df.orderBy("source_file").offset(offset).limit(n)
