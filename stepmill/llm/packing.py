@@ -16,12 +16,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stepmill.functions.tokens import TOKENIZER, encoder
 from stepmill.session import cut
 
 CAPACITY = 2048
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: The pre-tokenizer pattern that belongs to the vocabulary (fixed value).
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A shard holds about this many documents and tokens at most.
 SHARD_DOCS, SHARD_TOKENS = 10_000, 3_000_000
 #: Topics and the sample that they are fitted on: so many documents of at most so many characters. Every document gets a topic.
@@ -29,35 +27,6 @@ TOPICS, SAMPLE, SAMPLE_CHARS, DIMS = 64, 4096, 20_000, 512
 K1, B = 1.2, 0.75
 
 
-_TOKENIZERS: dict = {}
-
-
-def tokenizer(path: str):
-    """The encode function of a vocabulary file, loaded once per worker process."""
-    cache = _TOKENIZERS
-    if path not in cache:
-        if path.endswith(".tiktoken"):
-            import base64
-
-            import tiktoken
-
-            with open(path, "rb") as f:
-                ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
-            cache[path] = tiktoken.Encoding("stepmill", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        elif path.endswith(".model"):
-            import sentencepiece
-
-            sp = sentencepiece.SentencePieceProcessor(model_file=path)
-            cache[path] = lambda text: sp.encode(text, num_threads=1)
-        else:
-            from tokenizers import Tokenizer
-
-            t = Tokenizer.from_file(path)
-            t.encode_special_tokens = True
-            cache[path] = lambda text: t.encode(text, add_special_tokens=False).ids
-    return cache[path]
-
-
 class Bm25:
     """Inverted index of the items of one shard: postings by term with the finished BM25 weight of each posting."""
 
@@ -192,7 +161,7 @@ class Topics:
 def tokenized(src: DataFrame, vocabulary: str, topics) -> DataFrame:
     """(doc_id, tokens as bytes, n, topic) of (doc_id, text); topics is a broadcast Topics."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = tokenizer(vocabulary)
+        encode = encoder(vocabulary)
         for pdf in batches:
             items = [np.array(encode(t), dtype=np.int32) for t in pdf["text"]]
             # ids under 65,536 need two bytes
@@ -214,7 +183,7 @@ def fit_topics(src: DataFrame, vocabulary: str) -> Topics:
     # about twice the sample passes the hash, so that tasks do not each send a full sample to the driver
     share = min(1.0, 2 * SAMPLE / max(1, src.count()))
     rows = short.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) <= int(share * (1 << 40))).orderBy(F.xxhash64("text", "doc_id"), "text").limit(SAMPLE).select("text").collect()
-    encode = tokenizer(vocabulary)
+    encode = encoder(vocabulary)
     return Topics([np.array(encode(r["text"]), dtype=np.int32) for r in rows])
 
 

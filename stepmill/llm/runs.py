@@ -17,23 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Other names of the tools.
-TOOL_ALIASES = {
-    "edit_file": "apply_patch",
-    "update_file": "apply_patch",
-    "modify_file": "apply_patch",
-    "update_code": "apply_patch",
-    "modify": "apply_patch",
-    "write_file": "apply_patch",
-    "ls": "list_files",
-    "list_directory": "list_files",
-    "find_files": "list_files",
-    "grep": "search_code",
-    "search": "search_code",
-    "find_code": "search_code",
-    "test": "run_test",
-    "pytest": "run_test",
-}
+from stepmill.functions.dims import ALIASES
+
 # Defaults that may be given or left out.
 DEFAULTS = {"list_files": {"path": ".", "max_entries": 200}, "search_code": {"path": ".", "max_results": 50}}
 BLOCK = 4096
@@ -80,7 +65,7 @@ def canonical_call(action: str | None) -> str | None:
     m = _CALL.match(action) or _BARE.match(action)
     name, body = (m[1], m[2]) if m else (action, "")
     tool = re.sub(r"[^a-z0-9]+", "_", name.strip().lower()).strip("_")
-    tool = TOOL_ALIASES.get(tool, tool)
+    tool = ALIASES.get(tool, tool)
     args = _parse(body)
     if not isinstance(args, dict):
         return f"{tool}\x00{' '.join(body.split())}"
