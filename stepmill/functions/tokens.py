@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,12 +12,13 @@ from pyspark.sql import functions as F
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pre-tokenizer pattern that belongs to the vocabulary (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_ENCODERS: dict = {}
 
 
 def encoder(path: str = TOKENIZER):
     """The encode function of a vocabulary file (.tiktoken, .model or .json), loaded once per worker process."""
-    if path not in _ENCODERS:
+    # functions are shipped by value, so a variable of this module would start empty in every task and carry the driver's encoder
+    encoders = sys.__dict__.setdefault("_stepmill_encoders", {})
+    if path not in encoders:
         if path.endswith(".tiktoken"):
             import base64
 
@@ -24,19 +26,19 @@ def encoder(path: str = TOKENIZER):
 
             with open(path, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
-            _ENCODERS[path] = tiktoken.Encoding("stepmill", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            encoders[path] = tiktoken.Encoding("stepmill", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         elif path.endswith(".model"):
             import sentencepiece
 
             sp = sentencepiece.SentencePieceProcessor(model_file=path)
-            _ENCODERS[path] = lambda text: sp.encode(text, num_threads=1)
+            encoders[path] = lambda text: sp.encode(text, num_threads=1)
         else:
             from tokenizers import Tokenizer
 
             t = Tokenizer.from_file(path)
             t.encode_special_tokens = True
-            _ENCODERS[path] = lambda text: t.encode(text, add_special_tokens=False).ids
-    return _ENCODERS[path]
+            encoders[path] = lambda text: t.encode(text, add_special_tokens=False).ids
+    return encoders[path]
 
 
 def token_ids(text: Column, path: str = TOKENIZER) -> Column:
