@@ -159,14 +159,15 @@ class Topics:
 
 
 def tokenized(src: DataFrame, vocabulary: str, topics) -> DataFrame:
-    """(doc_id, tokens as bytes, n, topic) of (doc_id, text); topics is a broadcast Topics."""
+    """(doc_id, tokens as bytes, n, topic) of (doc_id, text); topics is a broadcast of a Topics' variables."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(vocabulary)
+        encode, of = encoder(vocabulary), Topics.__new__(Topics)
+        of.__dict__.update(topics.value)
         for pdf in batches:
             items = [np.array(encode(t), dtype=np.int32) for t in pdf["text"]]
             # ids under 65,536 need two bytes
             raw = [t.astype(np.uint16).tobytes() if not len(t) or t.max() < 65536 else b"\x00" + t.tobytes() for t in items]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "tokens": raw, "n": [len(t) for t in items], "topic": topics.value.of(items)})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "tokens": raw, "n": [len(t) for t in items], "topic": of.of(items)})
 
     kind = src.schema["doc_id"].dataType.simpleString()
     return src.mapInPandas(run, f"doc_id {kind}, tokens binary, n int, topic int")
@@ -202,7 +203,7 @@ def shards_of_topics(counts: list[tuple[int, int, int]], shard_docs: int, shard_
 def sharded(documents: DataFrame, vocabulary: str, doc_id: str, text: str, shard_docs: int, shard_tokens: int) -> DataFrame:
     """(doc_id, tokens, n, shard) of every document."""
     src = documents.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    topics = src.sparkSession.sparkContext.broadcast(fit_topics(src, vocabulary))
+    topics = src.sparkSession.sparkContext.broadcast(vars(fit_topics(src, vocabulary)))  # plain arrays, so that workers need not know the class
     items = cut(tokenized(src, vocabulary, topics))
     counts = items.groupBy("topic").agg(F.count(F.lit(1)).alias("d"), F.sum("n").alias("t")).collect()  # one row per topic
     where = shards_of_topics([(r["topic"], r["d"], r["t"]) for r in counts], shard_docs, shard_tokens)
