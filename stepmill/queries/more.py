@@ -287,10 +287,14 @@ def q_j4_lookup_join(spark, d):
     return b.join(s, ["rollout_id", "step_index"]).groupBy("rollout_id", "step_index").agg(F.count("observation").alias("deliveries"), F.max("final_tokens").alias("final_tokens"))
 
 
-@query("""WITH a AS (SELECT count(*) AS n, min(kind) AS kind FROM documents WHERE lang = 'en'), b AS (SELECT count(*) AS n, min(kind) AS kind FROM documents WHERE lang = 'fr') SELECT 'kind' AS field, a.kind IS NOT DISTINCT FROM b.kind AS equal FROM a, b UNION ALL SELECT 'n', a.n IS NOT DISTINCT FROM b.n FROM a, b""")
+@query(f"""WITH {RO}, a AS (SELECT arm, count(*) AS rollouts, count(DISTINCT instance_id) AS instances, min(repo) AS first_repo FROM ro GROUP BY 1),
+ f AS (SELECT arm, unnest([{{'field': 'rollouts', 'v': rollouts::VARCHAR}}, {{'field': 'instances', 'v': instances::VARCHAR}}, {{'field': 'first_repo', 'v': first_repo}}]) AS x FROM a)
+SELECT x.field AS field, max(x.v) FILTER (arm = 'base') IS NOT DISTINCT FROM max(x.v) FILTER (arm = 'sft') AS equal FROM f GROUP BY 1""")
 def q_j9_comparable(spark, d):
-    one = lambda lang: table(spark, d, "documents").filter(F.col("lang") == lang).agg(F.count(F.lit(1)).alias("n"), F.min("kind").alias("kind"))
-    return compare.comparable(one("en"), one("fr"), ["n", "kind"])
+    """Whether two arms agree in their totals."""
+    r = _rollouts(spark, d, "arm", "instance_id", "repo")
+    one = lambda arm: r.filter(F.col("arm") == arm).agg(F.count(F.lit(1)).alias("rollouts"), F.countDistinct("instance_id").alias("instances"), F.min("repo").alias("first_repo"))
+    return compare.comparable(one("base"), one("sft"), ["rollouts", "instances", "first_repo"])
 
 
 @query(f"""WITH {ST} SELECT rollout_id, step_index, sum(coalesce(generated_tokens, 0)) OVER (PARTITION BY rollout_id ORDER BY step_index)::BIGINT AS running_tokens FROM st""")
