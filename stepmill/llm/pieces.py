@@ -84,7 +84,8 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tu
         j = nxt[i] if alive[i] else -1
         if j < 0 or version[i] != vi or version[j] != vj:
             continue
-        if size > room:
+        # the first piece repeats nothing, so the whole limit is its own
+        if size > (room if start[i] else limit):
             continue
         end[i], power[i], nxt[i] = end[j], power[j], nxt[j]
         alive[j] = False
