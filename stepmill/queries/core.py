@@ -542,7 +542,7 @@ def q_e12_rank_files(spark, d):
     return compare.rank_files(tasks, files, "task_id", text.issue_terms(F.col("problem_statement")), top=5).select("task_id", "path", F.col("score").cast("long").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("""SELECT sum(coalesce(len(steps), 0) + 1)::BIGINT AS examples, true AS masks_prompt, true AS keeps_target, true AS cut FROM trajectories""")
+@query(f"""WITH {SFT} SELECT sum(n + CASE WHEN trim(answer, E' \\n\\t\\r') <> '' THEN 1 ELSE 0 END)::BIGINT AS examples, true AS masks_prompt, true AS keeps_target, true AS cut FROM bs""")
 def q_t2_label_mask(spark, d):
     """What must hold of all examples in tokens: the mask covers the prompt's tokens, the rest are the target's, and at most the last 2,048 are kept."""
     e = examples.expand_v1(_sft(spark, d), "traj_id")
