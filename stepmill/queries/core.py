@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from stepmill.functions import calls, diff, text, tokens
 from stepmill.functions.dims import ACTION_ENVIRONMENT, CALLS, EMPTY_PATCHES, PARAMETERS, PHASE_TOOLS, ROLLOUT_ENVIRONMENT, ROLLOUT_TIMEOUT, TOOLS, WRITES
-from stepmill.operators import classify, compare, examples, metrics, sequence, splits
+from stepmill.operators import classify, compare, examples, metrics, quality, sequence, splits
 from stepmill.plans import prompts
 from stepmill.session import latest_steps, table
 from stepmill.sources import readers
@@ -157,19 +157,25 @@ def q_p5_chat_prompts(spark, d):
 PATHS = r"list_distinct(list_filter(list_concat(regexp_extract_all(patch, '(?m)^\+\+\+ (?:b/)?(.+)$', 1), regexp_extract_all(patch, '(?m)^--- (?:a/)?(.+)$', 1)), lambda p: p <> '/dev/null'))"
 
 
-@query(rf"""WITH {TJ}, p AS (SELECT traj_id, count(*) FILTER (s.tool = 'run_test') AS tests, arg_max({{'v': s.tool_success}}, pos) FILTER (s.tool = 'run_test') AS last_test, arg_max(s.arguments, pos) FILTER (s.tool = 'apply_patch') AS a FROM tj GROUP BY 1),
+ISSUES = rf"""WITH {TJ}, p AS (SELECT traj_id, count(*) FILTER (s.tool = 'run_test') AS tests, arg_max({{'v': s.tool_success}}, pos) FILTER (s.tool = 'run_test') AS last_test, arg_max(s.arguments, pos) FILTER (s.tool = 'apply_patch') AS a FROM tj GROUP BY 1),
  q AS (SELECT t.traj_id, coalesce(tests, 0) AS tests, last_test.v AS ok, coalesce(json_extract_string(a, '$.patch'), '') AS patch FROM trajectories t LEFT JOIN p USING (traj_id)), f AS (SELECT *, len({PATHS}) AS files FROM q)
 SELECT traj_id, concat_ws(',', CASE WHEN tests = 0 THEN 'missing_test' END, CASE WHEN tests > 0 AND ok IS NOT TRUE THEN 'final_test_failed' END,
- CASE WHEN lower(trim(patch)) IN ({EMPTY}) OR NOT regexp_matches(patch, '(?m)^(\+([^+-]|$)|-([^+-]|$))') THEN 'empty_patch' END, CASE WHEN files > 1 THEN 'too_many_modified_files:' || files || '>1' END) AS issues FROM f""")
+ CASE WHEN lower(trim(patch)) IN ({EMPTY}) OR NOT regexp_matches(patch, '(?m)^(\+([^+-]|$)|-([^+-]|$))') THEN 'empty_patch' END, CASE WHEN files > 1 THEN 'too_many_modified_files:' || files || '>1' END) AS issues FROM f"""
+
+
+@query(ISSUES)
 def q_f1_quality_issues(spark, d):
     """Quality gate of raw trajectories: no test, last test not passed, no patch, too many files (here more than one)."""
     t = table(spark, d, "trajectories").withColumn("steps", F.coalesce("steps", F.array()))
-    tests = F.filter("steps", lambda s: s["tool"] == "run_test")
-    last = F.get(F.reverse(tests), F.lit(0))["tool_success"]
-    patch = F.coalesce(F.get_json_object(F.get(F.reverse(F.filter("steps", lambda s: s["tool"] == "apply_patch")), F.lit(0))["arguments"], "$.patch"), F.lit(""))
-    files = F.size(text.patch_headers(patch))
-    issues = F.concat_ws(",", F.when(F.size(tests) == 0, "missing_test"), F.when((F.size(tests) > 0) & ~F.coalesce(last, F.lit(False)), "final_test_failed"), F.when(~text.has_patch(patch) | ~text.patch_has_body(patch), "empty_patch"), F.when(files > 1, F.concat(F.lit("too_many_modified_files:"), files.cast("string"), F.lit(">1"))))
-    return t.select("traj_id", issues.alias("issues"))
+    return t.select("traj_id", F.array_join(quality.quality_issues(F.col("steps"), quality.last_patch(F.col("steps")), 1), ",").alias("issues"))
+
+
+@query(rf"""WITH {ST}, {RO}, p AS (SELECT rollout_id, count(*) FILTER (executed_tool = 'run_test') AS tests, arg_max({{'v': tool_success}}, step_index) FILTER (executed_tool = 'run_test') AS last_test FROM st GROUP BY 1), f AS (SELECT rollout_id, tests, last_test.v AS ok, coalesce(patch, '') AS patch FROM ro JOIN p USING (rollout_id))
+SELECT rollout_id FROM f WHERE tests > 0 AND ok AND lower(trim(patch)) NOT IN ({EMPTY}) AND regexp_matches(patch, '(?m)^(\+([^+-]|$)|-([^+-]|$))') AND len({PATHS}) <= 3""")
+def q_f2_quality_filter(spark, d):
+    """Rollouts that pass the gate with their own patch."""
+    s = _steps(spark, d, "executed_tool", "tool_success").groupBy("rollout_id").agg(F.array_sort(F.collect_list(F.struct("step_index", F.col("executed_tool").alias("tool"), "tool_success"))).alias("steps"))
+    return quality.quality_filter(_rollouts(spark, d, "patch").join(s, "rollout_id"), "steps", "patch").select("rollout_id")
 
 
 @query(rf"""SELECT task_id, CASE WHEN patch IS NOT NULL THEN array_to_string(list_sort({PATHS}), ',') END AS headers,

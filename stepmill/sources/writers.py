@@ -5,14 +5,32 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+import uuid
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_text(path: str, content: str) -> None:
-    """Atomic: a temporary file in the same folder is renamed over the target."""
+def write_text(path: str, content: str, spark: SparkSession | None = None) -> None:
+    """Atomic: a temporary file in the same folder is renamed over the target.
+
+    With a session the path is one of the cluster's file systems, else one of this machine.
+    """
+    if spark is not None:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        target, tmp = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.tmp-{uuid.uuid4().hex}")
+        out = tmp.getFileSystem(conf).create(tmp, True)
+        try:
+            out.write(bytearray(content.encode()))
+        finally:
+            out.close()
+        rename = jvm.org.apache.hadoop.fs.Options.Rename
+        options = spark.sparkContext._gateway.new_array(rename, 1)
+        options[0] = rename.OVERWRITE
+        files = target.getFileSystem(conf)
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), conf).rename(files.makeQualified(tmp), files.makeQualified(target), options)
+        return
     folder = os.path.dirname(os.path.abspath(path))
     os.makedirs(folder, exist_ok=True)
     fd, tmp = tempfile.mkstemp(dir=folder, prefix=".tmp-")
@@ -27,8 +45,8 @@ def write_text(path: str, content: str) -> None:
         raise
 
 
-def write_report(path: str, report: Mapping) -> None:
-    write_text(path, json.dumps(report, ensure_ascii=False, indent=2, default=str) + "\n")
+def write_report(path: str, report: Mapping, spark: SparkSession | None = None) -> None:
+    write_text(path, json.dumps(report, ensure_ascii=False, indent=2, default=str) + "\n", spark)
 
 
 def write_jsonl(df: DataFrame, path: str, canonical: bool = True, mode: str = "overwrite") -> None:

@@ -99,3 +99,11 @@ def test_streams(spark, tmp_path):
     q = tool_counts(spark.readStream.schema(steps.schema).parquet(src)).writeStream.format("memory").queryName("counts").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp3")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [(r["tool"], r["steps"], r["failures"]) for r in spark.table("counts").collect()] == [("read_file", 2, 1)]
+
+
+def test_text_on_a_shared_file_system(spark, tmp_path):
+    target = f"file://{tmp_path}/deep/report.json"
+    for value in (1, 2):
+        writers.write_report(target, {"v": value}, spark)
+        assert json.loads((tmp_path / "deep/report.json").read_text()) == {"v": value}
+    assert not [p for p in (tmp_path / "deep").iterdir() if "tmp-" in p.name and not p.name.startswith(".")]
