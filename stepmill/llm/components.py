@@ -93,20 +93,26 @@ def related_groups(tasks: DataFrame, aliases: DataFrame) -> DataFrame:
     """
     t = tasks.filter("task_id IS NOT NULL").select("task_id", F.coalesce(repo_key(F.col("repo")), instance_repo_key(F.col("instance_id"))).alias("r"), clean_commit(F.col("base_commit")).alias("commit"))
     keys = commit_key(tasks, "base_commit")
-    t = cut(t.join(keys, "commit", "left").select("task_id", "r", F.col("commit_key").alias("c")))
+    t = cut(_left_join(t, keys, "commit").select("task_id", "r", F.col("commit_key").alias("c")))
     rc = t.filter("r IS NOT NULL AND c IS NOT NULL").groupBy("c", "r").agg(F.lit(1).alias("one"))
     by_commit = rc.groupBy("c").agg(F.min("r").alias("first_r"), F.count("r").alias("n"))
     links = rc.join(by_commit.filter("n > 1"), "c").filter("r <> first_r").select(F.col("first_r").alias("src"), F.col("r").alias("dst"))
     renames = aliases.select(repo_key(F.col("old_repo")).alias("src"), repo_key(F.col("new_repo")).alias("dst"))
     comp = hash_to_min(links.unionByName(renames).distinct())
     # a commit's node is its first repository, if it has one
-    nodes = t.join(by_commit.select("c", "first_r"), "c", "left").withColumn("node", F.coalesce("r", "first_r", F.concat(F.lit("commit "), "c"), F.concat(F.lit("task "), F.col("task_id").cast("string"))))
+    nodes = _left_join(t, by_commit.select("c", "first_r"), "c").withColumn("node", F.coalesce("r", "first_r", F.concat(F.lit("commit "), "c"), F.concat(F.lit("task "), F.col("task_id").cast("string"))))
     nodes = nodes.groupBy("node", "task_id").agg(F.lit(1).alias("one"))
     firsts = nodes.groupBy("node").agg(F.min("task_id").alias("least")).join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     labels = firsts.join(firsts.groupBy("component").agg(F.min("least").alias("group")), "component").select("node", "group")
     return nodes.join(labels, "node").groupBy("task_id").agg(F.min("group").alias("group"))
 
 
+def _left_join(tasks: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left join by a text key; tasks without one match nothing and are spread by their id instead of meeting in one task."""
+    spread = F.coalesce(F.col(key), F.concat(F.lit("\x00"), F.col("task_id").cast("string")))
+    return tasks.withColumn("__key", spread).join(right.withColumnRenamed(key, "__key"), "__key", "left").drop("__key")
+
+
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
 
 
