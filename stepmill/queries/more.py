@@ -209,7 +209,14 @@ def q_e11_read_lines(spark, d):
     return t.select("doc_id", F.regexp_replace(files.read_lines(F.col("text"), F.lit(2), F.lit(4)), r"\n\z", "").alias("part"))
 
 
-@query()
+@query(r"""WITH l AS (SELECT task_id, unnest(range(len(ls))) AS i, unnest(ls) AS x FROM (SELECT task_id, string_split(patch, chr(10)) AS ls FROM tasks)), p AS (SELECT *, lag(x) OVER (PARTITION BY task_id ORDER BY i) AS prev FROM l),
+ hd AS (SELECT task_id, i, CASE WHEN nw <> '/dev/null' THEN nw ELSE od END AS path FROM (SELECT task_id, i, regexp_extract(x, '^\+\+\+ (?:b/)?([^\t]+)', 1) AS nw, regexp_extract(prev, '^--- (?:a/)?([^\t]+)', 1) AS od FROM p WHERE x LIKE '+++ %' AND prev LIKE '--- %')),
+ hk AS (SELECT task_id, i, regexp_extract(x, '^@@ -(\d+)', 1)::INT AS ln, coalesce(nullif(regexp_extract(x, '^@@ -\d+,(\d+)', 1), ''), '1')::INT AS n FROM l WHERE regexp_matches(x, '^@@ -(\d+)(,(\d+))? \+(\d+)(,(\d+))? @@')),
+ r AS (SELECT hk.task_id, path, greatest(1, ln - 30) AS a, ln + greatest(n - 1, 0) + 30 AS b FROM hk ASOF JOIN hd ON hk.task_id = hd.task_id AND hk.i >= hd.i WHERE NOT regexp_matches(path, '^/|(^|/)\.\.(/|$)')),
+ w AS (SELECT *, max(b) OVER (PARTITION BY task_id, path ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM r), g AS (SELECT *, sum(CASE WHEN a <= m + 20 THEN 0 ELSE 1 END) OVER (PARTITION BY task_id, path ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM w),
+ m AS (SELECT task_id, path, coalesce(nullif(regexp_replace(path, '/?[^/]*$', ''), ''), '.') AS folder, min(a) AS a, max(b) AS b FROM g GROUP BY task_id, path, k),
+ u AS (SELECT task_id, min(path) AS path, 0 AS o, 'list_files' AS tool, folder AS target, NULL::INT AS s, NULL::INT AS e FROM m GROUP BY task_id, folder UNION ALL SELECT task_id, path, 1, 'read_file', path, a, b FROM m UNION ALL SELECT DISTINCT task_id, chr(65535), 2, 'apply_patch', NULL, NULL::INT, NULL::INT FROM m)
+SELECT task_id, (row_number() OVER (PARTITION BY task_id ORDER BY path, o, s, target) - 1)::INT AS step_index, tool, target AS path, s AS start, e AS "end" FROM u""")
 def q_e8_navigation_plan(spark, d):
     sec = diff.file_sections(table(spark, d, "tasks"), "task_id", "patch")
     return files.navigation_plan(diff.merge_ranges(diff.hunk_ranges(sec, "task_id"), ["task_id", "path"]), "task_id")
