@@ -1,15 +1,21 @@
 """Same or near-same records across splits (problem 2).
 
-Exact prefix-filter bipartite join on rare shingles. Texts become words; equal texts form one class; of every class the
-rarest shingles are kept that any partner must hit several times, evaluation classes being the index and training classes
-the probe; length, rank and position filters act on every hit, and the longest common subsequence of the words is
-verified on what is left. The shingles are so short that the bound holds for every layout of the edits.
+Texts become words once; equal texts form one class and of each class only the places of its words in a table of 2^16 are
+kept. Evaluation and training classes are packed into blocks by length and every pair of blocks is compared in place: a
+matrix product gives for each pair of classes an upper bound of the words that both hold, so nothing is moved for pairs that
+can't be near. What passes is counted word by word, and the longest common subsequence of the words, read again for these
+classes alone, is verified. The bound holds for every layout of the edits.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import re
+import unicodedata
+import zlib
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,14 +26,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stepmill.functions.text import split_class
-from stepmill.session import cut
+from stepmill.session import broadcast_below, cut
 
 #: More than this share of the words of both must agree in order.
 RATIO = 0.75
-#: Words of a shingle, and hits in the prefixes that a candidate must have, by kind of text.
-WIDTHS, TIMES = {"problem_statement": 2, "steps": 1}, {"problem_statement": 6, "steps": 8}
-#: Places of the frequency sketch, hits that are expanded at once, shingles that a task handles at once.
-SKETCH, CHUNK, BUCKET = 1 << 20, 1 << 17, 300_000
+#: Places of the words, levels of a bin, words of a block (MOST at most, for many blocks), texts of each side that are compared at once.
+PLACES, LEVELS, BUCKET, MOST, CHUNK = 1 << 16, 12, 1 << 20, 1 << 23, 4096
 
 
 def normal_words(text: Column) -> Column:
@@ -38,10 +42,50 @@ def normal_words(text: Column) -> Column:
     return F.regexp_replace(t, " +", " ")
 
 
-def steps_words(steps: Column) -> Column:
-    """Words of all tools, arguments and observations of an array of steps, in order. Escaped line ends count as blanks."""
-    one = lambda s: F.concat_ws(" ", s["tool"], F.regexp_replace(s["arguments"], r"\\[nrt]", " "), s["observation"])
-    return normal_words(F.array_join(F.transform(steps, one), " "))
+def steps_text(steps: Column) -> Column:
+    """All tools, arguments and observations of an array of steps, in order; escaped line ends of arguments are blanks. NULL without steps."""
+    blank = lambda c: F.replace(F.replace(F.replace(c, F.lit("\\n"), F.lit(" ")), F.lit("\\r"), F.lit(" ")), F.lit("\\t"), F.lit(" "))
+    return F.when(F.size(steps) > 0, F.array_join(F.transform(steps, lambda s: F.concat_ws(" ", s["tool"], blank(s["arguments"]), s["observation"])), " "))
+
+
+class _Kept(dict):
+    """Code points of letters, marks, digits and underscores stay, any other becomes a blank."""
+
+    def __missing__(self, c: int) -> int:
+        self[c] = c if c == 95 or unicodedata.category(chr(c))[0] in "LMN" else 32
+        return self[c]
+
+
+class _Places(dict):
+    """The place of a word, of PLACES."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        p = self[word] = (zlib.crc32(word.encode("utf-8", "surrogatepass")) * 0x9E3779B1 >> 12) % PLACES
+        return p
+
+
+class _Parts(dict):
+    """The words of a word with underscores, without those of emphasis."""
+
+    def __missing__(self, word: str) -> list[str]:
+        if len(self) > 100_000:
+            self.clear()
+        p = self[word] = _EMPHASIS.sub(" ", word).split()
+        return p
+
+
+_KEPT, _PLACES, _PARTS = _Kept(), _Places(), _Parts()
+_MARKUP, _EMPHASIS = re.compile(r"</?[a-z][^<>\n]*>|&(?:[a-z]{2,8}|#[0-9]{1,6});"), re.compile(r"(?<![^\W_])_+|_+(?!\w)")
+
+
+def words_of(text: str) -> list[str]:
+    """The words of `normal_words`, of a text in lower case."""
+    if "<" in text or "&" in text:
+        text = _MARKUP.sub(" ", text)
+    words = text.translate(_KEPT).split()
+    return [x for w in words for x in (_PARTS[w] if "_" in w else (w,))] if "_" in text else words
 
 
 def lcs(a: list, b: list, least: int = 0) -> int:
@@ -102,287 +146,169 @@ def always_shared(words: np.ndarray, width: int, r: float) -> np.ndarray:
     return shared_shingles(words + np.ceil(words * (r / (2 - r)) - 1e-9), width, r)
 
 
-def most_words(words: np.ndarray, rank: np.ndarray, width: np.ndarray, times: np.ndarray, r: float) -> np.ndarray:
-    """Words that a partner may have at most for the shingle of this rank to be in the prefix that the pair needs."""
-    slope = np.ones(len(words))
-    for w in np.unique(width):
-        slope[width == w] = _slope(int(w), r)
-    return np.ceil((words + times - rank - 1) / slope - 1e-9).astype(np.int64) - 1 - words
-
-
 def short_words(width: int, r: float) -> int:
     """Texts of at most so many words may share no shingle with a partner that is as short; they meet on single words."""
     return math.ceil((width - 1) / _slope(width, r)) - 1
 
 
-_ODD, _ODD2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-_HASHES: dict[str, int] = {}
-
+class _Bound:
+    """For texts as places of words: a matrix product that is positive for every pair whose ratio can exceed r.
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(_ODD2)
-    return x ^ (x >> np.uint64(29))
+    Places are put together in bins, a frequent one for itself. A column says whether a text has more than `level` words of
+    a bin, so that the product of two rows counts words which both may hold, at least as many as they do hold. Words in no
+    column count as held by both, half the words of either. The columns that tell texts apart best in a sample are taken; any
+    choice is exact.
+    """
 
+    def __init__(self, sample: list[np.ndarray], columns: int, r: float):
+        self.r, self.bins = r, columns * 5 // 8
+        often = np.bincount(np.concatenate(sample), minlength=PLACES)
+        order = np.argsort(-often, kind="stable")
+        own = min(int((often >= often.sum() / self.bins).sum()), self.bins // 2)
+        self.bin = np.empty(PLACES, np.int64)
+        self.bin[order[:own]] = np.arange(own)
+        self.bin[order[own:]] = own + np.arange(PLACES - own) % (self.bins - own)
+        counts = self.counts(sample)
+        share = np.stack([(counts > level).mean(0) for level in range(LEVELS)])
+        best = np.argsort(-(share * (1 - share)).ravel(), kind="stable")[:columns]
+        self.level, self.of = (best // self.bins).astype(np.uint8), best % self.bins
+
+    def counts(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Words by text and bin, LEVELS at most."""
+        row = np.repeat(np.arange(len(texts)) * self.bins, [len(x) for x in texts])
+        row += self.bin[np.concatenate(texts)]
+        counts = np.bincount(row, minlength=len(texts) * self.bins)
+        return np.minimum(counts, LEVELS, out=counts).astype(np.uint8).reshape(-1, self.bins)
+
+    def rows(self, texts: list[np.ndarray], side: int) -> np.ndarray:
+        out = np.ones((len(texts), len(self.of) + 2), np.float32)
+        held = self.counts(texts).take(self.of, axis=1) > self.level
+        out[:, :-2] = held
+        words = np.array([len(x) for x in texts])
+        out[:, -1 - side] = (words - np.count_nonzero(held, axis=1)) / 2 - words * (self.r / 2) + (1 / 16 + words / 4096)  # more than 32-bit sums can lose
+        return out
+
+
+def _spread(texts: list[np.ndarray], n: int) -> list[np.ndarray]:
+    return texts[:: -(-len(texts) // n)]
+
+
+def _bound(e: list[np.ndarray], t: list[np.ndarray], r: float) -> _Bound:
+    """A bound with two columns a word or more, as long as a sample shows that too many pairs pass."""
+    a, b = _spread(e, 256), _spread(t, 512)
+    least = 2 * sum(map(len, a + b)) // len(a + b)
+    columns = min(8192, least // 64 * 64 + 64)
+    while True:
+        bound = _Bound(a + b, columns, r)
+        passed = np.count_nonzero(bound.rows(a, 0) @ bound.rows(b, 1).T > 0)
+        if columns >= min(8192, 6 * least) or passed <= 2e-5 * len(a) * len(b) + 2:
+            return bound
+        columns = min(8192, columns * 5 // 4 // 64 * 64 + 64)
+
+
+def _near(e: list[np.ndarray], t: list[np.ndarray], r: float, chunk: int) -> Iterator[tuple[int, int]]:
+    """(evaluation text, training text) that hold more than the share r of their words in common, order aside; both come sorted by length."""
+    t_words = np.array([len(x) for x in t])
+    for at in range(0, len(e), chunk):
+        part = e[at : at + chunk]
+        low = np.searchsorted(t_words, math.ceil(len(part[0]) * (r / (2 - r)) - 1e-9), "left")
+        high = np.searchsorted(t_words, math.floor(len(part[-1]) * ((2 - r) / r) + 1e-9), "right")
+        if low >= high:
+            continue
+        bound = _bound(part, t[low:high], r)
+        step = max(1, min(chunk, (1 << 22) // len(bound.of)))
+        for i in range(0, len(part), step):
+            left, i_high = bound.rows(part[i : i + step], 0), np.searchsorted(t_words, math.floor(len(part[min(i + step, len(part)) - 1]) * ((2 - r) / r) + 1e-9), "right")
+            i_low = np.searchsorted(t_words, math.ceil(len(part[i]) * (r / (2 - r)) - 1e-9), "left")
+            for j in range(i_low, i_high, step):
+                x, y = np.divmod(np.flatnonzero((left @ bound.rows(t[j : min(j + step, i_high)], 1).T).ravel() > 0), min(step, i_high - j))
+                last, held = -1, Counter()
+                for p, q in zip(x.tolist(), y.tolist()):
+                    u, v = part[i + p], t[j + q]
+                    least = int(needed(len(u) + len(v), r))
+                    if min(len(u), len(v)) < least:
+                        continue
+                    if p != last:
+                        last, held = p, Counter(u.tolist())
+                    if (held & Counter(v.tolist())).total() >= least:
+                        yield at + i + p, j + q
+
+
+_BLOCK = "kind string, low int, high int, words binary, classes binary, places binary"
+
+
+def blocks(texts: DataFrame, words: int, size: int) -> DataFrame:
+    """Blocks of (kind, class, words, places), in order of length, of about `size` of all words each; a class counts once."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        total, last = 0, None
 
-def _hash(word: str) -> int:
-    h = _HASHES.get(word)
-    if h is None:
-        if len(_HASHES) > 300_000:
-            _HASHES.clear()
-        h = _HASHES[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-    return h
+        def out() -> pa.RecordBatch:
+            n = [x[2] for x in held]
+            row = [held[0][0], n[0], n[-1], array("i", n).tobytes(), b"".join(x[1] for x in held), b"".join(x[3] for x in held)]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["kind", "low", "high", "words", "classes", "places"])
 
+        for batch in batches:
+            for row in zip(*(batch.column(k).to_pylist() for k in ("kind", "class", "words", "places"))):
+                if row[:2] == last:
+                    continue
+                if held and (row[0] != last[0] or total + row[2] > 2 * size):
+                    yield out()
+                    total = 0
+                held.append(row)
+                total, last = total + row[2], row[:2]
+        if held:
+            yield out()
 
-def _shingles(batch: pa.RecordBatch) -> Iterator[tuple]:
-    """(first row, rows, row, token, position) of stretches of rows of about a million words.
+    parts = max(1, -(-words // size))
+    return cut(texts.select("kind", "words", "class", "places").repartitionByRange(parts, "kind", "words", "class").sortWithinPartitions("kind", "words", "class").mapInArrow(pack, _BLOCK))
 
-    A token is a shingle with the number of its occurrence in the text; the position is -1 where the shingle is repeated.
-    """
-    texts, widths, spaces = batch.column("text").to_pylist(), batch.column("width").to_numpy(), batch.column("space").to_numpy()
-    at = 0
-    while at < len(texts):
-        hashes, sizes, end = [], [], at
-        while end < len(texts) and len(hashes) < 1_000_000:
-            w = texts[end].split(" ")
-            hashes.extend(map(_hash, w))
-            sizes.append(len(w))
-            end += 1
-        h = np.array(hashes, dtype=np.uint64)
-        n = np.array(sizes)
-        row = np.repeat(np.arange(end - at), n)
-        position = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
-        width = widths[at:end][row]
-        g = _mixed(h + spaces[at:end][row].astype(np.uint64) * np.uint64(_ODD))
-        for k in range(1, int(widths[at:end].max())):
-            more = (width > k)[: len(g) - k]
-            g[: len(g) - k][more] = _mixed(g[: len(g) - k] * np.uint64(_ODD) + h[k:])[more]
-        keep = position + width <= n[row]
-        row, g, position = row[keep], g[keep], position[keep]
-        order = np.lexsort((g, row))
-        row, g, position = row[order], g[order], position[order]
-        first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (g[1:] != g[:-1])]) if len(g) else np.zeros(0, int)
-        count = np.diff(np.r_[first, len(g)])
-        occurrence = np.arange(len(g)) - np.repeat(first, count)
-        token = _mixed(g + occurrence.astype(np.uint64) * np.uint64(_ODD))
-        yield at, end - at, row, token, np.where(np.repeat(count, count) > 1, -1, position)
-        at = end
-
-
-def _sketch(texts: DataFrame) -> np.ndarray:
-    """Cost of a shingle by place of its hash: evaluation texts times training texts that hold it; 0 if one side lacks it.
-
-    The sketch has SKETCH places whatever the size of the data, so it is small enough to broadcast. It only orders the
-    shingles, and any order that all texts share gives the exact result.
-    """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, t = np.zeros(SKETCH, np.int64), np.zeros(SKETCH, np.int64)
-        for batch in batches:
-            is_eval, is_train = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("is_eval", "is_train"))
-            for at, _, row, token, _ in _shingles(batch):
-                place = (token & np.uint64(SKETCH - 1)).astype(np.int64)
-                e += np.bincount(place[is_eval[at + row]], minlength=SKETCH)
-                t += np.bincount(place[is_train[at + row]], minlength=SKETCH)
-        (used,) = np.nonzero(e + t)
-        for i in range(0, len(used), 65536):
-            k = used[i : i + 65536]
-            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(e[k]), pa.array(t[k])], ["place", "e", "t"])
-
-    counts = texts.select("text", "width", "space", "is_eval", "is_train").mapInArrow(count, "place int, e long, t long")
-    both = counts.groupBy("place").agg((F.sum("e").cast("double") * F.sum("t")).alias("cost")).filter("cost > 0").toPandas()
-    out = np.zeros(SKETCH, np.float32)
-    out[both["place"].to_numpy(dtype=np.int64)] = both["cost"].to_numpy(dtype=np.float32)
-    return out
-
-
-def prefixes(texts: DataFrame, sketch, r: float, buckets: int) -> DataFrame:
-    """(bucket, g, id, words, width, times, p, rank, is_eval): the cheapest shingles of each text that a partner must hit `times` times.
-
-    Shingles of one side only cannot link; they come first in the order and are not given. A shingle that would give more
-    than 128 * CHUNK hits is spread over several buckets by its training texts, its evaluation texts go to all of them.
-    """
+def candidates(e: DataFrame, t: DataFrame, r: float, chunk: int) -> DataFrame:
+    """(kind, eval_class, train_class) of different classes whose words agree by more than r, order aside, from their blocks.
 
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cost = sketch.value
-        for batch in batches:
-            c = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("id", "words", "width", "times", "is_eval", "is_train")}
-            for at, rows, row, token, p in _shingles(batch):
-                value = cost[(token & np.uint64(SKETCH - 1)).astype(np.int64)]
-                order = np.lexsort((token, value, row))
-                row, token, p, value = row[order], token[order], p[order], value[order]
-                size = np.bincount(row, minlength=rows)
-                rank = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-                words, width = c["words"][at : at + rows].astype(np.int64), c["width"][at : at + rows]
-                least = np.ones(rows, np.int64)
-                for w in np.unique(width):
-                    least = np.where(width == w, always_shared(words, int(w), r), least)
-                keep = (rank < (size - least + np.minimum(least, c["times"][at : at + rows]))[row]) & (value > 0)
-                row, token, p, rank, value = row[keep], token[keep], p[keep], rank[keep], value[keep]
-                salts = np.maximum(1, np.ceil(value / (128.0 * CHUNK))).astype(np.int64)
-                source = at + row
-                for side in (True, False):
-                    mine = np.flatnonzero(c["is_eval"][source] if side else c["is_train"][source])
-                    k = salts[mine]
-                    if side:
-                        salt = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-                        mine = np.repeat(mine, k)
-                    else:
-                        salt = (_mixed(c["id"][source[mine]].astype(np.uint64) * np.uint64(_ODD)) % k.astype(np.uint64)).astype(np.int64)
-                    g = token[mine]
-                    bucket = (_mixed(g + salt.astype(np.uint64) * np.uint64(_ODD)) % np.uint64(buckets)).astype(np.int32)
-                    for i in range(0, len(mine), 65536):
-                        j = slice(i, i + 65536)
-                        s = source[mine[j]]
-                        cols = [bucket[j], g[j].view(np.int64), c["id"][s], c["words"][s], c["width"][s], c["times"][s], p[mine[j]].astype(np.int32), rank[mine[j]].astype(np.int32)]
-                        yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(np.full(len(s), side))], ["bucket", "g", "id", "words", "width", "times", "p", "rank", "is_eval"])
-
-    return texts.select("text", "width", "space", "id", "words", "times", "is_eval", "is_train").mapInArrow(take, "bucket int, g long, id long, words int, width int, times int, p int, rank int, is_eval boolean")
-
-
-def _hits(e: dict, t: dict, r: float, dtype) -> Iterator[pa.RecordBatch]:
-    """Training ids with the evaluation ids that they hit, as bytes, of one bucket. t is sorted by id.
-
-    Evaluation shingles lie by shingle and words, so that the length and rank filters of the training side cut a slice;
-    the rank filter of the evaluation side and the position filter look at each hit.
-    """
-    names, e_gram = np.unique(e["g"], return_inverse=True)
-    if not len(names) or not len(t["g"]):
-        return
-    t_gram = np.minimum(np.searchsorted(names, t["g"]), len(names) - 1)
-    key = (e_gram << 33) + e["words"]
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    low = np.ceil(t["words"] * (r / (2 - r)) - 1e-9).astype(np.int64)
-    high = np.minimum(np.floor(t["words"] * ((2 - r) / r) + 1e-9).astype(np.int64), most_words(t["words"], t["rank"], t["width"], t["times"], r))
-    start = np.searchsorted(key, (t_gram << 33) + low, "left")
-    size = np.searchsorted(key, (t_gram << 33) + np.maximum(high, 0), "right") - start
-    size = np.where(names[t_gram] == t["g"], np.maximum(size, 0), 0)
-    e_most, e_id = most_words(e["words"], e["rank"], e["width"], e["times"], r)[order], e["id"][order].astype(dtype)
-    e_words, e_p = e["words"][order].astype(np.int32), e["p"][order].astype(np.int32)
-    e_most = np.clip(e_most, -1, 2**31 - 1).astype(np.int32)
-    t_words, t_p = t["words"].astype(np.int32), t["p"].astype(np.int32)
-    least = np.minimum(t["times"], t["least"]).astype(np.int32)
-    (k_all,) = np.nonzero(size)
-    total = np.cumsum(size[k_all])
-    packed, ends, owners, leasts, at = [], [], [], [], 0
-
-    def out() -> pa.RecordBatch:
-        ids = np.concatenate(packed)
-        offsets = np.r_[0, np.cumsum(np.concatenate(ends))] * ids.itemsize
-        hit = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(ids)])
-        batch = pa.RecordBatch.from_arrays([pa.array(np.concatenate(owners)), pa.array(np.concatenate(leasts)), hit], ["id", "least", "hit"])
-        for x in (packed, ends, owners, leasts):
-            x.clear()
-        return batch
-
-    while at < len(total):
-        before = total[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(total, before + CHUNK, "right")))
-        k = k_all[at:end]
-        n = size[k]
-        i = np.repeat(start[k] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        k = np.repeat(k, n)
-        ep, tp, en, tn = e_p[i], t_p[k], e_words[i], t_words[k]
-        shift, more = ep - tp, en - tn
-        agree = en - np.maximum(shift, 0) - np.maximum(more - shift, 0)
-        ok = ((2 * agree > r * (en + tn)) | ((ep | tp) < 0)) & (tn <= e_most[i])
-        ids, k = e_id[i[ok]], k[ok]
-        differ = ids != t["id"][k]
-        if not differ.all():
-            ids, k = ids[differ], k[differ]
-        if len(k):
-            owner = t["id"][k]
-            first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            packed.append(ids)
-            ends.append(np.diff(np.r_[first, len(k)]))
-            owners.append(owner[first])
-            leasts.append(least[k[first]])
-            if sum(map(len, packed)) > 8 * CHUNK:
-                yield out()
-        at = end
-    if packed:
-        yield out()
-
-
-def candidates(prefix: DataFrame, r: float, buckets: int, wide: bool) -> DataFrame:
-    """(t, e, hits) of classes that hit each other at least once within the filters, from the prefixes.
-
-    The hits of a bucket are expanded in chunks and grouped by training text; they are moved once, as packed ids, and
-    counted where all hits of a training text meet.
+    Every pair of blocks of one kind with lengths in reach meets in one task; blocks are read where they lie and not moved.
     """
-    dtype, names = (np.int64 if wide else np.int32), ("g", "id", "words", "width", "times", "p", "rank", "is_eval")
 
-    def by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-        """The rows of each key value; rows come sorted by key."""
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            k = batch.column(key).to_numpy()
-            cuts = np.r_[0, np.flatnonzero(k[1:] != k[:-1]) + 1, len(k)]
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                if a == b:
-                    continue
-                if held and held[-1].column(key)[0].as_py() != k[a]:
-                    yield pa.Table.from_batches(held)
-                    held = []
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield pa.Table.from_batches(held)
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in by_key(batches, "bucket"):
-            c = {k: table.column(k).to_numpy() for k in names}
-            c |= {k: c[k].astype(np.int64) for k in names[2:-1]}
-            c["least"] = np.ones(len(c["g"]), np.int64)
-            for w in np.unique(c["width"]):
-                c["least"] = np.where(c["width"] == w, always_shared(c["words"], int(w), r), c["least"])
-            e, t = np.flatnonzero(c["is_eval"]), np.flatnonzero(~c["is_eval"])
-            e, t = e[np.argsort(c["g"][e], kind="stable")], t[np.argsort(c["id"][t], kind="stable")]
-            yield from _hits({k: v[e] for k, v in c.items()}, {k: v[t] for k, v in c.items()}, r, dtype)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        owner, parts, rows, held = None, [], [], 0
-
-        def close() -> None:
-            nonlocal held
-            if parts:
-                e, n = np.unique(np.concatenate(parts), return_counts=True)
-                e = e[n >= owner[1]].astype(np.int64)
-                rows.append((np.full(len(e), owner[0]), e))
-                held += len(e)
-                parts.clear()
-
-        def out() -> pa.RecordBatch:
-            nonlocal held
-            t, e = (np.concatenate(x) for x in zip(*rows))
-            rows.clear()
-            held = 0
-            return pa.RecordBatch.from_arrays([pa.array(t), pa.array(e)], ["t", "e"])
+    def texts(words: bytes, places: bytes) -> list[np.ndarray]:
+        return np.split(np.frombuffer(places, np.uint16), np.cumsum(np.frombuffer(words, np.int32))[:-1])
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, least, hit in zip(batch.column("id").to_pylist(), batch.column("least").to_pylist(), batch.column("hit")):
-                if owner is None or i != owner[0]:
-                    close()
-                    if held > 100_000:
-                        yield out()
-                owner = i, least
-                parts.append(np.frombuffer(hit.as_buffer(), dtype=dtype))
-        close()
-        if rows:
-            yield out()
-
-    hits = prefix.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(join, "id long, least int, hit binary")
-    return hits.repartition(buckets, "id").sortWithinPartitions("id").mapInArrow(count, "t long, e long")
+            for kind, e_words, e_classes, e_places, t_words, t_classes, t_places in zip(*(c.to_pylist() for c in batch.columns)):
+                rows = []
+                for i, j in _near(texts(e_words, e_places), texts(t_words, t_places), r, chunk):
+                    if (a := e_classes[16 * i : 16 * i + 16]) != (b := t_classes[16 * j : 16 * j + 16]):
+                        rows.append((kind, a, b))
+                    if len(rows) >= 65536:
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, zip(*rows))], ["kind", "eval_class", "train_class"])
+                        rows = []
+                if rows:
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, zip(*rows))], ["kind", "eval_class", "train_class"])
+
+    a, b = e.select(*(F.col(k).alias(f"e_{k}") for k in e.columns)), t.select(*(F.col(k).alias(f"t_{k}") for k in t.columns))
+    reach = (F.col("e_high") >= F.ceil(F.col("t_low") * (r / (2 - r)) - 1e-9)) & (F.col("t_high") >= F.ceil(F.col("e_low") * (r / (2 - r)) - 1e-9))
+    both = a.join(b.hint("shuffle_replicate_nl"), (F.col("e_kind") == F.col("t_kind")) & reach)
+    return both.select("e_kind", "e_words", "e_classes", "e_places", "t_words", "t_classes", "t_places").mapInArrow(compare, "kind string, eval_class binary, train_class binary")
 
 
 def _verify(r: float):
+    order = short_words(2, r) if r > 2 / 3 else math.inf
+
     @F.pandas_udf(T.DoubleType())
     def verify(a: pd.Series, b: pd.Series) -> pd.Series:
-        out, last, words = [], None, []
+        out, last, words, pairs = [], None, [], Counter()
         for x, y in zip(a, b):
             if x != last:
                 last, words = x, x.split(" ")
+                pairs = Counter(zip(words, words[1:]))
             y = y.split(" ")
             n = len(words) + len(y)
+            if n > order and (pairs & Counter(zip(y, y[1:]))).total() < shared_shingles(n, 2, r):
+                out.append(None)
+                continue
             least = int(needed(n, r))
             same = lcs(words, y, least)
             out.append(2 * same / n if same >= least else None)
@@ -391,61 +317,80 @@ def _verify(r: float):
     return verify
 
 
-def near_links(texts: DataFrame, r: float = RATIO, widths: dict | None = None, times: dict | None = None) -> DataFrame:
-    """(kind, eval_class, train_class, ratio) of different classes of one kind with ratio > r, of (kind, class, text, words, is_train, is_eval).
+def _raw(trajectories: DataFrame) -> DataFrame:
+    """(traj_id, repo, split, instance, problem_statement, steps), texts in lower case, of the rows in a split."""
+    instance = F.lower(F.trim("instance_id"))
+    t = trajectories.filter("traj_id IS NOT NULL").select("traj_id", "repo", split_class(F.col("split")).alias("split"), F.when(instance != "", F.unhex(F.md5(instance.cast("binary")))).alias("instance"), F.lower("problem_statement").alias("problem_statement"), F.lower(steps_text(F.col("steps"))).alias("steps"))
+    return t.filter("split IS NOT NULL")
+
+
+def members_of(trajectories: DataFrame) -> DataFrame:
+    """(traj_id, repo, split, is_train, kind, class, words, places) of every value that is not empty; words and places are NULL for an instance_id."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = _PLACES.__getitem__
+        for batch in batches:
+            at, kinds, classes, sizes, places = [], [], [], [], []
+            for i, c in enumerate(batch.column("instance").to_pylist()):
+                if c is not None:
+                    at.append(i), kinds.append("instance_id"), classes.append(c), sizes.append(None), places.append(None)
+            for kind in ("problem_statement", "steps"):
+                for i, text in enumerate(batch.column(kind)):
+                    if w := words_of(text.as_py() or ""):
+                        at.append(i), kinds.append(kind), classes.append(hashlib.md5(" ".join(w).encode()).digest()), sizes.append(len(w)), places.append(array("H", map(place, w)).tobytes())
+            base = batch.select(["traj_id", "repo", "split"]).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*base.columns, pa.array(kinds, pa.string()), pa.array(classes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(places, pa.binary())], ["traj_id", "repo", "split", "kind", "class", "words", "places"])
+
+    raw = _raw(trajectories)
+    key = {f.name: f.dataType.simpleString() for f in raw.schema}
+    out = raw.mapInArrow(make, f"traj_id {key['traj_id']}, repo {key['repo']}, split string, kind string, class binary, words int, places binary")
+    return out.withColumn("is_train", F.col("split") == "train")
+
+
+def class_texts(trajectories: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(kind, class, text) of the wanted (kind, class, traj_id), each of which one row of its traj_id holds; other rows are not normalised."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(kind, hashlib.md5(text.encode()).digest(), text) for kind in ("problem_statement", "steps") for x in batch.column(kind) if (text := " ".join(words_of(x.as_py() or "")))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else ([], [], []), (pa.string(), pa.binary(), pa.string()))], ["kind", "class", "text"])
+
+    ids = cut(wanted.select("traj_id").distinct())
+    rows = _raw(trajectories.join(broadcast_below(ids, 500_000, ids.count()), "traj_id", "left_semi"))
+    texts = rows.select("problem_statement", "steps").mapInArrow(make, "kind string, class binary, text string")
+    return texts.join(wanted, ["kind", "class"], "left_semi").groupBy("kind", "class").agg(F.first("text").alias("text"))
+
+
+def near_links(trajectories: DataFrame, members: DataFrame, r: float = RATIO) -> DataFrame:
+    """(kind, eval_class, train_class, ratio) of different classes of one kind with ratio > r, of members_of(trajectories).
 
-    Every kind has its width of shingles and the hits asked for. Texts too short for a bound of their width also meet on
-    single words. No shingle, partner or candidate is left out or capped.
+    No word, partner or candidate is left out or capped.
     """
-    widths, times, spark = widths or WIDTHS, times or TIMES, texts.sparkSession
-    texts = cut(texts.withColumn("at", F.monotonically_increasing_id()))
-    parts = texts.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count(F.lit(1)).alias("rows"), F.sum("words").alias("words")).orderBy("part").collect()  # one row per partition
-    total = sum(p["rows"] for p in parts)
-    if not total:
-        return spark.createDataFrame([], "kind string, eval_class binary, train_class binary, ratio double")
-    wide, start, starts = total >= 1 << 29, 0, [0] * (parts[-1]["part"] + 1)
-    for p in parts:
-        starts[p["part"]] = start
-        start += p["rows"]
-    dense = F.col("at") if wide else F.element_at(F.array(*map(F.lit, starts)), (F.shiftright("at", 33) + 1).cast("int")) + F.col("at").bitwiseAND((1 << 33) - 1)
-    texts = texts.withColumn("id", dense.cast("long")).drop("at")
-
-    forms, kinds = [], sorted(widths)
-    for i, kind in enumerate(kinds):
-        w, here = widths[kind], F.col("kind") == kind
-        form = lambda width, k, when: F.when(when, F.struct(F.lit(width).alias("width"), F.lit(2 * i + k).cast("long").alias("space"), F.lit(times[kind] if not k else 1).alias("times"), F.lit(k).alias("short")))  # noqa: B023, E731
-        forms.append(form(w, 0, here & (F.col("words") >= w)))
-        if short := short_words(w, r):
-            forms.append(form(1, 1, here & (F.col("words") <= short)))
-    rows = texts.select("text", "words", "is_train", "is_eval", "id", F.explode(F.array_compact(F.array(*forms))).alias("f")).select("text", "words", "is_train", "is_eval", (F.col("id") * 2 + F.col("f.short")).alias("id"), "f.width", "f.space", "f.times")
-    buckets = max(spark.sparkContext.defaultParallelism, -(-sum(p["words"] for p in parts) // BUCKET))
-    sketch = spark.sparkContext.broadcast(_sketch(rows))
-    pairs = candidates(prefixes(rows, sketch, r, buckets), r, buckets, wide)
-    pairs = pairs.select(F.shiftright("e", 1).alias("e"), F.shiftright("t", 1).alias("t")).distinct()
-    a = texts.filter("is_eval").select("kind", F.col("class").alias("eval_class"), F.col("text").alias("a"), F.col("id").alias("e"))
-    b = texts.filter("is_train").select(F.col("kind").alias("kind_b"), F.col("class").alias("train_class"), F.col("text").alias("b"), F.col("id").alias("t"))
-    found = pairs.join(a, "e").join(b, "t").filter("kind = kind_b")
-    return found.withColumn("ratio", _verify(r)("a", "b")).filter("ratio IS NOT NULL").select("kind", "eval_class", "train_class", "ratio")
+    texts = members.filter("words IS NOT NULL")
+    words = {x["is_train"]: x["n"] for x in texts.groupBy("is_train").agg(F.sum("words").alias("n")).collect()}  # two rows
+    size = max(BUCKET, min(MOST, sum(words.values()) // 64))
+    e, t = (blocks(texts.filter(F.col("is_train") == side), words.get(side, 0), size) for side in (False, True))
+    pairs = cut(candidates(e, t, r, CHUNK))
+    wanted = pairs.select("kind", F.explode(F.array("eval_class", "train_class")).alias("class")).distinct()
+    held = texts.join(broadcast_below(wanted, 500_000, wanted.count()), ["kind", "class"], "left_semi")
+    found = cut(class_texts(trajectories, cut(held.groupBy("kind", "class").agg(F.min("traj_id").alias("traj_id")))))
+    a, b = (found.select("kind", F.col("class").alias(f"{side}_class"), F.col("text").alias(side)) for side in ("eval", "train"))
+    both = pairs.join(a, ["kind", "eval_class"]).join(b, ["kind", "train_class"])
+    return both.withColumn("ratio", _verify(r)("eval", "train")).filter("ratio IS NOT NULL").select("kind", "eval_class", "train_class", "ratio")
 
 
 def overlap_links(trajectories: DataFrame, r: float = RATIO) -> tuple[DataFrame, DataFrame]:
-    """(members, links). members: traj_id, side, split, repo, kind, class; links: kind, eval_class, train_class, ratio.
+    """(members, links). members: traj_id, repo, split, is_train, kind, class; links: kind, eval_class, train_class, ratio.
 
     kind is instance_id, problem_statement or steps; links join classes, also a class with itself (exact overlap), so
     that groups of copies need not be expanded. NULL or blank values, empty steps and rows in no split have no class.
     Repeated rows and ties do no harm; texts are whole; columns of other names are ignored.
     """
-    # each text is bound to a lambda variable, so that it is made once, not once for its digest and once for itself
-    bind = lambda kind, c, keep: F.transform(F.array(c), lambda x: F.struct(F.lit(kind).alias("kind"), F.when(x != "", F.unhex(F.md5(x.cast("binary")))).alias("class"), (x if keep else F.lit(None).cast("string")).alias("text")))
-    kinds = F.concat(bind("instance_id", F.lower(F.trim("instance_id")), False), bind("problem_statement", normal_words(F.col("problem_statement")), True), bind("steps", F.when(F.size("steps") > 0, steps_words(F.col("steps"))), True))
-    t = trajectories.filter("traj_id IS NOT NULL").select("traj_id", "repo", split_class(F.col("split")).alias("split"), kinds.alias("kinds")).filter("split IS NOT NULL")
-    t = t.select("traj_id", "repo", "split", (F.col("split") == "train").alias("is_train"), F.explode("kinds").alias("k"))
-    t = cut(t.select("traj_id", "repo", "split", "is_train", "k.kind", "k.class", "k.text").filter("class IS NOT NULL"))
-    classes = t.groupBy("kind", "class").agg(F.first("text").alias("text"), F.bool_or("is_train").alias("is_train"), F.bool_or(~F.col("is_train")).alias("is_eval"))
+    t = cut(members_of(trajectories))
+    classes = t.groupBy("kind", "class").agg(F.bool_or("is_train").alias("is_train"), F.bool_or(~F.col("is_train")).alias("is_eval"))
     links = classes.filter("is_train AND is_eval").select("kind", F.col("class").alias("eval_class"), F.col("class").alias("train_class"), F.lit(1.0).alias("ratio"))
-    texts = classes.filter("text IS NOT NULL").withColumn("words", F.size(F.split("text", " ")))
-    links = links.unionByName(near_links(texts, r))
-    return t.drop("text"), links
+    links = links.unionByName(near_links(trajectories, t, r))
+    return t.drop("words", "places"), links
 
 
 def overlap_pairs(trajectories: DataFrame, r: float = RATIO) -> DataFrame:

@@ -1,8 +1,12 @@
+import os
 import random
+import subprocess
+import sys
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from stepmill.llm import overlap as O
@@ -129,3 +133,54 @@ def test_instance_ids_nulls_and_copies(spark):
 
 def test_empty(spark):
     assert O.overlap_pairs(frame(spark, [])).count() == 0
+
+
+def shuffled(spark):
+    """Bytes that all stages so far have written for others."""
+    sc, jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm
+    sc.listenerBus().waitUntilEmpty(30_000)
+    none = jvm.java.util.ArrayList()
+    stages = sc.statusStore().stageList(none, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), none)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_nothing_is_moved_for_pairs_that_are_not_near(spark):
+    """All texts share their words, so each meets each; what is moved follows the texts, not the pairs."""
+    rng = random.Random(3)
+    text = lambda: " ".join(rng.choices([f"v{i}" for i in range(60)], k=90))
+    rows = [(i, None, "r", text(), "test" if i % 4 == 0 else "train", None) for i in range(2400)]
+    rows.append((9999, None, "r", rows[0][3].replace("v1 ", "x ", 2), "train", None))
+    before = shuffled(spark)
+    assert [(r["eval_id"], r["train_id"]) for r in O.overlap_pairs(frame(spark, rows)).collect()] == [(0, 9999)]
+    assert shuffled(spark) - before < 4 * sum(len(r[3]) for r in rows)
+
+
+def test_words_in_python_are_those_of_the_expression(spark):
+    rng = random.Random(9)
+    # no letters beyond 16 bits: Java looks behind by 16 bits and takes an underscore after one off
+    chars = list("aB9_ <>/&;#.\n\t-\\") + ["é", "é", "́", "ß", "İ", "中", "٣", "²", "Ⅷ", " ", "‍", "😀", "__", "</b>", "&amp;", "&#12;", "_x_"]
+    texts = ["".join(rng.choices(chars, k=rng.randrange(40))) for _ in range(3000)] + ["a__b _c_ __ d_", "́_a_́", ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "s string").select("s", F.lower("s").alias("low"), O.normal_words(F.col("s")).alias("want")).collect()
+    assert [(r["s"], " ".join(O.words_of(r["low"]))) for r in rows] == [(r["s"], r["want"]) for r in rows]
+
+
+def test_places_of_a_bound_never_lose_a_pair():
+    """Few columns, many repeated and frequent words, texts of any length: a pair that is near passes."""
+    rng, seen = random.Random(21), 0
+    for n in (1, 2, 5, 20, 80, 400):
+        draw = lambda k: np.array([min(int(rng.expovariate(0.2)), 300) for _ in range(k)], dtype=np.uint16)
+        e = sorted((draw(rng.randrange(1, n + 2)) for _ in range(60)), key=len)
+        t = sorted([draw(rng.randrange(1, n + 2)) for _ in range(60)] + [np.concatenate([x[: len(x) * 9 // 10], draw(len(x) // 9)]) for x in e if len(x) > 1], key=len)
+        want = {(i, j) for i, x in enumerate(e) for j, y in enumerate(t) if 8 * (Counter(x.tolist()) & Counter(y.tolist())).total() > 3 * (len(x) + len(y))}
+        assert set(O._near(e, t, 0.75, 16)) == want
+        seen += len(want)
+    assert seen > 200
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    """Functions travel by value; what they hold must not be looked up in the package."""
+    (tmp_path / "f").write_bytes(cloudpickle.dumps((O.words_of, O._near, O._PLACES, O.shared_shingles)))
+    code = "import pickle; w, near, places, _ = pickle.load(open('f', 'rb')); import numpy as np; t = [np.array([places[x] for x in w('a _b_ c_d')], np.uint16)]; print(w('a _b_ c_d'), list(near(t, t, 0.75, 64)))"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert run.stdout.split("\n")[0] == "['a', 'b', 'c_d'] [(0, 0)]", run.stderr[-500:]
